@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.functions.draws import DRAW_BITS
+from counterpoise.functions.draws import DRAW_BITS, draw
 from counterpoise.task import RID
 
 SLICES = 1024
@@ -253,12 +253,32 @@ def dense_index(
     )
 
 
+def value_buckets(
+    df: DataFrame, by: Sequence[str], value: str, cuts: int = 128, salts: int = 32, out: str = "_bucket"
+) -> DataFrame:
+    """Add an ordered bucket number per group, cut at the group's own percentiles.
+
+    Made for frames of distinct values: whatever their distribution, a bucket
+    holds about 1/``cuts`` of its group, so running totals can be taken inside
+    buckets and then over the few bucket totals. One group may hold most rows,
+    therefore the join with the cuts is salted.
+    """
+    by = list(by)
+    shares = [i / cuts for i in range(1, cuts)]
+    limits = df.groupBy(*by).agg(F.percentile_approx(value, shares, 2000).alias("_cuts"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    copied = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (
+        salted.join(copied, [*by, "_salt"])
+        .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+        .drop("_cuts", "_salt")
+    )
+
+
 def sample_rows(df: DataFrame, n: int | None, seed: int) -> DataFrame:
     """Exactly ``n`` rows (or all) with the smallest draws."""
     if n is None:
         return df
-    from counterpoise.functions.draws import draw
-
     order = draw(seed, "sample", F.col(RID))
     whole = df.withColumn("_all", F.lit(0))
     _, cuts = exact_cuts(whole, "_all", [order], lambda counts: {0: [n]}, bounds=DRAW_BOUNDS)
