@@ -45,12 +45,14 @@ def nearest(
     k: int,
     exclude_self: bool = True,
     penalty: float = 0.0,
+    digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest reference rows of every query row.
 
     Both frames have ``rid`` and ``vec`` (array<double>), and ``cats``
     (array<string>) when ``penalty`` is used. Returns
-    ``(rid, neighbour, dist, rank)`` with rank 1..k by (dist, neighbour).
+    ``(rid, neighbour, dist, rank)`` with rank 1..k by (dist, neighbour). With
+    ``digits`` distances are rounded first, so equal gaps tie exactly.
     """
     ship_package(queries.sparkSession)
     has_cats = "cats" in refs.columns
@@ -62,7 +64,7 @@ def nearest(
     rid_type = queries.schema["rid"].dataType.simpleString()
     ref_type = refs.schema["rid"].dataType.simpleString()
     flat = f"rid {rid_type}, neighbour {ref_type}, dist double"
-    cell = _Cell(k, keep, exclude_self, penalty, has_cats)
+    cell = _Cell(k, keep, exclude_self, penalty, has_cats, digits)
 
     if n_points <= BLOCK_POINTS:
         pairs = _against_one_block(queries, points, cell, flat)
@@ -91,9 +93,10 @@ def _points(refs: DataFrame, coordinates: list[str], keep: int) -> DataFrame:
 class _Cell:
     """Distances of one chunk of queries to one block of points."""
 
-    def __init__(self, k: int, keep: int, exclude_self: bool, penalty: float, has_cats: bool):
+    def __init__(self, k: int, keep: int, exclude_self: bool, penalty: float, has_cats: bool, digits: int | None):
         self.k, self.keep, self.exclude_self = k, keep, exclude_self
-        self.penalty, self.has_cats = penalty, has_cats
+        self.penalty, self.has_cats, self.digits = penalty, has_cats, digits
+        self.slack = 0.0 if digits is None else 10.0**-digits
 
     def prepare(self, points: pd.DataFrame) -> dict:
         lists = points["rids"].tolist()
@@ -125,7 +128,7 @@ class _Cell:
                 )
                 differ = codes[: len(cats), None] != codes[None, len(cats) :]
                 total += self.penalty * differ
-        return np.sqrt(total)
+        return np.sqrt(total) if self.digits is None else np.round(np.sqrt(total), self.digits)
 
     def run(self, queries: pd.DataFrame, block: dict, bound: np.ndarray | None) -> pd.DataFrame:
         """Flat (rid, neighbour, dist, rank): the local top list of every query."""
@@ -250,7 +253,7 @@ def _against_blocks(
             last = found[found["rank"] == cell.k]
             position = pd.Series(np.arange(len(q)), index=q["rid"].to_numpy())
             limit[position[last["rid"].to_numpy()].to_numpy()] = last["dist"].to_numpy()
-        return q.assign(bound=limit, targets=_targets(_matrix(q["vec"]), limit, *boxes.value))
+        return q.assign(bound=limit, targets=_targets(_matrix(q["vec"]), limit + cell.slack, *boxes.value))
 
     visited = materialize(
         _cells(home.withColumnRenamed("first", "block"), blocked, home_counts, chunk, spark)(

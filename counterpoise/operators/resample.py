@@ -167,6 +167,7 @@ def near_miss(task: Task, ratios: Ratios | float = 1.0, neighbours: int = 3, see
     ratios = _ratios(ratios)
     classes = classes_of(task)
     kept = _checked_under(classes, ratios)
+    _require_numeric(task)
     if classes.n_minority < neighbours:
         raise BalancingError(f"needs {neighbours} minority rows")
     rows, label = task.fitting_rows, task.require_label()
@@ -312,7 +313,7 @@ def _mixed(task, classes, added, k, seed, categorical, penalty_factor) -> DataFr
         vector_of(minority, numeric).alias("vec"),
         F.array(*[F.col(c).cast("string") for c in categorical]).alias("cats"),
     )
-    pairs = materialize(nearest(points, points, k, penalty=penalty_factor * middle * middle), "mixed-neighbours")
+    pairs = materialize(nearest(points, points, k, penalty=penalty_factor * middle * middle, digits=9), "mixed-neighbours")
     others = minority.select(
         F.col(RID).alias("neighbour"), vector_of(minority, numeric).alias("other"), *categorical
     )
@@ -367,7 +368,7 @@ def _voted(task, classes, added, k, seed) -> DataFrame:
     for c, table in value_differences(task, classes).items():
         coded = coded.join(table, c)
     points = coded.select(RID, F.array(*[F.col(f"_v_{c}") for c in task.features]).alias("vec"))
-    pairs = nearest(points, points, k)
+    pairs = nearest(points, points, k, digits=9)
     others = minority.select(F.col(RID).alias("neighbour"), *task.features)
     votes = pairs.join(others, "neighbour").groupBy(RID).agg(*[F.mode(c, True).alias(c) for c in task.features])
     numbered = dense_index(minority.select(RID), draw(seed, "index", F.col(RID)))

@@ -56,7 +56,7 @@ def ladder_ratios(classes: Classes, n: int, min_samples_to_modify: int | None =
         if min(removed, added) < min_samples_to_modify:
             step = max(min_samples_to_modify / few, many * (1 / few - 1 / (few + min_samples_to_modify)))
             n = 1 if round(step, 3) == round(span, 3) else int(span // step + 1)
-    return [max(ratio - i * step, 1) for i in range(1, n + 1)]
+    return [max(ratio - i * step, 1.0) for i in range(1, n + 1)]
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from counterpoise.registry import preparation
+from counterpoise.registry import balancing, preparation
 
-GROUPS = (preparation,)
+GROUPS = (preparation, balancing)
 
 
 def queries():
