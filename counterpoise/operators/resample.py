@@ -75,14 +75,26 @@ def _columns(task: Task) -> list[str]:
     return [*task.features, task.require_label()]
 
 
-def _variants_where(tests: Mapping[str, Column]) -> Column:
-    """One output row per variant whose test the row passes; the scan is shared."""
-    return F.explode(F.array_compact(F.array(*[F.when(t, F.lit(v)) for v, t in tests.items()])))
+def _variants_of(sizes: Mapping[str, int], test: Callable[[int], Column]) -> Column:
+    """One output row per variant the row belongs to; the scan is shared.
 
+    Variants are nested: a row that passes for some size passes for every larger
+    one, so the number of passed tests picks a prefix of the size-ordered names.
+    """
+    names = sorted(sizes, key=lambda v: -sizes[v])
+    passed = F.lit(0)
+    for v in names:
+        passed = passed + test(sizes[v]).cast("int")
+    return F.explode(F.slice(F.array(*[F.lit(v) for v in names]), F.lit(1), passed))
+
+
+def _every(names: Sequence[str]) -> Column:
+    return F.explode(F.array(*[F.lit(v) for v in names]))
 
-def _originals(rows: DataFrame, task: Task, tests: Mapping[str, Column]) -> DataFrame:
+
+def _originals(rows: DataFrame, task: Task, variants: Column) -> DataFrame:
     return rows.select(
-        _variants_where(tests).alias("variant"),
+        variants.alias("variant"),
         F.col(RID).cast("string").alias(RID),
         *_columns(task),
         F.lit(ORIGINAL).alias("origin"),
@@ -122,11 +134,8 @@ def random_under(task: Task, ratios: Ratios | float = 1.0, seed: int = 0) -> Dat
     )
     drawn = rows.withColumn("_h", order)
     minority = F.col(label) == F.lit(classes.minority)
-    majority = F.col(label) == F.lit(classes.majority)
-    tests = {
-        v: minority | (majority & up_to(cuts[(classes.majority, n)], [F.col("_h")])) for v, n in kept.items()
-    }
-    return _originals(drawn, task, tests)
+    chosen = _variants_of(kept, lambda n: minority | up_to(cuts[(classes.majority, n)], [F.col("_h")]))
+    return _originals(drawn.where(F.col(label).isNotNull()), task, chosen)
 
 
 def random_over(task: Task, ratios: Ratios | float = 1.0, seed: int = 0) -> DataFrame:
@@ -143,7 +152,7 @@ def random_over(task: Task, ratios: Ratios | float = 1.0, seed: int = 0) -> Data
     copies = draws.join(numbered, "idx").select(
         "variant", _copy_id(), *_columns(task), F.lit(COPY).alias("origin")
     )
-    return _originals(rows, task, {v: F.lit(True) for v in ratios}).unionByName(copies)
+    return _originals(rows, task, _every(list(ratios))).unionByName(copies)
 
 
 def _copy_id() -> Column:
@@ -156,7 +165,7 @@ def _draws(task: Task, added: Mapping[str, int]) -> DataFrame:
     most = max([*added.values(), 0])
     slices = max(spark.sparkContext.defaultParallelism, most // ROWS_PER_SLICE + 1)
     numbers = spark.range(0, most, 1, slices).withColumnRenamed("id", "draw")
-    return numbers.select("draw", _variants_where({v: F.col("draw") < n for v, n in added.items()}).alias("variant"))
+    return numbers.select("draw", _variants_of(added, lambda n: F.col("draw") < n).alias("variant"))
 
 
 def near_miss(task: Task, ratios: Ratios | float = 1.0, neighbours: int = 3, seed: int = 0) -> DataFrame:
@@ -183,13 +192,13 @@ def near_miss(task: Task, ratios: Ratios | float = 1.0, neighbours: int = 3, see
     )
     order = [F.round("_d", 12), draw(seed, "near", F.col(RID))]
     _, cuts = exact_cuts(closeness, "_all", order, lambda counts: {0: sorted(set(kept.values()))})
-    tests = {v: up_to(cuts[(0, n)], order) for v, n in kept.items()}
-    chosen = closeness.select(RID, _variants_where(tests).alias("variant"))
+    variants = _variants_of(kept, lambda n: up_to(cuts[(0, n)], order))
+    chosen = closeness.select(RID, variants.alias("variant"))
     kept_rows = chosen.join(rows, RID).select(
         "variant", F.col(RID).cast("string").alias(RID), *_columns(task), F.lit(ORIGINAL).alias("origin")
     )
     all_minority = rows.where(F.col(label) == F.lit(classes.minority))
-    return kept_rows.unionByName(_originals(all_minority, task, {v: F.lit(True) for v in ratios}))
+    return kept_rows.unionByName(_originals(all_minority, task, _every(list(ratios))))
 
 
 def categorical_features(task: Task) -> list[str]:
@@ -219,7 +228,7 @@ def smote(
     classes = classes_of(task)
     added = _checked_over(classes, ratios)
     rows = task.fitting_rows
-    everything = _originals(rows, task, {v: F.lit(True) for v in ratios})
+    everything = _originals(rows, task, _every(list(ratios)))
     categorical = categorical_features(task)
     if max(added.values()) == 0:
         return everything

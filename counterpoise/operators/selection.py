@@ -55,7 +55,10 @@ def _key(i: int) -> str:
 
 
 def _with_keys(df: DataFrame, group: str, order: Sequence[Column], tie: str) -> DataFrame:
-    return df.select(F.col(group).alias("_g"), *[c.alias(_key(i)) for i, c in enumerate(order)], F.col(tie).alias("_tie"))
+    fields = [F.col(group).alias("_g"), *[c.alias(_key(i)) for i, c in enumerate(order)], F.col(tie).alias("_tie")]
+    # A generator keeps later filters from being pushed below, which would
+    # repeat the hashing once per comparison.
+    return df.select(F.inline(F.array(F.struct(*fields))))
 
 
 def _inside(region: _Region, levels: int) -> Column:
@@ -217,12 +220,11 @@ def up_to(cut: Cut, order: Sequence[Column], tie: str = RID) -> Column:
         return F.lit(True)
     if cut.position is None:
         return F.lit(False)
-    values = list(order) + [F.col(tie)]
-    chosen, equal = F.lit(False), F.lit(True)
-    for value, limit in zip(values, cut.position):
-        chosen = chosen | (equal & (value < F.lit(limit)))
-        equal = equal & (value == F.lit(limit))
-    return chosen | equal
+    *limits, last = cut.position
+    test = F.col(tie) <= F.lit(last)
+    for value, limit in reversed(list(zip(order, limits))):
+        test = (value <= F.lit(limit)) & ((value < F.lit(limit)) | test)
+    return test
 
 
 def dense_index(

@@ -10,6 +10,7 @@ from counterpoise.operators.knn import vector_of
 from counterpoise.plans import ladder
 from counterpoise.registry import fixtures as X
 from counterpoise.registry.fixtures import sql_draw, sql_uniform
+from counterpoise.sources.tables import task
 
 RATIOS = {"twice": 2.0, "even": 1.0}
 RATIOS_SQL = "ratios(variant, r) AS (VALUES ('twice', 2.0::DOUBLE), ('even', 1.0::DOUBLE))"
@@ -291,6 +292,45 @@ SELECT g.variant, g.rid, y, origin, {_SUMS} FROM grown g ANTI JOIN links l ON g.
 """
 
 
+def _account_points(spark, sf):
+    rows = X.table(spark, sf, "customer").select(
+        "c_custkey",
+        "c_acctbal",
+        F.col("c_nationkey").cast("double").alias("nation"),
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"),
+    )
+    return task(rows, "y", ["c_acctbal", "nation"], "c_custkey", "accounts")
+
+
+def smote_tomek_items(spark, sf):
+    """Two numeric columns without class structure, where many links are removed."""
+    out = resample.smote_tomek(_account_points(spark, sf), {"twice": 2.0}, seed=X.SEED)
+    return out.withColumns({c: F.round(c, 6) for c in ("c_acctbal", "nation")})
+
+
+SMOTE_TOMEK_ITEMS = f"""
+WITH vectors AS (
+  SELECT c_custkey AS rid, [c_acctbal, c_nationkey::DOUBLE] AS vec, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS y
+  FROM customer
+),
+ratios(variant, r) AS (VALUES ('twice', 2.0::DOUBLE)), {_counts_sql('vectors')}, {_OVER_DRAWS},
+{_MINORITY_NEIGHBOURS}, {_made_sql('mino').replace('::FLOAT::DOUBLE', '')},
+grown AS (
+  SELECT variant, rid::VARCHAR AS rid, y, 'original' AS origin, vec AS v FROM vectors, ratios
+  UNION ALL SELECT variant, rid, 1, 'synthetic', v FROM made
+),
+gd AS (
+  SELECT a.rid, a.y, b.rid AS neighbour, b.y AS y2,
+         row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.v, b.v), b.rid) AS rn
+  FROM grown a JOIN grown b ON a.rid <> b.rid
+),
+gf AS (SELECT * FROM gd WHERE rn = 1),
+links AS (SELECT a.rid FROM gf a JOIN gf b ON a.neighbour = b.rid AND b.neighbour = a.rid WHERE a.y <> a.y2)
+SELECT g.variant, g.rid, round(v[1], 6) AS c_acctbal, round(v[2], 6) AS nation, y, origin
+FROM grown g ANTI JOIN links l ON g.rid = l.rid
+"""
+
+
 def smote_nc(spark, sf):
     out = resample.smote(X.parts(spark, sf), RATIOS, seed=X.SEED)
     return out.where(F.col("origin") == "synthetic").withColumn("p_retailprice", F.round("p_retailprice", 6))
@@ -369,7 +409,7 @@ def parameter_sweep(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("rid").cast("bigint")).alias("rids")
     )
     failed = made.failures.select(
-        "variant", F.lit(-1).alias("y"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("rids")
+        "variant", F.lit(-1).alias("y"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("rids")
     )
     return counted.unionByName(failed)
 
@@ -384,7 +424,7 @@ p AS (
   UNION ALL SELECT 'orders_transformed_2', rid, y FROM r2, counts WHERE y = 1 OR rn <= floor(few / (1 / 3.0::DOUBLE))
 )
 SELECT variant, y, count(*) AS n, sum(rid)::BIGINT AS rids FROM p GROUP BY ALL
-UNION ALL SELECT 'orders_transformed_3', -1, 0, NULL
+UNION ALL SELECT 'orders_transformed_3', -1, 0, 0
 """
 
 QUERIES = {
@@ -400,6 +440,7 @@ QUERIES = {
     "smote": (smote, SMOTE),
     "borderline_smote": (borderline_smote, BORDERLINE_SMOTE),
     "smote_tomek": (smote_tomek, SMOTE_TOMEK),
+    "smote_tomek_items": (smote_tomek_items, SMOTE_TOMEK_ITEMS),
     "smote_nc": (smote_nc, SMOTE_NC),
     "smote_n": (smote_n, SMOTE_N),
     "custom_resampler": (custom_resampler, CUSTOM_RESAMPLER),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from counterpoise.registry import balancing, preparation
+from counterpoise.registry import balancing, explanations, models, preparation
 
-GROUPS = (preparation, balancing)
+GROUPS = (preparation, balancing, models, explanations)
 
 
 def queries():
