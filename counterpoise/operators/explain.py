@@ -8,8 +8,9 @@ feature columns, or a frame with an added ``p1`` column (for example
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from counterpoise.task import RID, Task
 GRID_STEPS = 100
 KERNEL_SPAN = 0.25
 CATEGORY_LIMIT = 100_000
+VARIABLES_PER_PASS = 8
+SPREAD_ROWS = 50_000_000
 
 Score = Callable[[DataFrame], "Column | DataFrame"]
 
@@ -41,14 +44,22 @@ def _split_variables(task: Task, variables: Sequence[str] | None) -> tuple[list[
     return [v for v in wanted if v not in categorical], [v for v in wanted if v in categorical]
 
 
-def _limits(rows: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:
-    if not numeric:
-        return {}
+def _limits(rows: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str, tuple[float, float]]]:
+    """Row count, and smallest and largest value per numeric variable: one aggregate."""
     row = rows.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.min(F.col(v).cast("double")).alias(f"lo_{v}") for v in numeric],
         *[F.max(F.col(v).cast("double")).alias(f"hi_{v}") for v in numeric],
     ).first()
-    return {v: (row[f"lo_{v}"], row[f"hi_{v}"]) for v in numeric if row[f"lo_{v}"] is not None}
+    return row["n"], {v: (row[f"lo_{v}"], row[f"hi_{v}"]) for v in numeric if row[f"lo_{v}"] is not None}
+
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """A short input in few files is dealt out to all cores before it is multiplied by the grid.
+
+    A long input already comes in many scan partitions and is not moved.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if n <= SPREAD_ROWS else rows
 
 
 def grid_points(low: float, high: float, steps: int = GRID_STEPS) -> list[float]:
@@ -66,49 +77,114 @@ def _categories(rows: DataFrame, variable: str) -> list:
     return sorted(r[0] for r in found)
 
 
-def _grids(rows: DataFrame, numeric, categorical, steps: int):
-    numeric_grid = [
-        (v, i, z) for v, (lo, hi) in _limits(rows, numeric).items() for i, z in enumerate(grid_points(lo, hi, steps))
+@dataclass(frozen=True)
+class _Grid:
+    """Grid of one variable: numeric from low in steps, or a list of categories."""
+
+    variable: str
+    length: int
+    low: float | None = None
+    step: float = 0.0
+    categories: tuple = ()
+
+    @property
+    def numeric(self) -> bool:
+        return self.low is not None
+
+    def at(self, position: Column) -> Column:
+        if self.numeric:
+            return F.lit(self.low) + position * F.lit(self.step)
+        return F.get(F.array(*[F.lit(c) for c in self.categories]), position)
+
+    def label(self, position: Column) -> tuple[Column, Column]:
+        """(x_num, x_cat) of a grid position."""
+        if self.numeric:
+            return self.at(position).cast("double"), F.lit(None).cast("string")
+        return F.lit(None).cast("double"), self.at(position).cast("string")
+
+
+def _grids(
+    rows: DataFrame, task: Task, variables: Sequence[str] | None, steps: int
+) -> tuple[DataFrame, list[_Grid]]:
+    """The rows to score, spread if few, and the grids of their variables."""
+    numeric, categorical = _split_variables(task, variables)
+    n, limits = _limits(rows, numeric)
+    grids = []
+    for v, (low, high) in limits.items():
+        grids.append(_Grid(v, len(grid_points(low, high, steps)), low, (high - low) / steps))
+    for v in categorical:
+        values = _categories(rows, v)
+        if values:
+            grids.append(_Grid(v, len(values), categories=tuple(values)))
+    if not grids:
+        raise ValueError("nothing to explain")
+    return _spread(rows.select(*task.features), n), grids
+
+
+def _passes(grids: Sequence[_Grid]) -> list[list[_Grid]]:
+    """Grids of equal length share one pass over the rows, a few at a time."""
+    by_length: dict[int, list[_Grid]] = {}
+    for g in grids:
+        by_length.setdefault(g.length, []).append(g)
+    return [
+        group[i : i + VARIABLES_PER_PASS]
+        for group in by_length.values()
+        for i in range(0, len(group), VARIABLES_PER_PASS)
     ]
-    category_grid = [(v, i, z) for v in categorical for i, z in enumerate(_categories(rows, v))]
-    return numeric_grid, category_grid
 
 
-def _grid_array(numeric_grid, category_grid) -> Column:
-    def cell(variable, i, number, text):
-        return F.struct(
-            F.lit(variable).alias("variable"),
-            F.lit(i).alias("grid_idx"),
-            F.lit(number).cast("double").alias("x_num"),
-            F.lit(text).cast("string").alias("x_cat"),
-        )
+def _swapped_score(rows: DataFrame, score: Score, variable: str, value: Column, out: str) -> DataFrame:
+    """Add column ``out``: the score with one variable overwritten; the rows stay as they were."""
+    order = [*rows.columns, out]
+    swapped = rows.withColumn("_own", F.col(variable)).withColumn(variable, value)
+    return (
+        scored(swapped, score)
+        .withColumn(out, F.col("p1"))
+        .drop(variable)
+        .withColumnRenamed("_own", variable)
+        .select(*order)
+    )
 
-    cells = [cell(v, i, z, None) for v, i, z in numeric_grid]
-    cells += [cell(v, i, None, str(z)) for v, i, z in category_grid]
-    return F.array(*cells)
 
+def _grid_sums(
+    rows: DataFrame, task: Task, grids: Sequence[_Grid], score: Score, sums: Callable[[_Grid, Column], dict]
+) -> DataFrame:
+    """Long (variable, grid_idx, x_num, x_cat, sums...) of one pass.
 
-def _replaced(rows: DataFrame, features: Sequence[str], numeric, categorical) -> DataFrame:
-    """Each row once per grid point, with the grid point's variable overwritten."""
-    new = {}
-    for v in features:
-        if v in numeric:
-            new[v] = F.when(F.col("variable") == v, F.col("x_num")).otherwise(F.col(v).cast("double"))
-        elif v in categorical:
-            kind = rows.schema[v].dataType
-            new[v] = F.when(F.col("variable") == v, F.col("x_cat").cast(kind)).otherwise(F.col(v))
-    return rows.withColumns({f"_x_{v}": F.col(v) for v in [*numeric, *categorical]}).withColumns(new)
+    Every row is repeated once per grid position inside the task that scores it;
+    only one partial aggregate per position leaves the task.
+    """
+    position = F.col("grid_idx")
+    work = rows.select(
+        *task.features, F.explode(F.sequence(F.lit(0), F.lit(grids[0].length - 1))).alias("grid_idx")
+    )
+    for i, g in enumerate(grids):
+        work = _swapped_score(work, score, g.variable, g.at(position), f"_p{i}")
+    names, totals = [], []
+    for i, g in enumerate(grids):
+        made = sums(g, F.col(f"_p{i}"))
+        names = list(made)
+        totals.extend(c.alias(f"_{n}{i}") for n, c in made.items())
+    wide = work.groupBy("grid_idx").agg(*totals)
+    cells = []
+    for i, g in enumerate(grids):
+        x_num, x_cat = g.label(position)
+        cells.append(
+            F.struct(
+                F.lit(g.variable).alias("variable"),
+                x_num.alias("x_num"),
+                x_cat.alias("x_cat"),
+                *[F.col(f"_{n}{i}").alias(n) for n in names],
+            )
+        )
+    return wide.select("grid_idx", F.inline(F.array(*cells)))
 
 
-def _with_grid(rows: DataFrame, task: Task, numeric, categorical, steps: int):
-    numeric_grid, category_grid = _grids(rows, numeric, categorical, steps)
-    if not numeric_grid and not category_grid:
-        raise ValueError("nothing to explain")
-    names = [v for v, _, _ in numeric_grid] + [v for v, _, _ in category_grid]
-    numeric = [v for v in numeric if v in names]
-    categorical = [v for v in categorical if v in names]
-    exploded = rows.select(*task.features, F.inline(_grid_array(numeric_grid, category_grid)))
-    return _replaced(exploded, task.features, numeric, categorical), numeric_grid, numeric, categorical
+def _united(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
 
 def partial_dependence(
@@ -120,18 +196,13 @@ def partial_dependence(
     seed: int = 0,
     model: str = "model",
 ) -> DataFrame:
-    """Mean score with each variable set to each of its grid points.
-
-    All variables share one pass; grid copies of a row live only inside the
-    task that scores them, and the partial sums are what is shuffled.
-    """
-    numeric, categorical = _split_variables(task, variables)
+    """Mean score with each variable set to each of its grid points."""
     rows = sample_rows(task.judging_rows, n, seed)
-    exploded, *_ = _with_grid(rows, task, numeric, categorical, steps)
-    curves = (
-        scored(exploded, score).groupBy("variable", "grid_idx", "x_num", "x_cat").agg(F.avg("p1").alias("y_hat"))
-    )
-    return _as_curves(curves, model, "PDP")
+    spread, all_grids = _grids(rows, task, variables, steps)
+    frames = [
+        _grid_sums(spread, task, grids, score, lambda g, p: {"y_hat": F.avg(p)}) for grids in _passes(all_grids)
+    ]
+    return _as_curves(_united(frames), model, "PDP")
 
 
 def _as_curves(curves: DataFrame, model: str, kind: str) -> DataFrame:
@@ -157,56 +228,28 @@ def accumulated_effects(
     and rows are never brought together again. Categories are ordered; their
     distance is 0 or 1. ``center`` adds the mean prediction.
     """
-    numeric, categorical = _split_variables(task, variables)
     rows = sample_rows(task.judging_rows, n, seed)
-    exploded, numeric_grid, numeric, categorical = _with_grid(rows, task, numeric, categorical, steps)
-    last = {}
-    grid_of: dict[str, list[float]] = {}
-    for v, i, z in numeric_grid:
-        grid_of.setdefault(v, []).append(z)
-    for v, zs in grid_of.items():
-        last[v] = len(zs) - 1
-
-    own, following = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for v in numeric:
-        low, high = grid_of[v][0], grid_of[v][-1]
-        width = span * (high - low)
+
+    def weight(g: _Grid, position: Column) -> Column:
+        if not g.numeric:
+            return F.when(F.col(g.variable) == g.at(position), 1.0).otherwise(math.exp(-1 / (span * span) / 2))
+        width = span * g.step * (g.length - 1)
         if width == 0:
-            own = F.when(F.col("variable") == v, F.lit(1.0)).otherwise(own)
-            continue
-        step = (high - low) / last[v]
-        here = (F.col(f"_x_{v}").cast("double") - F.col("x_num")) / width
-        ahead = (F.col(f"_x_{v}").cast("double") - (F.lit(low) + (F.col("grid_idx") + 1) * step)) / width
-        own = F.when(F.col("variable") == v, F.exp(-here * here / 2)).otherwise(own)
-        following = F.when(
-            (F.col("variable") == v) & (F.col("grid_idx") < last[v]), F.exp(-ahead * ahead / 2)
-        ).otherwise(following)
-    for v in categorical:
-        values = _categories(rows, v)
-        apart = F.exp(F.lit(-1.0 / (span * span) / 2))
-        same = F.col(f"_x_{v}").cast("string") == F.col("x_cat")
-        own = F.when(F.col("variable") == v, F.when(same, 1.0).otherwise(apart)).otherwise(own)
-        after = F.get(F.array(*[F.lit(str(z)) for z in values]), F.col("grid_idx") + 1)
-        matches = F.col(f"_x_{v}").cast("string") == after
-        following = F.when(
-            (F.col("variable") == v) & (F.col("grid_idx") < len(values) - 1),
-            F.when(matches, 1.0).otherwise(apart),
-        ).otherwise(following)
-
-    sums = (
-        scored(exploded.withColumn("_w", own).withColumn("_wn", following), score)
-        .groupBy("variable", "grid_idx", "x_num", "x_cat")
-        .agg(
-            F.sum("_w").alias("_weight"),
-            F.sum(F.col("_w") * F.col("p1")).alias("_here"),
-            F.sum(F.col("_wn") * F.col("p1")).alias("_there"),
-        )
-    )
+            return F.lit(1.0)
+        apart = (F.col(g.variable).cast("double") - g.at(position)) / F.lit(width)
+        return F.exp(-apart * apart / 2)
+
+    def sums(g: _Grid, p: Column) -> dict:
+        here, ahead = weight(g, F.col("grid_idx")), weight(g, F.col("grid_idx") + 1)
+        return {"weight": F.sum(here), "here": F.sum(here * p), "there": F.sum(ahead * p)}
+
+    spread, all_grids = _grids(rows, task, variables, steps)
+    totals = _united([_grid_sums(spread, task, grids, score, sums) for grids in _passes(all_grids)])
     order = Window.partitionBy("variable").orderBy("grid_idx")
-    local = F.coalesce((F.col("_here") - F.lag("_there").over(order)) / F.col("_weight"), F.lit(0.0))
-    curve = sums.withColumn("_local", local).withColumn("y_hat", F.sum("_local").over(order))
+    local = F.coalesce((F.col("here") - F.lag("there").over(order)) / F.col("weight"), F.lit(0.0))
+    curve = totals.withColumn("_local", local).withColumn("y_hat", F.sum("_local").over(order))
     if center:
-        mean = scored(rows, score).agg(F.avg("p1").alias("_mean")).first()["_mean"]
+        mean = scored(rows, score).agg(F.avg("p1").alias("mean")).first()["mean"]
         curve = curve.withColumn("y_hat", F.col("y_hat") + F.lit(mean))
     return _as_curves(curve, model, "ALE")
 
@@ -226,7 +269,7 @@ def permutation_importance(
 
     A round's permutation pairs every row with the row whose draw has the same
     rank; one join per round serves all variables, which are then swapped in one
-    at a time by a local explode.
+    at a time where the joined row lies.
     """
     task = task if majority is None else replace(task, majority=majority)
     numeric, categorical = _split_variables(task, variables)
@@ -238,12 +281,12 @@ def permutation_importance(
     shuffled = dense_index(
         copied, draw(seed, "permute", F.col("round"), F.col(RID)), by=["round"], out="place"
     ).select("round", "place", *[F.col(v).alias(f"_p_{v}") for v in names])
-    joined = shuffled.join(numbered, "place")
-    exploded = joined.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in names])))
-    swapped = exploded.withColumns(
-        {v: F.when(F.col("variable") == v, F.col(f"_p_{v}")).otherwise(F.col(v)) for v in names}
-    )
-    losses = _loss(scored(swapped, score), ["variable", "round"], loss)
+    work = shuffled.join(numbered, "place").drop("place")
+    for v in names:
+        work = _swapped_score(work, score, v, F.col(f"_p_{v}"), f"_s_{v}")
+    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_s_{v}").alias("p1")) for v in names])
+    swapped = work.select("round", "y", F.inline(cells))
+    losses = _loss(swapped, ["variable", "round"], loss)
     return losses.groupBy("variable").agg(F.avg("loss").alias("dropout_loss")).select(
         F.lit(model).alias("model"), "variable", "dropout_loss"
     )
