@@ -7,7 +7,7 @@ repeat it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DRAW_BITS = 60
@@ -23,3 +23,12 @@ def draw(seed: int, tag: str, *keys: Column) -> Column:
 def uniform(seed: int, tag: str, *keys: Column) -> Column:
     """Uniform double in [0, 1)."""
     return draw(seed, tag, *keys).cast("double") / F.lit(DRAW_RANGE)
+
+
+def with_draw(df: DataFrame, name: str, order: Column) -> DataFrame:
+    """Add a draw that is hashed exactly once per row.
+
+    A one-element generator keeps filters on the draw above it; pushed below,
+    they would repeat the hashing once per comparison.
+    """
+    return df.select("*", F.explode(F.array(order)).alias(name))

@@ -72,6 +72,16 @@ def require_variables(results: DataFrame, variables: Sequence[str] | None) -> Da
     return with_all_variables(results.where(F.col("variable").isin(names)), names)
 
 
+def _beside_base(results: DataFrame, place: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Non-base rows with struct ``_base``: the base row's values at the same place.
+
+    One window over the rows of a place (one per model) replaces a self-join, so
+    the results are computed once.
+    """
+    base = F.max(F.when(F.col("is_base"), F.struct(*values))).over(Window.partitionBy(*place))
+    return results.withColumn("_base", base).where(~F.col("is_base") & F.col("_base").isNotNull())
+
+
 # ---------------------------------------------------------------- curves
 
 
@@ -81,21 +91,13 @@ def curve_distance(curves: DataFrame) -> DataFrame:
     Curves are aligned with the base by grid position; ``grid_mismatch`` tells
     how many positions have different x values.
     """
-    base = curves.where("is_base").select(
-        "dataset",
-        "variable",
-        "grid_idx",
-        F.col("y_hat").alias("_y0"),
-        F.col("x_num").alias("_x0"),
-        F.col("x_cat").alias("_c0"),
-    )
-    same_x = F.col("x_num").eqNullSafe(F.col("_x0")) & F.col("x_cat").eqNullSafe(F.col("_c0"))
+    place = ["dataset", "variable", "grid_idx"]
+    same_x = F.col("x_num").eqNullSafe(F.col("_base.x_num")) & F.col("x_cat").eqNullSafe(F.col("_base.x_cat"))
     return (
-        curves.where(~F.col("is_base"))
-        .join(base, ["dataset", "variable", "grid_idx"])
+        _beside_base(curves, place, ["y_hat", "x_num", "x_cat"])
         .groupBy("dataset", "model", "variable")
         .agg(
-            F.stddev_pop(F.col("y_hat") - F.col("_y0")).alias("sdd"),
+            F.stddev_pop(F.col("y_hat") - F.col("_base.y_hat")).alias("sdd"),
             F.sum((~same_x).cast("int")).alias("grid_mismatch"),
         )
     )
@@ -111,14 +113,11 @@ def averaged_distance(distances: DataFrame, by: Sequence[str] = ("dataset", "mod
 
 def performance_change(metrics: DataFrame, percent: bool = False) -> DataFrame:
     """(dataset, model, metric, change) against the base of the data set."""
-    base = metrics.where("is_base").select("dataset", "metric", F.col("value").alias("_v0"))
-    change = F.col("value") - F.col("_v0")
+    change = F.col("value") - F.col("_base.value")
     if percent:
-        change = change / F.nullif(F.col("_v0"), F.lit(0.0))
-    return (
-        metrics.where(~F.col("is_base"))
-        .join(base, ["dataset", "metric"])
-        .select("dataset", "model", "metric", change.alias("change"))
+        change = change / F.nullif(F.col("_base.value"), F.lit(0.0))
+    return _beside_base(metrics, ["dataset", "metric"], ["value"]).select(
+        "dataset", "model", "metric", change.alias("change")
     )
 
 
@@ -204,42 +203,42 @@ def wilcoxon_statistics(importance: DataFrame, max_variables: int | None = None)
         importance = importance.join(
             top_variables(importance, max_variables), ["dataset", "variable"], "left_semi"
         )
-    base = importance.where("is_base").select("dataset", "variable", F.col("dropout_loss").alias("_v0"))
+    gap = F.col("_base.dropout_loss") - F.col("dropout_loss")
     pairs = (
-        importance.where(~F.col("is_base"))
-        .join(base, ["dataset", "variable"])
-        .select("dataset", "model", "variable", (F.col("_v0") - F.col("dropout_loss")).alias("_d"))
-    )
-    zero = pairs.groupBy("dataset", "model").agg(
-        F.sum((F.col("_d") == 0).cast("bigint")).alias("n_zero"), F.count(F.lit(1)).alias("_all")
+        _beside_base(importance, ["dataset", "variable"], ["dropout_loss"])
+        .select("dataset", "model", "variable", gap.alias("_d"))
+        .withColumn("_size", F.abs("_d"))
     )
-    pair = Window.partitionBy("dataset", "model")
-    size = F.abs("_d")
+    # Zero differences get ranks of their own and are counted apart.
+    pair = ["dataset", "model", F.col("_size") == 0]
     ranked = (
-        pairs.where(F.col("_d") != 0)
-        .withColumn("_size", size)
-        .withColumn("_first", F.rank().over(pair.orderBy("_size")))
-        .withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy("dataset", "model", "_size")))
+        pairs.withColumn("_first", F.rank().over(Window.partitionBy(*pair).orderBy("_size")))
+        .withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(*pair, "_size")))
         .withColumn("_rank", F.col("_first") + (F.col("_ties") - 1) / 2)
     )
+
+    def total(test, value):
+        return F.sum(F.when(test, value).otherwise(F.lit(0.0)))
+
+    differs = F.col("_d") != 0
     sums = ranked.groupBy("dataset", "model").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
-        F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("tie_term"),
+        F.sum(differs.cast("bigint")).alias("n"),
+        F.sum((~differs).cast("bigint")).alias("n_zero"),
+        total(F.col("_d") > 0, F.col("_rank")).alias("w_plus"),
+        total(F.col("_d") < 0, F.col("_rank")).alias("w_minus"),
+        total(differs, (F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("tie_term"),
     )
-    joined = zero.join(sums, ["dataset", "model"], "left")
-    return joined.select(
+    return sums.select(
         "dataset",
         "model",
-        F.coalesce("n", F.lit(0)).alias("n"),
+        "n",
         "n_zero",
         "w_plus",
         "w_minus",
         F.least("w_plus", "w_minus").alias("statistic"),
-        F.coalesce("tie_term", F.lit(0.0)).alias("tie_term"),
-        (F.coalesce("tie_term", F.lit(0.0)) > 0).alias("ties"),
-        F.when(F.col("n").isNull(), "all differences are zero").otherwise("ok").alias("status"),
+        "tie_term",
+        (F.col("tie_term") > 0).alias("ties"),
+        F.when(F.col("n") == 0, "all differences are zero").otherwise("ok").alias("status"),
     )
 
 

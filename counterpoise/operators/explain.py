@@ -21,12 +21,12 @@ from counterpoise.operators import evaluate
 from counterpoise.operators.model import FittedModel, run_jobs
 from counterpoise.operators.selection import dense_index, sample_rows
 from counterpoise.task import RID, Task
+from counterpoise.workspace import spread
 
 GRID_STEPS = 100
 KERNEL_SPAN = 0.25
 CATEGORY_LIMIT = 100_000
 VARIABLES_PER_PASS = 8
-SPREAD_ROWS = 50_000_000
 
 Score = Callable[[DataFrame], "Column | DataFrame"]
 
@@ -54,14 +54,6 @@ def _limits(rows: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str, tup
     return row["n"], {v: (row[f"lo_{v}"], row[f"hi_{v}"]) for v in numeric if row[f"lo_{v}"] is not None}
 
 
-def _spread(rows: DataFrame, n: int) -> DataFrame:
-    """A short input in few files is dealt out to all cores before it is multiplied by the grid.
-
-    A long input already comes in many scan partitions and is not moved.
-    """
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if n <= SPREAD_ROWS else rows
-
-
 def grid_points(low: float, high: float, steps: int = GRID_STEPS) -> list[float]:
     """``steps + 1`` uniform points from low to high; one point for an empty range."""
     if low == high:
@@ -118,7 +110,7 @@ def _grids(
             grids.append(_Grid(v, len(values), categories=tuple(values)))
     if not grids:
         raise ValueError("nothing to explain")
-    return _spread(rows.select(*task.features), n), grids
+    return spread(rows.select(*task.features), n), grids
 
 
 def _passes(grids: Sequence[_Grid]) -> list[list[_Grid]]:
@@ -198,9 +190,9 @@ def partial_dependence(
 ) -> DataFrame:
     """Mean score with each variable set to each of its grid points."""
     rows = sample_rows(task.judging_rows, n, seed)
-    spread, all_grids = _grids(rows, task, variables, steps)
+    dealt, all_grids = _grids(rows, task, variables, steps)
     frames = [
-        _grid_sums(spread, task, grids, score, lambda g, p: {"y_hat": F.avg(p)}) for grids in _passes(all_grids)
+        _grid_sums(dealt, task, grids, score, lambda g, p: {"y_hat": F.avg(p)}) for grids in _passes(all_grids)
     ]
     return _as_curves(_united(frames), model, "PDP")
 
@@ -243,8 +235,8 @@ def accumulated_effects(
         here, ahead = weight(g, F.col("grid_idx")), weight(g, F.col("grid_idx") + 1)
         return {"weight": F.sum(here), "here": F.sum(here * p), "there": F.sum(ahead * p)}
 
-    spread, all_grids = _grids(rows, task, variables, steps)
-    totals = _united([_grid_sums(spread, task, grids, score, sums) for grids in _passes(all_grids)])
+    dealt, all_grids = _grids(rows, task, variables, steps)
+    totals = _united([_grid_sums(dealt, task, grids, score, sums) for grids in _passes(all_grids)])
     order = Window.partitionBy("variable").orderBy("grid_idx")
     local = F.coalesce((F.col("here") - F.lag("there").over(order)) / F.col("weight"), F.lit(0.0))
     curve = totals.withColumn("_local", local).withColumn("y_hat", F.sum("_local").over(order))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.functions import columns as C
-from counterpoise.functions.draws import draw
+from counterpoise.functions.draws import draw, with_draw
 from counterpoise.operators.selection import DRAW_BOUNDS, exact_cuts, up_to
 from counterpoise.task import RID, SPLIT, TEST, TRAIN, Task
 
@@ -92,8 +92,9 @@ def train_test_split(task: Task, test_size: float = 0.2, seed: int = 0) -> Task:
     _, cuts = exact_cuts(task.df.where(F.col(label).isNotNull()), label, [order], wanted, bounds=DRAW_BOUNDS)
     chosen = F.lit(False)
     for (group, _), cut in cuts.items():
-        chosen = chosen | ((F.col(label) == F.lit(group)) & up_to(cut, [order]))
-    return task.with_df(task.df.withColumn(SPLIT, F.when(chosen, TRAIN).otherwise(TEST)))
+        chosen = chosen | ((F.col(label) == F.lit(group)) & up_to(cut, [F.col("_h")]))
+    drawn = with_draw(task.df, "_h", order)
+    return task.with_df(drawn.withColumn(SPLIT, F.when(chosen, TRAIN).otherwise(TEST)).drop("_h"))
 
 
 def stratified_counts(counts: dict, test_size: float) -> dict:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.functions import columns as C
-from counterpoise.functions.draws import draw, uniform
+from counterpoise.functions.draws import draw, uniform, with_draw
 from counterpoise.operators.knn import nearest, tomek_links, vector_of
 from counterpoise.operators.prepare import class_counts, majority_of
 from counterpoise.operators.selection import DRAW_BOUNDS, dense_index, exact_cuts, up_to
@@ -132,7 +132,7 @@ def random_under(task: Task, ratios: Ratios | float = 1.0, seed: int = 0) -> Dat
     _, cuts = exact_cuts(
         majority_rows, label, [order], lambda counts: {classes.majority: sorted(set(kept.values()))}, bounds=DRAW_BOUNDS
     )
-    drawn = rows.withColumn("_h", order)
+    drawn = with_draw(rows, "_h", order)
     minority = F.col(label) == F.lit(classes.minority)
     chosen = _variants_of(kept, lambda n: minority | up_to(cuts[(classes.majority, n)], [F.col("_h")]))
     return _originals(drawn.where(F.col(label).isNotNull()), task, chosen)

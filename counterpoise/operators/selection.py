@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.functions.draws import DRAW_BITS, draw
+from counterpoise.functions.draws import DRAW_BITS, draw, with_draw
 from counterpoise.task import RID
 
 SLICES = 1024
@@ -56,8 +56,7 @@ def _key(i: int) -> str:
 
 def _with_keys(df: DataFrame, group: str, order: Sequence[Column], tie: str) -> DataFrame:
     fields = [F.col(group).alias("_g"), *[c.alias(_key(i)) for i, c in enumerate(order)], F.col(tie).alias("_tie")]
-    # A generator keeps later filters from being pushed below, which would
-    # repeat the hashing once per comparison.
+    # A generator, for the same reason as in ``with_draw``.
     return df.select(F.inline(F.array(F.struct(*fields))))
 
 
@@ -285,4 +284,4 @@ def sample_rows(df: DataFrame, n: int | None, seed: int) -> DataFrame:
     whole = df.withColumn("_all", F.lit(0))
     _, cuts = exact_cuts(whole, "_all", [order], lambda counts: {0: [n]}, bounds=DRAW_BOUNDS)
     cut = cuts.get((0, n), Cut(0, n, None))
-    return df.where(up_to(cut, [order]))
+    return with_draw(df, "_h", order).where(up_to(cut, [F.col("_h")])).drop("_h")

@@ -9,6 +9,7 @@ from counterpoise.plans import study
 from counterpoise.registry import explanations as E
 from counterpoise.registry import fixtures as X
 from counterpoise.registry import models as M
+from counterpoise.workspace import dealt_out
 
 BASE = "original"
 FILTERS = {"sampling": "under|over", "all": ".*"}
@@ -95,7 +96,7 @@ def _importance(spark, sf):
 
     ``dataset`` is the ship year, so each year's models are tested against their own base.
     """
-    rows = X.table(spark, sf, "lineitem").withColumn("dataset", F.year("l_shipdate").cast("string"))
+    rows = dealt_out(X.table(spark, sf, "lineitem")).withColumn("dataset", F.year("l_shipdate").cast("string"))
     cells = F.array(
         *[
             F.struct(
@@ -203,7 +204,7 @@ SELECT dataset, model, variable, position, dropout_loss FROM imp JOIN t USING (d
 
 def _feature_tests(spark, sf):
     """A p-value-like number per supplier and model: share of its rows a score ranks high."""
-    rows = X.table(spark, sf, "lineitem")
+    rows = dealt_out(X.table(spark, sf, "lineitem"))
     cells = F.array(*[F.struct(F.lit(m).alias("model"), X.score_of(m).alias("s")) for m in X.SCORE_WEIGHTS])
     return (
         rows.select("l_suppkey", F.inline(cells))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.sources.tables import task
 from counterpoise.task import Task
+from counterpoise.workspace import dealt_out
 
 SEED = 42
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> Task:
-    rows = table(spark, sf_dir, "lineitem")
+    rows = dealt_out(table(spark, sf_dir, "lineitem"))
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
     keyed = rows.withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     return task(

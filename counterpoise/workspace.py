@@ -16,6 +16,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_ROWS = 50_000_000
+
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -43,6 +45,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """Deal a short frame out to all cores before heavy per-row work.
+
+    A long frame already comes in many partitions and is not moved.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if n_rows <= SPREAD_ROWS else df
+
+
+def dealt_out(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer partitions than the cluster has cores.
+
+    Only short inputs (few files, few row groups) are moved; a long one already
+    comes in enough scan partitions and is returned as it is.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete the tables this application materialized; returns how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
