@@ -10,7 +10,10 @@ candidates within the bound leave the cell. Results are exact and ties are
 broken by row id.
 
 Two metrics share the code: Euclidean on ``vec``, and Euclidean plus
-``penalty`` per differing entry of ``cats`` (squared units).
+``penalty`` per differing entry of ``cats`` (squared units). Without a penalty
+``cats`` are only carried along. Callers that need the neighbour's vector or
+categories get them from the task that compared it (``carry=True``): a join on
+the neighbour id would be skewed, since copies share their neighbours.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.workspace import materialize, ship_package
+from counterpoise.workspace import materialize, ship_package, spread
 
 BLOCK_POINTS = 4096
 CHUNK_ROWS = 4096
@@ -46,13 +49,17 @@ def nearest(
     exclude_self: bool = True,
     penalty: float = 0.0,
     digits: int | None = None,
+    carry: bool = False,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest reference rows of every query row.
 
     Both frames have ``rid`` and ``vec`` (array<double>), and ``cats``
     (array<string>) when ``penalty`` is used. Returns
     ``(rid, neighbour, dist, rank)`` with rank 1..k by (dist, neighbour). With
-    ``digits`` distances are rounded first, so equal gaps tie exactly.
+    ``digits`` distances are rounded first, so equal gaps tie exactly. With
+    ``carry`` the neighbour's ``other_vec`` (and ``other_cats``) are added.
+    ``n_queries``, if known, lets a short query side be spread over all cores.
     """
     ship_package(queries.sparkSession)
     has_cats = "cats" in refs.columns
@@ -60,18 +67,25 @@ def nearest(
     coordinates = ["vec", "cats"] if has_cats else ["vec"]
     points = materialize(_points(refs, coordinates, keep), "points")
     n_points = points.count()
-    queries = queries.select("rid", *coordinates)
+    asked = coordinates if penalty else ["vec"]
+    queries = queries.select("rid", *asked)
+    if n_queries is not None:
+        queries = spread(queries, n_queries)
     rid_type = queries.schema["rid"].dataType.simpleString()
     ref_type = refs.schema["rid"].dataType.simpleString()
     flat = f"rid {rid_type}, neighbour {ref_type}, dist double"
-    cell = _Cell(k, keep, exclude_self, penalty, has_cats, digits)
+    added = [f"other_{c}" for c in coordinates] if carry else []
+    for c in added:
+        flat += f", {c} {refs.schema[c[len('other_'):]].dataType.simpleString()}"
+    cell = _Cell(k, keep, exclude_self, penalty, has_cats, digits, added)
 
     if n_points <= BLOCK_POINTS:
         pairs = _against_one_block(queries, points, cell, flat)
-        return pairs.select("rid", "neighbour", "dist", "rank")
-    pairs = _against_blocks(queries, points, n_points, cell, flat, coordinates)
+        return pairs.select("rid", "neighbour", "dist", "rank", *added)
+    pairs = _against_blocks(queries, points, n_points, cell, flat)
     order = Window.partitionBy("rid").orderBy("dist", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("rid", "neighbour", "dist", "rank", *added)
 
 
 def _points(refs: DataFrame, coordinates: list[str], keep: int) -> DataFrame:
@@ -93,9 +107,10 @@ def _points(refs: DataFrame, coordinates: list[str], keep: int) -> DataFrame:
 class _Cell:
     """Distances of one chunk of queries to one block of points."""
 
-    def __init__(self, k: int, keep: int, exclude_self: bool, penalty: float, has_cats: bool, digits: int | None):
+    def __init__(self, k: int, keep: int, exclude_self: bool, penalty: float, has_cats: bool, digits: int | None, added: list):
         self.k, self.keep, self.exclude_self = k, keep, exclude_self
-        self.penalty, self.has_cats, self.digits = penalty, has_cats, digits
+        self.penalty, self.has_cats, self.digits, self.added = penalty, has_cats, digits, added
+        self.compares_cats = has_cats and penalty > 0
         self.slack = 0.0 if digits is None else 10.0**-digits
 
     def prepare(self, points: pd.DataFrame) -> dict:
@@ -121,7 +136,7 @@ class _Cell:
         for j in range(vec.shape[1]):
             gap = vec[:, j, None] - block["vec"][None, :, j]
             total += gap * gap
-        if self.has_cats:
+        if self.compares_cats:
             for j in range(len(block["cats"][0])):
                 codes, _ = pd.factorize(
                     pd.Series([c[j] for c in cats] + [c[j] for c in block["cats"]]), use_na_sentinel=False
@@ -136,7 +151,7 @@ class _Cell:
         step = max(1, MATRIX_CELLS // max(1, len(block["vec"])))
         vec = _matrix(queries["vec"])
         qid = queries["rid"].to_numpy()
-        cats = queries["cats"].tolist() if self.has_cats else None
+        cats = queries["cats"].tolist() if self.compares_cats else None
         for at in range(0, len(queries), step):
             part = slice(at, at + step)
             dist = self.distances(vec[part], cats[part] if cats else None, block)
@@ -164,7 +179,13 @@ class _Cell:
             other = block["rids"][at] != qid[row]
             row, at, d, tie = row[other], at[other], d[other], tie[other]
         row, at, d, rank = _first_per_row(row, at, d, tie, self.k, ranks=True)
-        return pd.DataFrame({"rid": qid[row], "neighbour": block["rids"][at], "dist": d, "rank": rank})
+        found = {"rid": qid[row], "neighbour": block["rids"][at], "dist": d, "rank": rank}
+        if self.added:
+            point = np.searchsorted(block["start"], at, side="right") - 1
+            found["other_vec"] = list(block["vec"][point])
+            if self.has_cats:
+                found["other_cats"] = [block["cats"][i] for i in point]
+        return pd.DataFrame(found)
 
 
 def _first_per_row(row, value, d, tie, n, ranks=False):
@@ -190,7 +211,7 @@ def _against_one_block(queries: DataFrame, points: DataFrame, cell: _Cell, flat:
     """All points fit one block: ship that bounded block, shuffle nothing."""
     columns = ["vec", "rids"] + (["cats"] if cell.has_cats else [])
     local = points.select(*columns).limit(BLOCK_POINTS).toPandas()
-    schema = flat + ", rank int"
+    schema = flat.replace("dist double", "dist double, rank int")
     if local.empty:
         return queries.sparkSession.createDataFrame([], schema)
     block = queries.sparkSession.sparkContext.broadcast(cell.prepare(local))
@@ -200,14 +221,10 @@ def _against_one_block(queries: DataFrame, points: DataFrame, cell: _Cell, flat:
             if len(batch):
                 yield cell.run(batch, block.value, None)
 
-    spark = queries.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    return queries.repartition(slots, "rid").mapInPandas(run, schema)
+    return queries.mapInPandas(run, schema)
 
 
-def _against_blocks(
-    queries: DataFrame, points: DataFrame, n_points: int, cell: _Cell, flat: str, coordinates: list[str]
-) -> DataFrame:
+def _against_blocks(queries: DataFrame, points: DataFrame, n_points: int, cell: _Cell, flat: str) -> DataFrame:
     spark = queries.sparkSession
     tree = _kd_tree(points, n_points)
 
@@ -232,15 +249,13 @@ def _against_blocks(
         .drop("first", "parts"),
         "blocks",
     )
-    low, high = _boxes(blocked, n_blocks)
-    boxes = spark.sparkContext.broadcast((low, high))
+    search = spark.sparkContext.broadcast(_Search(tree, first_block, blocks_in, *_boxes(blocked, n_blocks)))
 
     # First visit: the home block bounds the k-th distance of each query.
-    n_queries = queries.count()
     slots = spark.sparkContext.defaultParallelism
     home = queries.withColumn("cell", route("vec")).join(F.broadcast(layout), "cell").drop("cell", "parts")
     home_counts = {r["first"]: r["count"] for r in home.groupBy("first").count().collect()}
-    chunk = max(256, min(CHUNK_ROWS, n_queries // (4 * slots) + 1))
+    chunk = max(256, min(CHUNK_ROWS, sum(home_counts.values()) // (4 * slots) + 1))
     visit_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
     visit_schema += ", bound double, targets array<int>"
 
@@ -253,7 +268,7 @@ def _against_blocks(
             last = found[found["rank"] == cell.k]
             position = pd.Series(np.arange(len(q)), index=q["rid"].to_numpy())
             limit[position[last["rid"].to_numpy()].to_numpy()] = last["dist"].to_numpy()
-        return q.assign(bound=limit, targets=_targets(_matrix(q["vec"]), limit + cell.slack, *boxes.value))
+        return q.assign(bound=limit, targets=search.value.within(_matrix(q["vec"]), limit + cell.slack))
 
     visited = materialize(
         _cells(home.withColumnRenamed("first", "block"), blocked, home_counts, chunk, spark)(
@@ -268,9 +283,8 @@ def _against_blocks(
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"rid": [], "neighbour": [], "dist": []})
-        found = cell.run(q, cell.prepare(p), q["bound"].to_numpy())
-        return found[["rid", "neighbour", "dist"]]
+            return pd.DataFrame({c: [] for c in ["rid", "neighbour", "dist", *cell.added]})
+        return cell.run(q, cell.prepare(p), q["bound"].to_numpy()).drop(columns="rank")
 
     return _cells(sent, blocked, sent_counts, chunk, spark)(compare, flat)
 
@@ -294,23 +308,6 @@ def _cells(queries: DataFrame, blocked: DataFrame, counts: dict, chunk: int, spa
     return grouped.applyInPandas
 
 
-def _targets(vec: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> list:
-    """Blocks whose bounding box lies within the bound of each query."""
-    out = []
-    step = max(1, MATRIX_CELLS // max(1, len(low)))
-    filled = np.isfinite(low[:, 0])
-    for at in range(0, len(vec), step):
-        v = vec[at : at + step]
-        total = np.zeros((len(v), len(low)))
-        for j in range(v.shape[1]):
-            gap = np.maximum(np.maximum(low[None, :, j] - v[:, j, None], v[:, j, None] - high[None, :, j]), 0.0)
-            total += gap * gap
-        # A hair of slack keeps rounding from excluding an exact tie.
-        near = np.sqrt(total) <= bound[at : at + step, None] * (1 + 1e-9) + 1e-300
-        out.extend(np.nonzero(r)[0].astype(np.int32) for r in near & filled)
-    return out
-
-
 def _boxes(blocked: DataFrame, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Bounding box per block, as (blocks x dims) arrays; empty blocks are infinitely far."""
     sides = (
@@ -349,6 +346,51 @@ class _Tree:
         return leaf
 
 
+class _Search:
+    """Blocks within a distance of each query: the tree is descended only where boxes are near."""
+
+    def __init__(self, tree: _Tree, first_block: dict, blocks_in: dict, low: np.ndarray, high: np.ndarray):
+        self.splits = tree.splits
+        self.leaf_blocks = [list(range(first_block[c], first_block[c] + blocks_in[c])) for c in range(tree.leaves)]
+        self.low, self.high = low, high
+        self.node_boxes = [None] * len(tree.splits)
+        for node in reversed(range(len(tree.splits))):
+            sides = [self._child_box(child) for child in tree.splits[node][2:]]
+            self.node_boxes[node] = (
+                np.minimum(sides[0][0], sides[1][0]),
+                np.maximum(sides[0][1], sides[1][1]),
+            )
+
+    def _child_box(self, child: int):
+        if child >= 0:
+            return self.node_boxes[child]
+        blocks = self.leaf_blocks[-child - 1]
+        return self.low[blocks].min(axis=0), self.high[blocks].max(axis=0)
+
+    @staticmethod
+    def _near(vec: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        if not np.isfinite(low[0]):
+            return np.zeros(len(vec), dtype=bool)
+        gap = np.maximum(np.maximum(low - vec, vec - high), 0.0)
+        # A hair of slack keeps rounding from excluding an exact tie.
+        return np.sqrt((gap * gap).sum(axis=1)) <= bound * (1 + 1e-9) + 1e-300
+
+    def within(self, vec: np.ndarray, bound: np.ndarray) -> list:
+        found: list[list[int]] = [[] for _ in range(len(vec))]
+        todo = [(0 if self.splits else -1, np.arange(len(vec)))] if len(vec) else []
+        while todo:
+            node, rows = todo.pop()
+            if node >= 0:
+                rows = rows[self._near(vec[rows], bound[rows], *self.node_boxes[node])]
+                if len(rows):
+                    todo.extend((child, rows) for child in self.splits[node][2:])
+                continue
+            for block in self.leaf_blocks[-node - 1]:
+                for r in rows[self._near(vec[rows], bound[rows], self.low[block], self.high[block])]:
+                    found[r].append(block)
+        return found
+
+
 def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
     """Split a bounded sample at medians of the widest dimension.
 
@@ -388,14 +430,11 @@ def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
 
 def tomek_links(rows: DataFrame, label: str) -> DataFrame:
     """Pairs of opposite classes that are each other's nearest neighbour: (rid, neighbour)."""
-    first = materialize(nearest(rows, rows, 1).select("rid", "neighbour"), "first-neighbours")
-    back = first.select(F.col("neighbour").alias("rid"), F.col("rid").alias("neighbour"))
-    mutual = first.join(back, ["rid", "neighbour"], "left_semi")
-    labels = rows.select("rid", F.col(label).alias("_own"))
-    others = rows.select(F.col("rid").alias("neighbour"), F.col(label).alias("_other"))
-    return (
-        mutual.join(labels, "rid")
-        .join(others, "neighbour")
-        .where(F.col("_own") != F.col("_other"))
-        .select("rid", "neighbour")
+    marked = rows.select("rid", "vec", F.array(F.col(label).cast("string")).alias("cats"), F.col(label).alias("_own"))
+    first = nearest(marked, marked, 1, carry=True).select("rid", "neighbour", F.col("other_cats")[0].alias("_other"))
+    opposite = first.join(marked.select("rid", F.col("_own").cast("string").alias("_own")), "rid").where(
+        F.col("_own") != F.col("_other")
     )
+    opposite = materialize(opposite.select("rid", "neighbour"), "opposite-neighbours")
+    back = opposite.select(F.col("neighbour").alias("rid"), F.col("rid").alias("neighbour"))
+    return opposite.join(back, ["rid", "neighbour"], "left_semi")

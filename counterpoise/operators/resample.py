@@ -21,7 +21,7 @@ from counterpoise.operators.knn import nearest, tomek_links, vector_of
 from counterpoise.operators.prepare import class_counts, majority_of
 from counterpoise.operators.selection import DRAW_BOUNDS, dense_index, exact_cuts, up_to
 from counterpoise.task import RID, Task
-from counterpoise.workspace import materialize
+from counterpoise.workspace import materialize, salted_join
 
 ORIGINAL, COPY, SYNTHETIC = "original", "copy", "synthetic"
 ROWS_PER_SLICE = 2_000_000
@@ -184,7 +184,7 @@ def near_miss(task: Task, ratios: Ratios | float = 1.0, neighbours: int = 3, see
     majority = points.where(F.col(label) == F.lit(classes.majority)).drop(label)
     minority = points.where(F.col(label) == F.lit(classes.minority)).drop(label)
     closeness = materialize(
-        nearest(majority, minority, neighbours, exclude_self=False)
+        nearest(majority, minority, neighbours, exclude_self=False, n_queries=classes.n_majority)
         .groupBy(RID)
         .agg(F.avg("dist").alias("_d"))
         .withColumn("_all", F.lit(0)),
@@ -277,11 +277,10 @@ def _interpolated(task, classes, added, k, seed, bases) -> DataFrame:
 def _segments(starts: DataFrame, points: DataFrame, classes: Classes, k: int, seed: int):
     """Numbered base rows with the vectors of their neighbours: (idx, rank, vec, other)."""
     k = _neighbour_count(classes, k)
-    pairs = nearest(starts, points, k)
-    others = points.select(F.col(RID).alias("neighbour"), F.col("vec").alias("other"))
+    pairs = nearest(starts, points, k, carry=True, n_queries=classes.n_minority)
     numbered = dense_index(starts, draw(seed, "index", F.col(RID)))
     segments = materialize(
-        pairs.join(others, "neighbour").join(numbered, RID).select("idx", "rank", "vec", "other"), "segments"
+        pairs.join(numbered, RID).select("idx", "rank", "vec", F.col("other_vec").alias("other")), "segments"
     )
     n_bases = segments.where(F.col("rank") == 1).count()
     return segments, n_bases, k
@@ -310,6 +309,15 @@ def _empty_like(task: Task) -> DataFrame:
     )
 
 
+def _texts(names: Sequence[str]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in names])
+
+
+def _from_texts(task: Task, names: Sequence[str]) -> list[Column]:
+    """The carried categories of a neighbour, in the features' own types."""
+    return [F.col("other_cats")[i].cast(task.df.schema[c].dataType).alias(c) for i, c in enumerate(names)]
+
+
 def _mixed(task, classes, added, k, seed, categorical, penalty_factor) -> DataFrame:
     numeric = [c for c in task.features if c not in categorical]
     k = _neighbour_count(classes, k)
@@ -320,13 +328,14 @@ def _mixed(task, classes, added, k, seed, categorical, penalty_factor) -> DataFr
     points = minority.select(
         RID,
         vector_of(minority, numeric).alias("vec"),
-        F.array(*[F.col(c).cast("string") for c in categorical]).alias("cats"),
+        _texts(categorical).alias("cats"),
     )
-    pairs = materialize(nearest(points, points, k, penalty=penalty_factor * middle * middle, digits=9), "mixed-neighbours")
-    others = minority.select(
-        F.col(RID).alias("neighbour"), vector_of(minority, numeric).alias("other"), *categorical
+    penalty = penalty_factor * middle * middle
+    found = nearest(points, points, k, penalty=penalty, digits=9, carry=True, n_queries=classes.n_minority)
+    beside = materialize(
+        found.select(RID, "rank", F.col("other_vec").alias("other"), *_from_texts(task, categorical)),
+        "mixed-neighbours",
     )
-    beside = pairs.join(others, "neighbour")
     votes = beside.groupBy(RID).agg(*[F.mode(c, True).alias(c) for c in categorical])
     numbered = dense_index(points.drop("cats"), draw(seed, "index", F.col(RID)))
     segments = materialize(
@@ -343,7 +352,6 @@ def _mixed(task, classes, added, k, seed, categorical, penalty_factor) -> DataFr
         drawn.join(segments, ["idx", "rank"])
         .withColumn("_u", uniform(seed, "weight", F.col("draw")))
         .withColumn("_new", new)
-        .withColumns({c: F.col(c) for c in categorical})
     )
     values = {c: F.col(c) for c in categorical}
     for i, column in enumerate(_unpacked(task, numeric, "_new")):
@@ -375,11 +383,16 @@ def _voted(task, classes, added, k, seed) -> DataFrame:
     minority = _minority(task, classes)
     coded = minority
     for c, table in value_differences(task, classes).items():
-        coded = coded.join(table, c)
-    points = coded.select(RID, F.array(*[F.col(f"_v_{c}") for c in task.features]).alias("vec"))
-    pairs = nearest(points, points, k, digits=9)
-    others = minority.select(F.col(RID).alias("neighbour"), *task.features)
-    votes = pairs.join(others, "neighbour").groupBy(RID).agg(*[F.mode(c, True).alias(c) for c in task.features])
+        coded = salted_join(coded, table, c)
+    points = coded.select(
+        RID, F.array(*[F.col(f"_v_{c}") for c in task.features]).alias("vec"), _texts(task.features).alias("cats")
+    )
+    found = nearest(points, points, k, digits=9, carry=True, n_queries=classes.n_minority)
+    votes = (
+        found.select(RID, *_from_texts(task, task.features))
+        .groupBy(RID)
+        .agg(*[F.mode(c, True).alias(c) for c in task.features])
+    )
     numbered = dense_index(minority.select(RID), draw(seed, "index", F.col(RID)))
     voted = materialize(numbered.join(votes, RID).drop(RID), "votes")
     return (
@@ -398,14 +411,14 @@ def _voted(task, classes, added, k, seed) -> DataFrame:
 def endangered(task: Task, classes: Classes, m: int = 10) -> DataFrame:
     """Minority rows with at least half, but not all, of their m neighbours in the majority."""
     rows, label = task.fitting_rows, task.require_label()
-    points = rows.select(RID, label, vector_of(rows, task.features).alias("vec"))
-    minority = points.where(F.col(label) == F.lit(classes.minority)).drop(label)
+    points = rows.select(
+        RID, vector_of(rows, task.features).alias("vec"), _texts([label]).alias("cats")
+    )
+    minority = points.where(F.col("cats")[0] == F.lit(classes.minority).cast("string"))
     m = min(m, classes.n_majority + classes.n_minority - 1)
-    labels = points.select(F.col(RID).alias("neighbour"), F.col(label).alias("_l"))
-    against = F.sum((F.col("_l") == F.lit(classes.majority)).cast("int"))
+    against = F.sum((F.col("other_cats")[0] == F.lit(classes.majority).cast("string")).cast("int"))
     return (
-        nearest(minority, points.drop(label), m)
-        .join(labels, "neighbour")
+        nearest(minority, points, m, carry=True, n_queries=classes.n_minority)
         .groupBy(RID)
         .agg(against.alias("_against"))
         .where((F.col("_against") * 2 >= m) & (F.col("_against") < m))
@@ -433,7 +446,7 @@ def smote_tomek(task: Task, ratios: Ratios | float = 1.0, k: int = 5, seed: int
     ratios = _ratios(ratios)
     label = task.require_label()
     _require_numeric(task)
-    grown = materialize(smote(task, ratios, k=k, seed=seed), "grown")
+    grown = materialize(smote(task, ratios, k=k, seed=seed), "grown", ["variant"])
     out = None
     for variant in ratios:
         rows = grown.where(F.col("variant") == variant)
@@ -468,20 +481,3 @@ def custom(task: Task, resample: Resampler, ratios: Ratios | float = 1.0, seed:
         )
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def with_test_part(task: Task, balanced: DataFrame, variants: Sequence[str]) -> DataFrame:
-    """Long table with a ``split`` column: rebalanced train rows, untouched test rows."""
-    train = balanced.withColumn("split", F.lit("train"))
-    if not task.was_split:
-        return train
-    test = task.test.df.select(
-        F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"),
-        F.col(RID).cast("string").alias(RID),
-        *_columns(task),
-        F.lit(ORIGINAL).alias("origin"),
-        F.lit("test").alias("split"),
-    )
-    return train.unionByName(test)
-
-

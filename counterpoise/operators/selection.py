@@ -22,6 +22,7 @@ from counterpoise.functions.draws import DRAW_BITS, draw, with_draw
 from counterpoise.task import RID
 
 SLICES = 1024
+MAX_GROUPS = 100
 RANKABLE_ROWS = 50_000
 DRAW_BOUNDS = (0, 2**DRAW_BITS - 1)
 
@@ -99,7 +100,10 @@ def exact_cuts(
     else:
         low, high = bounds
         sliced = keyed.withColumn("_slice", _slice_of(F.col(_key(0)), F.lit(low), F.lit(high)))
-        first_histogram = sliced.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("n"), *spans).collect()
+        slices = sliced.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("n"), *spans)
+        first_histogram = slices.limit(MAX_GROUPS * SLICES + 1).collect()
+        if len(first_histogram) > MAX_GROUPS * SLICES:
+            raise ValueError(f"more than {MAX_GROUPS} groups; is {group} really a class label?")
         counts = {}
         for r in first_histogram:
             counts[r["_g"]] = counts.get(r["_g"], 0) + r["n"]

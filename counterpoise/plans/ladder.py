@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators import resample
+from counterpoise.operators.prepare import custom_split
 from counterpoise.operators.resample import Classes, classes_of
-from counterpoise.task import SPLIT, Task, TaskSet
+from counterpoise.task import RID, Task, TaskSet
+from counterpoise.workspace import materialize
 
 ORIGINAL_VARIANT = "original"
 
@@ -78,19 +80,26 @@ def variant_of(dataset: str, method: str, ratio: float, base: float, precision:
 
 @dataclass(frozen=True)
 class Ladder:
-    """``rows``: long table of all variants; ``variants`` and ``failures``: small tables."""
+    """``rows``: long table of the rebalanced train rows of all variants;
+    ``variants`` and ``failures``: small tables."""
 
     rows: DataFrame | None
     variants: DataFrame
     failures: DataFrame
     names: tuple[str, ...]
 
+    def stored(self) -> "Ladder":
+        """Rows written once, one directory per variant, so that a fit reads only its own."""
+        return replace(self, rows=materialize(self.rows, "variants", ["variant"]))
+
     def task(self, base: Task, variant: str) -> Task:
-        """One variant as a task, with the untouched test part when there is one."""
+        """One variant as a task; the test part is the base task's, untouched."""
         rows = self.rows.where(F.col("variant") == variant).drop("variant", "origin")
+        whole = replace(base, name=variant, df=rows)
         if not base.was_split:
-            rows = rows.drop(SPLIT)
-        return replace(base, name=variant, df=rows)
+            return whole
+        test = base.test.df.withColumn(RID, F.col(RID).cast("string"))
+        return custom_split(whole, rows, test.select(*rows.columns))
 
 
 def rebalance_ladder(
@@ -130,8 +139,6 @@ def rebalance_ladder(
         rows = base if rows is None else rows.unionByName(base)
         names.append(task.name)
         variants.append((task.name, Variant(task.name, ORIGINAL_VARIANT, classes.ratio, 1.0, 1.0)))
-    if rows is not None:
-        rows = resample.with_test_part(task, rows, names)
     return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names))
 
 
@@ -202,8 +209,6 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
         variants.append((name, Variant(name, op.__name__, ratio, ratio / base, of_range)))
         rows = part if rows is None else rows.unionByName(part)
     names = tuple(n for n, _ in variants)
-    if rows is not None:
-        rows = resample.with_test_part(task, rows, names)
     return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names)
 
 

@@ -96,13 +96,11 @@ def run_study(
     concurrency: int = 4,
 ) -> Study:
     """Run every stage for one split task; result tables are small and kept."""
-    made = ladder.rebalance_ladder(task, methods, n_per_method, seed)
-    rows = materialize(made.rows, "variants")
-    kept = ladder.Ladder(rows, made.variants, made.failures, made.names)
+    made = ladder.rebalance_ladder(task, methods, n_per_method, seed).stored()
     majority = model.majority_of(model.class_counts(task))
 
     def fit(name):
-        variant = kept.task(task, name)
+        variant = made.task(task, name)
         variant = variant.with_df(variant.df, majority=majority)
         return model.fit_model(variant, estimator, seed=seed, balanced_weights=balanced_weights, name=name)
 

@@ -13,8 +13,10 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPREAD_ROWS = 50_000_000
 
@@ -36,11 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    ``partition_by`` columns become directories, so that later reads of one
+    value skip the others.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +69,17 @@ def dealt_out(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join with a small-per-key table when one key may hold a large share of ``rows``.
+
+    Rows of a key are dealt over salts by the partition they lie in; the table is
+    copied once per salt.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete the tables this application materialized; returns how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
