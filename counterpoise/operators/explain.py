@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from counterpoise.functions import columns as C
 from counterpoise.functions.draws import draw
 from counterpoise.operators import evaluate
-from counterpoise.operators.model import FittedModel, run_jobs
+from counterpoise.operators.model import FittedModel
 from counterpoise.operators.selection import dense_index, sample_rows
 from counterpoise.task import RID, Task
-from counterpoise.workspace import spread
+from counterpoise.workspace import run_jobs, spread
 
 GRID_STEPS = 100
 KERNEL_SPAN = 0.25

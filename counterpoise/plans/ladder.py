@@ -127,7 +127,7 @@ def rebalance_ladder(
         wanted = _unique_names(made)
         try:
             part = build(task, {n: v.ir for n, v in wanted.items()}, seed) if wanted else None
-        except resample.BalancingError as error:
+        except Exception as error:  # any failing branch is reported, the others go on
             failures.extend((task.name, name, str(error)) for name in wanted)
             continue
         variants.extend((name, v) for name, v in wanted.items())
@@ -202,7 +202,7 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
         taken.add(name)
         try:
             part = op(task, {name: ratio}, **settings)
-        except resample.BalancingError as error:
+        except Exception as error:  # any failing branch is reported, the others go on
             failures.append((task.name, name, str(error)))
             continue
         of_range = (ratio - 1) / (base - 1) if base != 1 else 0.0

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators import compare, evaluate, explain, model
+from counterpoise.operators.prepare import class_counts, majority_of
 from counterpoise.plans import ladder
 from counterpoise.task import Task
-from counterpoise.workspace import materialize
+from counterpoise.workspace import materialize, run_jobs
 
 GROUPINGS = ("dataset_type", "method", "level", "dataset")
 
@@ -97,7 +98,7 @@ def run_study(
 ) -> Study:
     """Run every stage for one split task; result tables are small and kept."""
     made = ladder.rebalance_ladder(task, methods, n_per_method, seed).stored()
-    majority = model.majority_of(model.class_counts(task))
+    majority = majority_of(class_counts(task))
 
     def fit(name):
         variant = made.task(task, name)
@@ -106,7 +107,7 @@ def run_study(
 
     names = list(made.names)
     models = dict(
-        zip([(n,) for n in names], model.run_jobs([lambda n=n: fit(n) for n in names], concurrency))
+        zip([(n,) for n in names], run_jobs([lambda n=n: fit(n) for n in names], concurrency))
     )
     predictions = materialize(model.predict_all(models), "predictions")
     metrics = materialize(evaluate.report(predictions, ["model"]), "metrics")

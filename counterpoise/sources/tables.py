@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.task import RID, Task, TaskSet
-from counterpoise.workspace import ship_package
+from counterpoise.workspace import run_jobs, ship_package
 
 COPIES_PER_ROW = 1_000_000
 
@@ -95,14 +95,15 @@ def _list_files(spark: SparkSession, path: str) -> list[str]:
 
 def from_directory(spark: SparkSession, path: str, name: str = "tasks", **options) -> TaskSet:
     """One task per ``*.csv`` and numeric ``*.npy`` file; other files are ignored."""
-    tasks = []
-    for file in _list_files(spark, path):
-        stem = file.rsplit("/", 1)[-1]
+    def reader(file, stem):
         if stem.endswith(".csv"):
-            tasks.append(from_csv(spark, file, name=stem[: -len(".csv")], **options))
-        elif stem.endswith(".npy"):
-            tasks.append(from_npy(spark, file, stem[: -len(".npy")]))
-    return TaskSet.of(tasks, name)
+            return lambda: from_csv(spark, file, name=stem[: -len(".csv")], **options)
+        return lambda: from_npy(spark, file, stem[: -len(".npy")])
+
+    ship_package(spark)
+    files = [(f, f.rsplit("/", 1)[-1]) for f in _list_files(spark, path)]
+    jobs = [reader(f, stem) for f, stem in files if stem.endswith((".csv", ".npy"))]
+    return TaskSet.of(run_jobs(jobs), name)
 
 
 def from_npy(spark: SparkSession, path: str, name: str = "dataset") -> Task:
