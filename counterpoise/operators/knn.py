@@ -59,7 +59,8 @@ def nearest(
     ``(rid, neighbour, dist, rank)`` with rank 1..k by (dist, neighbour). With
     ``digits`` distances are rounded first, so equal gaps tie exactly. With
     ``carry`` the neighbour's ``other_vec`` (and ``other_cats``) are added.
-    ``n_queries``, if known, lets a short query side be spread over all cores.
+    ``n_queries``, if known, saves counting them before a short query side is
+    spread over all cores.
     """
     ship_package(queries.sparkSession)
     has_cats = "cats" in refs.columns
@@ -69,8 +70,6 @@ def nearest(
     n_points = points.count()
     asked = coordinates if penalty else ["vec"]
     queries = queries.select("rid", *asked)
-    if n_queries is not None:
-        queries = spread(queries, n_queries)
     rid_type = queries.schema["rid"].dataType.simpleString()
     ref_type = refs.schema["rid"].dataType.simpleString()
     flat = f"rid {rid_type}, neighbour {ref_type}, dist double"
@@ -80,6 +79,7 @@ def nearest(
     cell = _Cell(k, keep, exclude_self, penalty, has_cats, digits, added)
 
     if n_points <= BLOCK_POINTS:
+        queries = spread(queries, queries.count() if n_queries is None else n_queries)
         pairs = _against_one_block(queries, points, cell, flat)
         return pairs.select("rid", "neighbour", "dist", "rank", *added)
     pairs = _against_blocks(queries, points, n_points, cell, flat)
