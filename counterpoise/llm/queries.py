@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import common, language
+from counterpoise.llm import common, decontaminate, language
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,44 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs.drop("lang"), model).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op4_language": op4_language}
-
-ORACLE_SQL: dict[str, str] = {}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of ten words of a benchmark item."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("stretches", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        common.sha256_of(F.array_join("items", ",")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+test AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS passage
+  FROM test, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS passage
+  FROM tokens, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+found AS (SELECT g.doc_id, g.n, g.i, v.item_id FROM grams g JOIN windows v ON g.n = v.n AND g.passage = v.passage),
+hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tokens t LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination}
+
+ORACLE_SQL = {"op5_decontamination": OP5_SQL}
