@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterpoise.llm import common
 from counterpoise.workspace import materialize
@@ -194,15 +195,13 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
         return run
 
     built = [spark.sparkContext.broadcast(a) for a in automata(items, window=window, shard_words=shard_words, **names)]
-    whole = docs.schema
-    for field in schema.fields:
-        whole = whole.add(field.name, field.dataType)
+    whole = T.StructType([*docs.schema.fields, *schema.fields])
     if len(built) <= 1:
         return common.map_batches(docs, scan(built[0] if built else None), whole)
     # One row number tells equal rows apart; it is stored, so that a lost task can't change it.
     row = common.fresh(docs, "row")[0]
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    part = whole.add(row, "bigint")
+    part = T.StructType([*whole.fields, T.StructField(row, T.LongType())])
     parts = [common.map_batches(numbered.select(*columns, row), scan_with(scan(b), len(columns)), part).drop(*columns) for b in built]
     merged = parts[0]
     for other in parts[1:]:
