@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import common, decontaminate, language
+from counterpoise.llm import common, decontaminate, language, linechunks
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,40 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM tokens t LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination}
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated runs of lines."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linechunks.remove_repeats(docs)
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, i, ls[i] AS line,
+    len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS words,
+    ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''), unnest(range(1, len(ls) + 1)) AS t(i)),
+rolled AS (
+  SELECT *, words >= 50 AS solo,
+    ((coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296) % 4 = 0 OR words >= 50
+      OR coalesce(lead(words) OVER w, 0) >= 50 AS cut
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (
+  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM rolled),
+chunks AS (
+  SELECT doc_id, chunk, min(i) AS start, count(*) AS n, bool_or(solo) OR (count(*) >= 2 AND sum(words) >= 10) AS removable,
+    string_agg(line, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, chunk),
+ranked AS (
+  SELECT *, removable AND row_number() OVER (PARTITION BY removable, body ORDER BY doc_id, start) > 1 AS gone FROM chunks),
+kept AS (
+  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed,
+    coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '') AS text
+  FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.text, d.text) AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_line_chunks": op8_line_chunks}
 
-ORACLE_SQL = {"op5_decontamination": OP5_SQL}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op8_line_chunks": OP8_SQL}
