@@ -65,7 +65,7 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
     key = F.concat_ws(":", F.coalesce(at[id_col].cast("string"), F.lit("-")), F.xxhash64(at[text]).cast("string"))
-    return renamed.select(key.alias("key"), at[id_col].isNull().alias("no_id"), at[id_col].alias("id"), at[text].alias("body"), "*")
+    return renamed.select(key.alias("key"), at[id_col].isNull().alias("no_id"), at[id_col].alias("id"), "*")
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -88,7 +88,9 @@ def remove_repeats(
     that loses all of its lines becomes empty.  An empty table stays empty.
     """
     keyed = _keyed(docs, id_col, text)
-    body = keyed.columns.index("body")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    spot = docs.columns.index(text)
+    body = columns[spot]
     id_type = docs.schema[id_col].dataType
 
     def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def remove_repeats(
 
     schema = T.StructType().add("key", "string").add("no_id", "boolean").add("id", id_type).add("start", "integer").add("end", "integer").add("hash", "long")
     order = F.struct("no_id", "id", "key", "start")
-    chunks = materialize(common.map_batches(keyed.select("key", "no_id", "id", "body"), chunks_of, schema), "chunks")
+    chunks = materialize(common.map_batches(keyed.select("key", "no_id", "id", body), chunks_of, schema), "chunks")
     repeated = chunks.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     marked = (
         chunks.join(repeated, "hash")
@@ -136,7 +138,7 @@ def remove_repeats(
             )
 
     schema = T.StructType().add("key", "string").add("no_id", "boolean").add("id", id_type).add("start", "integer").add("hash", "long").add("chunk", "binary")
-    texts = common.map_batches(joined.where("marks is not null").select("key", "no_id", "id", "body", "marks"), texts_of, schema)
+    texts = common.map_batches(joined.where("marks is not null").select("key", "no_id", "id", body, "marks"), texts_of, schema)
     clashes = materialize(texts.select("hash", "chunk").distinct().groupBy("hash").count().where("count > 1").select("hash"), "clashes")
     if not clashes.isEmpty():
         told_apart = materialize(texts.join(clashes, "hash", "left_semi"), "apart")
@@ -170,8 +172,6 @@ def remove_repeats(
         ).drop("clashing", "stay")
 
     names = common.fresh(docs, "n_lines", "n_removed")
-    columns = [f"c{i}" for i in range(len(docs.columns))]
-    spot = docs.columns.index(text)
     out = T.StructType()
     for field, name in zip(docs.schema.fields, docs.columns):
         out = out.add(name, field.dataType, True)
