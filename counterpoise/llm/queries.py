@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import common, decontaminate, language, linechunks
+from counterpoise.llm import chosenpath, common, decontaminate, language, linechunks
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,32 @@ SELECT d.doc_id, coalesce(k.text, d.text) AS text, CAST(coalesce(n_lines, 0) AS
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_line_chunks": op8_line_chunks}
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, Jaccard 0.8."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chosenpath.join(docs).select("doc_id", "class_id", "n_links")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM tokens, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * shared >= 8 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links
+FROM documents d JOIN classes c ON c.a = d.doc_id LEFT JOIN counts n ON n.a = d.doc_id
+"""
+
+QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_line_chunks": op8_line_chunks, "op9_chosen_path_join": op9_chosen_path_join}
 
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op8_line_chunks": OP8_SQL}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op8_line_chunks": OP8_SQL, "op9_chosen_path_join": OP9_SQL}
