@@ -210,41 +210,43 @@ def compare(rows: list[tuple], similarity: float) -> Iterator[tuple[int, int, in
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL) -> DataFrame:
-    """One row for each row of ``docs``: its id, ``fp``, ``class_id``, ``n_links``.
+    """One row for each row of ``docs``: ``id``, ``body_hash``, ``fp``, ``root``, ``class_id``, ``n_links``.
 
     ``class_id`` is the smallest id of the documents joined by links, directly or
     through others; ``n_links`` counts the other rows whose similarity is at least
-    ``similarity``.  ``fp`` is a number of the shingle set.  Texts that are null or
-    have no words are in a class of their own, without links and with a null
-    ``fp``.  Repeated rows are copies and link to each other.  Null ids count as
+    ``similarity``.  ``fp`` is a number of the shingle set, ``root`` the one that names
+    the class and ``body_hash`` a hash of the text.  Texts that are null or have no
+    words are in a class of their own, without links and with a null ``fp`` and
+    ``root``.  Repeated rows are copies and link to each other.  Null ids count as
     copies, but never name a class that has an id.
     """
     runs = n_runs(similarity, recall)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("body"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body_hash"), F.col(text).cast("string").alias("body"))
     id_type = source.schema["id"].dataType
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for sets in in_parts(batch.column(1).to_pylist()):
+            for sets in in_parts(batch.column(2).to_pylist()):
                 own, one, two, three = paths(sets, runs, similarity)
                 order = np.argsort(own, kind="stable")
                 offsets = pa.array(np.searchsorted(own[order], np.arange(len(sets) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(sets)),
+                        batch.column(1).slice(at, len(sets)),
                         pa.array([print_of(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.ListArray.from_arrays(offsets, pa.array(one[order], pa.int64())),
                         pa.ListArray.from_arrays(offsets, pa.array(two[order], pa.int32())),
                         pa.ListArray.from_arrays(offsets, pa.array(three[order], pa.int32())),
                     ],
-                    names=["id", "fp", "n", "one", "two", "three"],
+                    names=["id", "body_hash", "fp", "n", "one", "two", "three"],
                 )
                 at += len(sets)
 
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType().add("id", id_type).add("fp", "long").add("n", "integer").add("one", T.ArrayType(T.LongType())).add("two", ints).add("three", ints)
+    schema = T.StructType().add("id", id_type).add("body_hash", "long").add("fp", "long").add("n", "integer").add("one", T.ArrayType(T.LongType())).add("two", ints).add("three", ints)
     signed = materialize(common.map_batches(source, signatures, schema), "signatures")
     sets = materialize(
         signed.where("fp is not null").groupBy("fp").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("one", "two", "three")]),
@@ -304,10 +306,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity
     told = sets.select("fp", "copies", "id").join(links, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     told = materialize(told, "told")
     named = told.groupBy("root").agg(F.min("id").alias("class_id"))
-    facts = told.join(named, "root").select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    with_words = signed.where("fp is not null").select("id", "fp").join(facts, "fp").select("id", "fp", "class_id", "n_links")
-    without = signed.where("fp is null").select("id", "fp", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(without).withColumnRenamed("id", id_col)
+    facts = told.join(named, "root").select("fp", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = ["id", "body_hash", "fp", "root", "class_id", "n_links"]
+    with_words = signed.where("fp is not null").select("id", "body_hash", "fp").join(facts, "fp").select(*out)
+    nothing = F.lit(None).cast("long")
+    without = signed.where("fp is null").select("id", "body_hash", "fp", nothing.alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_words.unionByName(without)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: the one with the smallest id (then hash of the text; null ids last).
+
+    Rows whose text is null or has no words all stay.  Of repeated rows one stays.
+    """
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*columns)
+    id_at, text_at = (columns[docs.columns.index(c)] for c in (id_col, text))
+    wordless = ~F.coalesce(F.col(text_at), F.lit("")).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    found = join(inner, id_at, text_at, **options).where("fp is not null")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body_hash")).alias("first"))
+    first = materialize(first.select(F.col("first.id").alias("first_id"), F.col("first.body_hash").alias("first_hash")), "first")
+    rows = inner.where(~wordless).withColumn("body_hash", F.xxhash64(text_at))
+    kept = rows.join(first, F.col(id_at).eqNullSafe(F.col("first_id")) & (F.col("body_hash") == F.col("first_hash")))
+    kept = kept.dropDuplicates([id_at, "body_hash"]).select(*columns)
+    return kept.unionByName(inner.where(wordless)).toDF(*docs.columns)
 
 
 def _parts(sets: DataFrame, small: int) -> DataFrame:

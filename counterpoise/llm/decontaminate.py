@@ -257,7 +257,8 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", min_words: int
     a whole shorter item.  Documents of which more than ``max_coverage`` of the
     words are shared go as a whole.  Texts without findings are untouched.
     """
-    spot = docs.columns.index(text)
+    columns = docs.columns
+    spot = columns.index(text)
     extra = common.fresh(docs, "n_words", "stretches", "items")
     if extra != ["n_words", "stretches", "items"]:
         renamed = [f"c{i}" for i in range(len(docs.columns))]
@@ -275,6 +276,6 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", min_words: int
             ]
             arrays = list(batch.columns)
             arrays[spot] = pa.array(bodies, batch.schema.field(spot).type)
-            yield pa.RecordBatch.from_arrays(arrays[: len(docs.columns)], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays[: len(columns)], names=columns)
 
     return common.map_batches(found, cut_out, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import chosenpath, common, decontaminate, language, linechunks
+from counterpoise.llm import chosenpath, common, decontaminate, language, linechunks, mixing, quality
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, Jaccard 0.8."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chosenpath.join(docs).select("doc_id", "class_id", "n_links")
+    return chosenpath.join(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 OP9_SQL = r"""
@@ -113,6 +113,82 @@ SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links
 FROM documents d JOIN classes c ON c.a = d.doc_id LEFT JOIN counts n ON n.a = d.doc_id
 """
 
-QUERIES = {"op4_language": op4_language, "op5_decontamination": op5_decontamination, "op8_line_chunks": op8_line_chunks, "op9_chosen_path_join": op9_chosen_path_join}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from positives and unlabelled text outside the held-out third."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").where(common.learnable("doc_id", 3, 1))
+    positives = labels.groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
+    model = quality.fit(docs.where(common.learnable("doc_id", 3, 1)), positives)
+    return quality.score(docs, model).select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and draw of every document for equal sources and topics and tempered languages."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "tokens", "topic", F.round("probability", 9).alias("probability"), "kept")
+
+
+def _op2_sql() -> str:
+    steps, table = [], "cells"
+    for sweep in range(mixing.SWEEPS):
+        for dim in ("source", "lang", "topic"):
+            name = f"s{sweep}_{dim}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * g.goal / sum(c.weight) OVER (PARTITION BY c.{dim}) AS weight "
+                f"FROM {table} c JOIN goal_{dim} g ON g.{dim} = c.{dim})"
+            )
+            table = name
+    for k in range(mixing.CALIBRATION_STEPS):
+        steps.append(
+            f"f{k + 1} AS MATERIALIZED (SELECT max(f) * {mixing.KEEP_SHARE} * sum(tokens) / sum(tokens * least(1.0, weight / tokens * f)) AS f FROM {table}, f{k})"
+        )
+    return (
+        r"""
+WITH found AS (
+  SELECT doc_id, text, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grouped AS (
+  SELECT doc_id, text, source, lang, CAST(len(w) AS BIGINT) AS tokens,
+    list_transform(list_filter(w, lambda x: length(x) >= 5), lambda x: (ascii(x) + length(x)) % 4) AS g FROM found),
+counted AS (
+  SELECT *, [len(list_filter(g, lambda x: x = 0)), len(list_filter(g, lambda x: x = 1)), len(list_filter(g, lambda x: x = 2)),
+    len(list_filter(g, lambda x: x = 3))] AS n FROM grouped),
+rows_ AS MATERIALIZED (
+  SELECT doc_id, text, source, lang, tokens,
+    CASE WHEN len(g) = 0 THEN 'none' ELSE 'group' || (list_position(n, list_max(n)) - 1) END AS topic FROM counted),
+cells AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight
+  FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
+total AS (SELECT sum(tokens) AS t FROM cells),
+goal_source AS MATERIALIZED (SELECT source, t / count(*) OVER () AS goal FROM (SELECT DISTINCT source FROM cells), total),
+goal_topic AS MATERIALIZED (SELECT topic, t / count(*) OVER () AS goal FROM (SELECT DISTINCT topic FROM cells), total),
+goal_lang AS MATERIALIZED (
+  SELECT lang, s / sum(s) OVER () * t AS goal FROM (SELECT lang, sqrt(sum(tokens)) AS s FROM cells GROUP BY lang), total),
+"""
+        + f"f0 AS (SELECT {mixing.KEEP_SHARE} AS f),\n"
+        + ",\n".join(steps)
+        + f"""
+SELECT r.doc_id, r.tokens, r.topic, round(coalesce(least(1.0, c.weight / c.tokens * f), 0), 9) AS probability,
+  CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(r.doc_id AS VARCHAR), md5(r.text), '')), 1, 13)) AS BIGINT) / 4503599627370496.0
+    < coalesce(least(1.0, c.weight / c.tokens * f), 0) AS kept
+FROM rows_ r LEFT JOIN {table} c ON c.source = r.source AND c.lang = r.lang AND c.topic = r.topic AND r.tokens > 0, f{mixing.CALIBRATION_STEPS}
+"""
+    )
+
 
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op8_line_chunks": OP8_SQL, "op9_chosen_path_join": OP9_SQL}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
+    "op4_language": op4_language,
+    "op5_decontamination": op5_decontamination,
+    "op8_line_chunks": op8_line_chunks,
+    "op9_chosen_path_join": op9_chosen_path_join,
+}
+
+ORACLE_SQL = {
+    "op2_mixing": _op2_sql(),
+    "op5_decontamination": OP5_SQL,
+    "op8_line_chunks": OP8_SQL,
+    "op9_chosen_path_join": OP9_SQL,
+}
