@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import chosenpath, common, decontaminate, language, linechunks, mixing, quality
+from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, language, linechunks, mixing, quality
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +177,14 @@ FROM rows_ r LEFT JOIN {table} c ON c.source = r.source AND c.lang = r.lang AND
     )
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; learned outside the held-out tenth."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, rare_words = bloomlm.fit(docs.where(common.learnable("doc_id", 10, 0)))
+    scored = bloomlm.score(docs, model, rare_words)
+    return scored.select("doc_id", common.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -184,6 +192,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op8_line_chunks": op8_line_chunks,
     "op9_chosen_path_join": op9_chosen_path_join,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 ORACLE_SQL = {
