@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, language, linechunks, mixing, quality
+from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, hnsw, language, linechunks, mixing, pii, quality
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth one."""
+    return hnsw.neighbours(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +58,18 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM tokens t LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and spans found through their contexts."""
+    found = pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    both = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, common.sha256_of(pii.written("base")).alias("base_sha256"), pii.written(both).alias("spans"))
+
+
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without repeated runs of lines."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -188,8 +205,10 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_hnsw": op3_hnsw,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
     "op8_line_chunks": op8_line_chunks,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_bloom_lm": op10_bloom_lm,
