@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, hnsw, language, linechunks, mixing, pii, quality
+from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, pii, quality
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,72 @@ def _of_kind(kind: int):
     return lambda s: s["kind"] == kind
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above.
+
+    Documents have no paths, so ids are dealt to a tree of directories of 4096, 256
+    and 16 documents, whose first documents are their licence files.
+    """
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = (
+        F.when(F.col("doc_id") % 4096 == 0, F.concat_ws("/", F.lit("corpus"), place(4096), F.lit("LICENSE")))
+        .when(F.col("doc_id") % 256 == 0, F.concat_ws("/", F.lit("corpus"), place(4096), place(256), F.lit("LICENSE")))
+        .when(F.col("doc_id") % 16 == 0, F.concat_ws("/", F.lit("corpus"), place(4096), place(256), place(16), F.lit("LICENSE")))
+        .when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.lit("corpus"), place(4096), place(256), place(16), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    )
+    found = licenses.scan(docs.withColumn("path", path))
+    return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "from_dir")
+
+
+def _op7_sql() -> str:
+    values = ", ".join(f"({k}, '{licence}', '{body}')" for k, (licence, body) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH templates(template, licence, body) AS (VALUES {values}),
+tf AS MATERIALIZED (
+  SELECT template, licence, word, count(*) AS tf
+  FROM (SELECT template, licence, unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9]+'), lambda w: lower(w))) AS word FROM templates)
+  GROUP BY ALL),
+files AS MATERIALIZED (
+  SELECT doc_id, text, 'corpus/' || (doc_id // 4096) || CASE WHEN doc_id % 4096 = 0 THEN '/LICENSE' WHEN doc_id % 256 = 0
+    THEN '/' || (doc_id // 256) || '/LICENSE' WHEN doc_id % 16 = 0 THEN '/' || (doc_id // 256) || '/' || (doc_id // 16) || '/LICENSE'
+    ELSE '/' || (doc_id // 256) || '/' || (doc_id // 16) || '/' || doc_id || '.txt' END AS path,
+    doc_id % 16 = 0 AS licence_file FROM documents),
+n AS (SELECT count(*) AS n FROM files),
+df AS MATERIALIZED (
+  SELECT word, count(*) AS df FROM (
+    SELECT DISTINCT path, doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda w: lower(w))) AS word FROM files)
+  WHERE word IN (SELECT word FROM tf) GROUP BY word),
+idf AS MATERIALIZED (SELECT DISTINCT t.word, 1 + ln((n + 1.0) / (coalesce(df, 0) + 1)) AS idf FROM tf t LEFT JOIN df USING (word), n),
+weights AS MATERIALIZED (
+  SELECT template, licence, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tf JOIN idf USING (word)),
+units AS (
+  SELECT path, i AS line, ls[i] AS body FROM (SELECT path, string_split(coalesce(text, ''), chr(10)) AS ls FROM files), unnest(range(1, len(ls) + 1)) AS t(i)
+  UNION ALL SELECT path, 0, text FROM files WHERE licence_file),
+counted AS MATERIALIZED (
+  SELECT path, line, word, count(*) AS tf
+  FROM (SELECT path, line, unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9]+'), lambda w: lower(w))) AS word FROM units)
+  GROUP BY ALL),
+lengths AS (
+  SELECT path, line, sqrt(sum((tf * coalesce(idf, 1 + ln(n + 1.0))) ** 2)) AS length FROM counted LEFT JOIN idf USING (word), n GROUP BY ALL),
+dots AS (
+  SELECT path, line, template, licence, sum(tf * idf * weight) AS dot
+  FROM counted JOIN idf USING (word) JOIN weights USING (word) GROUP BY ALL),
+own AS MATERIALIZED (
+  SELECT path, licence, cosine FROM (
+    SELECT path, licence, round(dot / length, 9) AS cosine, row_number() OVER (PARTITION BY path ORDER BY round(dot / length, 9) DESC, licence) AS r
+    FROM dots JOIN lengths USING (path, line) WHERE round(dot / length, 9) >= {licenses.MIN_COSINE}) WHERE r = 1),
+licensed AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence FROM own WHERE path LIKE '%/LICENSE'),
+above AS (
+  SELECT f.path, l.dir, l.licence, row_number() OVER (PARTITION BY f.path ORDER BY length(l.dir) DESC) AS r
+  FROM files f JOIN licensed l ON f.path LIKE l.dir || '/%')
+SELECT f.doc_id, f.path, coalesce(o.licence, a.licence) AS licence, round(o.cosine, 6) AS cosine,
+  CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN a.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.licence IS NULL THEN a.dir END AS from_dir
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN above a ON a.path = f.path AND a.r = 1
+"""
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without repeated runs of lines."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -209,6 +275,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
     "op8_line_chunks": op8_line_chunks,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_bloom_lm": op10_bloom_lm,
@@ -217,6 +284,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": _op2_sql(),
     "op5_decontamination": OP5_SQL,
+    "op7_licenses": _op7_sql(),
     "op8_line_chunks": OP8_SQL,
     "op9_chosen_path_join": OP9_SQL,
 }
