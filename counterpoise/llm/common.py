@@ -51,10 +51,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+ROWS_AT_ONCE = 1000
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors.
+
+    The function gets views of few rows, so that only their texts become Python
+    objects at a time, however many rows Spark hands over at once.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def in_views(batches: Batches) -> Batches:
+        return function(batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+
+    return df.mapInArrow(in_views, schema)
 
 
 def sha256_of(values: Column) -> Column:
