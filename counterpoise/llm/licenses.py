@@ -5,16 +5,15 @@ licence templates by the cosine of their TF-IDF vectors; document frequencies ar
 counted over all files.  A file without a licence of its own takes that of the
 nearest directory above it which has a licence file with a known licence.
 
-Only DataFrame functions are used.  A line can only reach the wanted cosine if it
-shares one of the heaviest words of a template, those without which the rest of the
-template is too short a vector; lines without such a word are left out before words
-are counted.  The templates are part of the program, so their words are the only
+Only DataFrame functions are used.  A line can only reach the wanted cosine if the
+words that it shares with a template make up enough of the template's length; other
+lines are left out, without loss, before words are counted.  The templates are part of the program, so their words are the only
 thing that is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,30 +82,45 @@ def template_weights(files: DataFrame, templates: Sequence[tuple[str, str]] = TE
     return materialize(weighed.coalesce(1), "templates")
 
 
-def deciding_words(weights: DataFrame, min_cosine: float) -> list[str]:
-    """Words of which a text must have one to reach the cosine: without them, what is left of each template is shorter."""
-    by_template: dict[int, list[tuple[float, str]]] = {}
+def reachable(weights: DataFrame, min_cosine: float) -> tuple[Column, Callable[[str], Column]]:
+    """What a text must have to reach the cosine with any template.
+
+    The cosine is at most the length of that part of the template whose words the
+    text has.  The first value is an array of words of which it must have one (without
+    them, what is left of each template is too short), the second tests the distinct
+    template words of a text.
+    """
+    by_template: dict[int, dict[str, float]] = {}
     for r in weights.select("template", "word", "weight").collect():
-        by_template.setdefault(r["template"], []).append((r["weight"], r["word"]))
-    out = set()
+        by_template.setdefault(r["template"], {})[r["word"]] = r["weight"] ** 2
+    enough = min_cosine**2 - 1e-9
+    decisive = set()
     for found in by_template.values():
         rest = 0.0
-        for weight, word in sorted(found):
-            rest += weight**2
-            if rest >= min_cosine**2 - 1e-9:
-                out.add(word)
-    return sorted(out)
+        for word, square in sorted(found.items(), key=lambda x: (x[1], x[0])):
+            rest += square
+            if rest >= enough:
+                decisive.add(word)
+    squares = F.array(*[F.create_map(*[F.lit(x) for pair in sorted(found.items()) for x in pair]) for found in by_template.values()])
+
+    def long_enough(known: str) -> Column:
+        shared = lambda t: F.aggregate(known, F.lit(0.0), lambda a, w: a + F.coalesce(t[w], F.lit(0.0)))
+        return F.exists(squares, lambda t: shared(t) >= enough)
+
+    return F.array(*[F.lit(w) for w in sorted(decisive)]), long_enough
 
 
 def matches(files: DataFrame, weights: DataFrame, min_cosine: float = MIN_COSINE, path: str = "path", text: str = "text") -> DataFrame:
     """``path``, ``licence``, ``cosine`` of the best line (or whole licence file) of each path that has one; ties go to the first licence by name."""
-    decisive = F.array(*[F.lit(w) for w in deciding_words(weights, min_cosine)])
+    decisive, long_enough = reachable(weights, min_cosine)
+    vocabulary = F.array(*[F.lit(r["word"]) for r in weights.select("word").distinct().orderBy("word").collect()])
     name = F.element_at(F.split(path, "/"), -1)
     held = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"), name.rlike(LICENCE_FILE).alias("whole"))
     held = held.where(F.arrays_overlap(words("text"), decisive))
     lines = held.select("path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     whole = held.where("whole").select("path", F.lit(-1).alias("line"), F.col("text").alias("body"))
     units = lines.unionByName(whole).select("path", "line", words("body").alias("found")).where(F.arrays_overlap("found", decisive))
+    units = units.withColumn("known", F.array_intersect("found", vocabulary)).where(long_enough("known")).drop("known")
     # Equal files of one path are one file: their equal lines are counted once.
     counted = units.distinct().withColumn("unit", F.xxhash64("path", "line", "found")).select("path", "line", "unit", F.explode("found").alias("word"))
     counted = counted.groupBy("path", "line", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
