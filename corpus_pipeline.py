@@ -17,11 +17,11 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; a document of which nothing is left goes."""
+    """Texts without passages that an earlier document has; a document of which less than a passage is left goes."""
     cleaned = linechunks.remove_repeats(docs)
     removed = F.col(cleaned.columns[-1])
-    emptied = (removed > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return cleaned.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    left = F.size(F.regexp_extract_all("text", F.lit(mixing.WORDS), F.lit(0)))
+    return cleaned.where((removed == 0) | (left >= linechunks.MIN_WORDS)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
