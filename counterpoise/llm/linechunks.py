@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from counterpoise.llm import common
 from counterpoise.workspace import materialize
 
-DIVISOR = 4
+DIVISOR = 2
 MULTIPLIER = 31
 MIN_WORDS = 10
 SOLO_WORDS = 50
@@ -40,16 +40,22 @@ def line_hash(line: bytes) -> int:
 
 
 def cut(lines: list[bytes], divisor: int = DIVISOR, min_words: int = MIN_WORDS, solo_words: int = SOLO_WORDS) -> list[tuple[int, int]]:
-    """Chunks [start, end) of lines that may be removed: solo lines, and chunks of two lines and ``min_words`` words or more."""
+    """Chunks [start, end) of lines that may be removed: solo lines, and chunks of two lines and ``min_words`` words or more.
+
+    A line whose rolled hash is divisible ends a chunk, unless that of the line before
+    is divisible too or only one line follows: so hardly a line stays alone.
+    """
     sizes = [len(line.split()) for line in lines]
-    out, start, before = [], 0, 0
+    out, start, before, hit_before = [], 0, 0, True
     for i, line in enumerate(lines):
         code = line_hash(line)
-        rolled = (before * MULTIPLIER + code) % 2**32
+        hit = (before * MULTIPLIER + code) % 2**32 % divisor == 0
         before = code
         solo = sizes[i] >= solo_words
         last = i + 1 == len(lines)
-        if last or solo or sizes[i + 1] >= solo_words or rolled % divisor == 0:
+        ends = hit and not hit_before and i + 2 < len(lines)
+        hit_before = hit
+        if last or solo or sizes[i + 1] >= solo_words or ends:
             if solo or (i > start and sum(sizes[start : i + 1]) >= min_words):
                 out.append((start, i + 1))
             start = i + 1

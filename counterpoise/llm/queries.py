@@ -148,11 +148,13 @@ WITH lines AS (
     len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS words,
     ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT AS h
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''), unnest(range(1, len(ls) + 1)) AS t(i)),
-rolled AS (
-  SELECT *, words >= 50 AS solo,
-    ((coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296) % 4 = 0 OR words >= 50
-      OR coalesce(lead(words) OVER w, 0) >= 50 AS cut
+hits AS (
+  SELECT *, words >= 50 AS solo, ((coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296) % 2 = 0 AS hit, coalesce(lead(words) OVER w, 0) AS next_words,
+    count(*) OVER (PARTITION BY doc_id) AS n_lines
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+rolled AS (
+  SELECT *, solo OR next_words >= 50
+    OR (hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), TRUE) AND i + 1 < n_lines) AS cut FROM hits),
 numbered AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
   FROM rolled),
