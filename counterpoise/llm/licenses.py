@@ -82,17 +82,20 @@ def template_weights(files: DataFrame, templates: Sequence[tuple[str, str]] = TE
     return materialize(weighed.coalesce(1), "templates")
 
 
-def reachable(weights: DataFrame, min_cosine: float) -> tuple[Column, Callable[[str], Column]]:
+def reachable(weights: DataFrame, min_cosine: float) -> tuple[Column, Column, Callable[[str, str], Column]]:
     """What a text must have to reach the cosine with any template.
 
     The cosine is at most the length of that part of the template whose words the
-    text has.  The first value is an array of words of which it must have one (without
-    them, what is left of each template is too short), the second tests the distinct
-    template words of a text.
+    text has, times the share that template words have in the length of the text.
+    The first value is an array of words of which the text must have one (without
+    them, what is left of each template is too short), the second holds all template
+    words, the third tests the words of a text and the template words among them.
     """
     by_template: dict[int, dict[str, float]] = {}
-    for r in weights.select("template", "word", "weight").collect():
+    idfs, unseen = {}, 1.0
+    for r in weights.select("template", "word", "weight", "idf", "unseen").collect():
         by_template.setdefault(r["template"], {})[r["word"]] = r["weight"] ** 2
+        idfs[r["word"]], unseen = r["idf"], r["unseen"]
     enough = min_cosine**2 - 1e-9
     decisive = set()
     for found in by_template.values():
@@ -101,26 +104,30 @@ def reachable(weights: DataFrame, min_cosine: float) -> tuple[Column, Callable[[
             rest += square
             if rest >= enough:
                 decisive.add(word)
-    squares = F.array(*[F.create_map(*[F.lit(x) for pair in sorted(found.items()) for x in pair]) for found in by_template.values()])
-
-    def long_enough(known: str) -> Column:
+    literal = lambda pairs: F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
+    squares, idf = F.array(*[literal(found) for found in by_template.values()]), literal(idfs)
+    array = lambda words_: F.array(*[F.lit(w) for w in sorted(words_)])
+
+    def long_enough(found: str, known: str) -> Column:
+        times = lambda w: F.size(F.filter(found, lambda x: x == w))
+        inside = F.aggregate(known, F.lit(0.0), lambda a, w: a + (times(w) * idf[w]) * (times(w) * idf[w]))
+        outside = (F.size(F.array_distinct(found)) - F.size(known)) * F.lit(unseen**2)
         shared = lambda t: F.aggregate(known, F.lit(0.0), lambda a, w: a + F.coalesce(t[w], F.lit(0.0)))
-        return F.exists(squares, lambda t: shared(t) >= enough)
+        return F.array_max(F.transform(squares, shared)) * inside >= F.lit(enough) * (inside + outside)
 
-    return F.array(*[F.lit(w) for w in sorted(decisive)]), long_enough
+    return array(decisive), array(idfs), long_enough
 
 
 def matches(files: DataFrame, weights: DataFrame, min_cosine: float = MIN_COSINE, path: str = "path", text: str = "text") -> DataFrame:
     """``path``, ``licence``, ``cosine`` of the best line (or whole licence file) of each path that has one; ties go to the first licence by name."""
-    decisive, long_enough = reachable(weights, min_cosine)
-    vocabulary = F.array(*[F.lit(r["word"]) for r in weights.select("word").distinct().orderBy("word").collect()])
+    decisive, vocabulary, long_enough = reachable(weights, min_cosine)
     name = F.element_at(F.split(path, "/"), -1)
     held = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"), name.rlike(LICENCE_FILE).alias("whole"))
     held = held.where(F.arrays_overlap(words("text"), decisive))
     lines = held.select("path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     whole = held.where("whole").select("path", F.lit(-1).alias("line"), F.col("text").alias("body"))
     units = lines.unionByName(whole).select("path", "line", words("body").alias("found")).where(F.arrays_overlap("found", decisive))
-    units = units.withColumn("known", F.array_intersect("found", vocabulary)).where(long_enough("known")).drop("known")
+    units = units.withColumn("known", F.array_intersect("found", vocabulary)).where(long_enough("found", "known")).drop("known")
     # Equal files of one path are one file: their equal lines are counted once.
     counted = units.distinct().withColumn("unit", F.xxhash64("path", "line", "found")).select("path", "line", "unit", F.explode("found").alias("word"))
     counted = counted.groupBy("path", "line", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
