@@ -219,7 +219,10 @@ def neighbours(
         return pa.table({"width": pa.array([width], pa.int32()), "shard": pa.array(part.column("shard").to_pylist()[:1], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in cells.items()}})
 
     binaries = ", ".join(f"{c} binary" for c in ("vectors", "level", "ground", "upper", "entry", "ids", "sizes"))
-    index = materialize(nodes.groupBy("width", "shard").applyInArrow(build, f"width int, shard int, {binaries}"), "hnsw")
+    # A task for each shard: building takes seconds, so small shards are not to be put together.
+    n_shards = sum(math.ceil(n / shard_rows) for n in widths.values())
+    spread = nodes.repartition(max(1, n_shards), "width", "shard")
+    index = materialize(spread.groupBy("width", "shard").applyInArrow(build, f"width int, shard int, {binaries}"), "hnsw")
 
     asked = source.where("_q").select("id", "v", F.size("v").alias("width")).distinct()
 
