@@ -124,10 +124,12 @@ def matches(files: DataFrame, weights: DataFrame, min_cosine: float = MIN_COSINE
     name = F.element_at(F.split(path, "/"), -1)
     held = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"), name.rlike(LICENCE_FILE).alias("whole"))
     held = held.where(F.arrays_overlap(words("text"), decisive))
-    lines = held.select("path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    whole = held.where("whole").select("path", F.lit(-1).alias("line"), F.col("text").alias("body"))
-    units = lines.unionByName(whole).select("path", "line", words("body").alias("found")).where(F.arrays_overlap("found", decisive))
-    units = units.withColumn("known", F.array_intersect("found", vocabulary)).where(long_enough("found", "known")).drop("known")
+    # Words come out of generators, so that they are found once and not again in every test below.
+    lines = held.select("path", F.posexplode(F.transform(F.split("text", "\n"), words)).alias("line", "found"))
+    whole = held.where("whole").select("path", F.lit(-1).alias("line"), F.explode(F.array(words("text"))).alias("found"))
+    units = lines.unionByName(whole).where(F.arrays_overlap("found", decisive))
+    units = units.select("path", "line", "found", F.explode(F.array(F.array_intersect("found", vocabulary))).alias("known"))
+    units = units.where(long_enough("found", "known")).drop("known")
     # Equal files of one path are one file: their equal lines are counted once.
     counted = units.distinct().withColumn("unit", F.xxhash64("path", "line", "found")).select("path", "line", "unit", F.explode("found").alias("word"))
     counted = counted.groupBy("path", "line", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
