@@ -8,11 +8,12 @@ feature columns, or a frame with an added ``p1`` column (for example
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions import columns as C
@@ -21,7 +22,7 @@ from counterpoise.operators import evaluate
 from counterpoise.operators.model import FittedModel
 from counterpoise.operators.selection import dense_index, sample_rows
 from counterpoise.task import RID, Task
-from counterpoise.workspace import run_jobs, spread
+from counterpoise.workspace import materialize, run_jobs, spread
 
 GRID_STEPS = 100
 KERNEL_SPAN = 0.25
@@ -30,6 +31,7 @@ VARIABLES_PER_PASS = 8
 
 Score = Callable[[DataFrame], "Column | DataFrame"]
 
+CURVE_SCHEMA = "model string, type string, variable string, grid_idx int, x_num double, x_cat string, y_hat double"
 CURVE_COLUMNS = ["model", "type", "variable", "grid_idx", "x_num", "x_cat", "y_hat"]
 
 
@@ -40,7 +42,8 @@ def scored(rows: DataFrame, score: Score) -> DataFrame:
 
 def _split_variables(task: Task, variables: Sequence[str] | None) -> tuple[list[str], list[str]]:
     wanted = list(task.features) if variables is None else [v for v in variables if v in task.features]
-    categorical = set(task.categorical or C.categorical_for_models(task.df, task.features))
+    declared = task.categorical
+    categorical = set(C.categorical_for_models(task.df, task.features) if declared is None else declared)
     return [v for v in wanted if v not in categorical], [v for v in wanted if v in categorical]
 
 
@@ -259,21 +262,25 @@ def permutation_importance(
 ) -> DataFrame:
     """(model, variable, dropout_loss): loss after permuting a variable, averaged over rounds.
 
-    A round's permutation pairs every row with the row whose draw has the same
-    rank; one join per round serves all variables, which are then swapped in one
-    at a time where the joined row lies.
+    Rows are numbered once in the order of a draw. A round's permutation maps the
+    numbers one to one (``shuffles``), so it is an equi-join without a sort; the join
+    serves all variables, which are then swapped in one at a time where the joined
+    row lies.
     """
     task = task if majority is None else replace(task, majority=majority)
     numeric, categorical = _split_variables(task, variables)
     names = numeric + categorical
     rows = sample_rows(task.judging_rows, n, seed)
     rows = _labelled(task, rows).select(RID, "y", *task.features)
-    numbered = dense_index(rows, draw(seed, "base", F.col(RID)), out="place").drop(RID)
-    copied = rows.select(RID, *names, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    shuffled = dense_index(
-        copied, draw(seed, "permute", F.col("round"), F.col(RID)), by=["round"], out="place"
-    ).select("round", "place", *[F.col(v).alias(f"_p_{v}") for v in names])
-    work = shuffled.join(numbered, "place").drop("place")
+    numbered = materialize(dense_index(rows, draw(seed, "base", F.col(RID)), out="place").drop(RID), "numbered")
+    partner = F.lit(None).cast("bigint")
+    n_rows = numbered.count()
+    for number, (multiplier, shift) in enumerate(shuffles(n_rows, rounds, seed)):
+        moved = (F.col("place") * F.lit(multiplier) + F.lit(shift)) % F.lit(max(n_rows, 1))
+        partner = F.when(F.col("round") == number, moved).otherwise(partner)
+    asked = numbered.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_partner", partner)
+    others = numbered.select(F.col("place").alias("_partner"), *[F.col(v).alias(f"_p_{v}") for v in names])
+    work = asked.join(others, "_partner").drop("place", "_partner")
     for v in names:
         work = _swapped_score(work, score, v, F.col(f"_p_{v}"), f"_s_{v}")
     cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_s_{v}").alias("p1")) for v in names])
@@ -284,6 +291,24 @@ def permutation_importance(
     )
 
 
+def shuffles(n: int, rounds: int, seed: int) -> list[tuple[int, int]]:
+    """Multiplier and shift of each round: ``i -> (multiplier * i + shift) mod n`` is one to one.
+
+    The multiplier is the first number from a drawn one on that has no factor in
+    common with ``n``; it is small enough for products to fit 64 bits up to 10**11 rows.
+    """
+    def number(tag: str, k: int) -> int:
+        return int(hashlib.md5(f"{seed}|{tag}|{k}".encode()).hexdigest()[:15], 16)
+
+    out = []
+    for k in range(rounds):
+        multiplier = 10_000_000 + number("multiplier", k) % 10_000_000
+        while math.gcd(multiplier, max(n, 1)) != 1:
+            multiplier += 1
+        out.append((multiplier, number("shift", k) % max(n, 1)))
+    return out
+
+
 def _labelled(task: Task, rows: DataFrame) -> DataFrame:
     from counterpoise.operators.model import encode_target
     from counterpoise.operators.prepare import class_counts, majority_of
@@ -335,7 +360,9 @@ def explain_all(
 ) -> DataFrame:
     """Explanations of many models as one long table with a ``path`` column.
 
-    Requested variables are intersected with each model's features.
+    Requested variables are intersected with each model's features; where no model
+    has any of them the table is empty. Losses are taken against the label that each
+    model was trained to see as the majority.
     """
     explain = EXPLANATIONS[kind]
 
@@ -343,10 +370,14 @@ def explain_all(
         wanted = None if variables is None else [v for v in variables if v in fitted.features]
         if wanted == []:
             return None
-        frame = explain(fitted.task, fitted.score, wanted, model=fitted.name, **settings)
+        own = {"majority": fitted.majority, **settings} if kind == "VI" else settings
+        frame = explain(fitted.task, fitted.score, wanted, model=fitted.name, **own)
         return frame.withColumn("path", F.lit("/".join(path)))
 
     parts = [p for p in run_jobs([lambda p=p, m=m: one(p, m) for p, m in models.items()], concurrency) if p is not None]
+    if not parts:
+        schema = "model string, variable string, dropout_loss double" if kind == "VI" else CURVE_SCHEMA
+        return SparkSession.active().createDataFrame([], f"{schema}, path string")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -77,7 +77,8 @@ def train_test_split(task: Task, test_size: float = 0.2, seed: int = 0) -> Task:
     """Stratified split with exact counts; adds the ``split`` column.
 
     Each class gives its rows with the smallest draws to the train part. The
-    per-class train counts come from the largest-remainder rule.
+    per-class train counts come from the largest-remainder rule. Rows without a
+    label are in neither part.
     """
     if task.was_split:
         raise ValueError("the task has already been split")
@@ -94,7 +95,7 @@ def train_test_split(task: Task, test_size: float = 0.2, seed: int = 0) -> Task:
     for (group, _), cut in cuts.items():
         chosen = chosen | ((F.col(label) == F.lit(group)) & up_to(cut, [F.col("_h")]))
     drawn = with_draw(task.df, "_h", order)
-    return task.with_df(drawn.withColumn(SPLIT, F.when(chosen, TRAIN).otherwise(TEST)).drop("_h"))
+    return task.with_df(drawn.withColumn(SPLIT, F.when(F.col(label).isNull(), F.lit(None)).when(chosen, TRAIN).otherwise(TEST)).drop("_h"))
 
 
 def stratified_counts(counts: dict, test_size: float) -> dict:

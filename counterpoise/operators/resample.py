@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterpoise.functions import columns as C
 from counterpoise.functions.draws import draw, uniform, with_draw
@@ -180,6 +181,7 @@ def near_miss(task: Task, ratios: Ratios | float = 1.0, neighbours: int = 3, see
     if classes.n_minority < neighbours:
         raise BalancingError(f"needs {neighbours} minority rows")
     rows, label = task.fitting_rows, task.require_label()
+    _require_complete(rows, task.features, task)
     points = rows.select(RID, label, vector_of(rows, task.features).alias("vec"))
     majority = points.where(F.col(label) == F.lit(classes.majority)).drop(label)
     minority = points.where(F.col(label) == F.lit(classes.minority)).drop(label)
@@ -254,6 +256,7 @@ def _minority(task: Task, classes: Classes) -> DataFrame:
 def _interpolated(task, classes, added, k, seed, bases) -> DataFrame:
     """Base row, neighbour and weight come from three draws per new row."""
     minority = _minority(task, classes)
+    _require_complete(minority, task.features, task)
     points = minority.select(RID, vector_of(minority, task.features).alias("vec"))
     starts = points if bases is None else points.join(bases.select(RID), RID, "left_semi")
     segments, n_bases, k = _segments(starts, points, classes, k, seed)
@@ -309,19 +312,39 @@ def _empty_like(task: Task) -> DataFrame:
     )
 
 
+# Stands for null among the texts of categories, so that null is a category like any other.
+_NULL_TEXT = "\u0000null"
+
+
 def _texts(names: Sequence[str]) -> Column:
-    return F.array(*[F.col(c).cast("string") for c in names])
+    return F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(_NULL_TEXT)) for c in names])
 
 
 def _from_texts(task: Task, names: Sequence[str]) -> list[Column]:
     """The carried categories of a neighbour, in the features' own types."""
-    return [F.col("other_cats")[i].cast(task.df.schema[c].dataType).alias(c) for i, c in enumerate(names)]
+    text = [F.when(F.col("other_cats")[i] != _NULL_TEXT, F.col("other_cats")[i]) for i in range(len(names))]
+    return [text[i].cast(task.df.schema[c].dataType).alias(c) for i, c in enumerate(names)]
+
+
+def _require_complete(rows: DataFrame, names: Sequence[str], task: Task) -> None:
+    """Synthetic rows are made from numbers; a missing one would have no neighbours."""
+    kinds = {c: rows.schema[c].dataType for c in names}
+    missing = F.lit(False)
+    for c, kind in kinds.items():
+        missing = missing | F.col(c).isNull()
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            missing = missing | F.isnan(c)
+        elif isinstance(kind, T.ArrayType):
+            missing = missing | F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    if rows.where(missing).limit(1).collect():
+        raise BalancingError(f"task {task.name} has missing values in numeric features; remove or fill them first")
 
 
 def _mixed(task, classes, added, k, seed, categorical, penalty_factor) -> DataFrame:
     numeric = [c for c in task.features if c not in categorical]
     k = _neighbour_count(classes, k)
     minority = _minority(task, classes)
+    _require_complete(minority, numeric, task)
     spreads = minority.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in numeric]).first()
     ordered = sorted(spreads[c] for c in numeric)
     middle = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
@@ -369,7 +392,7 @@ def value_differences(task: Task, classes: Classes) -> dict[str, DataFrame]:
     """Per categorical feature: value and twice its minority share.
 
     With two classes the value-difference metric between two values is the
-    absolute difference of these numbers.
+    absolute difference of these numbers. Null is a value like any other.
     """
     rows, label = task.fitting_rows, task.require_label()
     share = 2 * F.avg((F.col(label) == F.lit(classes.minority)).cast("double"))
@@ -383,7 +406,9 @@ def _voted(task, classes, added, k, seed) -> DataFrame:
     minority = _minority(task, classes)
     coded = minority
     for c, table in value_differences(task, classes).items():
-        coded = salted_join(coded, table, c)
+        text = F.coalesce(F.col(c).cast("string"), F.lit(_NULL_TEXT))
+        keyed = table.withColumn("_key", text).select("_key", f"_v_{c}")
+        coded = salted_join(coded.withColumn("_key", text), keyed, "_key").drop("_key")
     points = coded.select(
         RID, F.array(*[F.col(f"_v_{c}") for c in task.features]).alias("vec"), _texts(task.features).alias("cats")
     )

@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators import resample
-from counterpoise.operators.prepare import custom_split
+from counterpoise.operators.prepare import custom_split, with_majority
 from counterpoise.operators.resample import Classes, classes_of
 from counterpoise.task import RID, Task, TaskSet
 from counterpoise.workspace import materialize
@@ -87,6 +88,7 @@ class Ladder:
     variants: DataFrame
     failures: DataFrame
     names: tuple[str, ...]
+    majority: Any = None
 
     def stored(self) -> "Ladder":
         """Rows written once, one directory per variant, so that a fit reads only its own."""
@@ -95,7 +97,8 @@ class Ladder:
     def task(self, base: Task, variant: str) -> Task:
         """One variant as a task; the test part is the base task's, untouched."""
         rows = self.rows.where(F.col("variant") == variant).drop("variant", "origin")
-        whole = replace(base, name=variant, df=rows)
+        majority = self.majority if base.majority is None else base.majority
+        whole = replace(base, name=variant, df=rows, majority=majority)
         if not base.was_split:
             return whole
         test = base.test.df.withColumn(RID, F.col(RID).cast("string"))
@@ -119,19 +122,14 @@ def rebalance_ladder(
     """
     chosen = dict(methods) if isinstance(methods, Mapping) else {m: METHODS[m] for m in methods}
     classes = classes_of(task)
-    task = replace(task, majority=classes.majority if task.majority is None else task.majority)
+    task = with_majority(task)
     ratios = ladder_ratios(classes, n_per_method, min_samples_to_modify)
     rows, variants, failures = None, [], []
     for method, build in chosen.items():
         made = [variant_of(task.name, method, r, classes.ratio, precision) for r in ratios]
         wanted = _unique_names(made)
-        try:
-            part = build(task, {n: v.ir for n, v in wanted.items()}, seed) if wanted else None
-        except Exception as error:  # any failing branch is reported, the others go on
-            failures.extend((task.name, name, str(error)) for name in wanted)
-            continue
-        variants.extend((name, v) for name, v in wanted.items())
-        if part is not None:
+        for served, part in _served(lambda some, build=build: build(task, some, seed), wanted, task, failures):
+            variants.extend((name, wanted[name]) for name in served)
             rows = part if rows is None else rows.unionByName(part)
     names = [name for name, _ in variants]
     if keep_original:
@@ -139,7 +137,25 @@ def rebalance_ladder(
         rows = base if rows is None else rows.unionByName(base)
         names.append(task.name)
         variants.append((task.name, Variant(task.name, ORIGINAL_VARIANT, classes.ratio, 1.0, 1.0)))
-    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names))
+    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names), task.majority)
+
+
+# What an operator raises when a task, ratio or parameter does not suit it. Failures of
+# the cluster (lost executors, full disks) are none of these and are not hidden.
+UNSUITABLE = (ValueError, TypeError, KeyError, AnalysisException)
+
+
+def _served(build, wanted: Mapping[str, Variant], task: Task, failures: list) -> list[tuple[list[str], DataFrame]]:
+    """All ratios in one go; if the method refuses, ratio by ratio, so that one bad ratio spoils no other."""
+    if not wanted:
+        return []
+    try:
+        return [(list(wanted), build({n: v.ir for n, v in wanted.items()}))]
+    except UNSUITABLE as error:
+        if len(wanted) == 1:
+            failures.append((task.name, next(iter(wanted)), str(error)))
+            return []
+    return [done for n, v in wanted.items() for done in _served(build, {n: v}, task, failures)]
 
 
 def _unique_names(made: Sequence[Variant]) -> dict[str, Variant]:
@@ -202,14 +218,14 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
         taken.add(name)
         try:
             part = op(task, {name: ratio}, **settings)
-        except Exception as error:  # any failing branch is reported, the others go on
+        except UNSUITABLE as error:
             failures.append((task.name, name, str(error)))
             continue
         of_range = (ratio - 1) / (base - 1) if base != 1 else 0.0
         variants.append((name, Variant(name, op.__name__, ratio, ratio / base, of_range)))
         rows = part if rows is None else rows.unionByName(part)
     names = tuple(n for n, _ in variants)
-    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names)
+    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names, with_majority(task).majority)
 
 
 def sweep_all(tasks: TaskSet, op: Callable[..., DataFrame], params) -> dict[tuple[str, ...], Ladder]:

@@ -96,8 +96,7 @@ WHERE y = 1 OR rn <= floor(few / (1 / r))
 
 
 def over_random(spark, sf):
-    out = resample.random_over(X.line_items(spark, sf), RATIOS, X.SEED)
-    return out.where(F.col("y") == 1)
+    return resample.random_over(X.line_items(spark, sf), RATIOS, X.SEED)
 
 
 _OVER_DRAWS = f"""
@@ -109,7 +108,7 @@ draws AS (
 OVER_RANDOM = f"""
 WITH {X.LINE_ITEMS}, {RATIOS_SQL}, {_counts_sql('items')}, {_OVER_DRAWS},
 numbered AS (SELECT *, row_number() OVER (ORDER BY {sql_draw('index', 'rid')}, rid) - 1 AS idx FROM items WHERE y = 1)
-SELECT variant, rid, l_quantity, l_extendedprice, l_discount, l_tax, y, 'original' AS origin FROM items, ratios WHERE y = 1
+SELECT variant, rid, l_quantity, l_extendedprice, l_discount, l_tax, y, 'original' AS origin FROM items, ratios
 UNION ALL
 SELECT variant, 'new|' || k, l_quantity, l_extendedprice, l_discount, l_tax, y, 'copy'
 FROM draws JOIN numbered ON idx = {sql_draw('copy', 'k')} % (SELECT few FROM counts)
@@ -207,6 +206,78 @@ UNION ALL SELECT variant, rid::VARCHAR, 1 FROM vectors, ratios WHERE y = 1
 """
 
 
+def _priced_orders(spark, sf):
+    """Orders in two dimensions; more of either class than one block of the neighbour join holds."""
+    rows = X.table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"), (F.col("o_orderpriority") < "3").cast("int").alias("y")
+    )
+    return task(rows, "y", ["o_totalprice", "customer"], "o_orderkey", "priced")
+
+
+_PRICED = """
+priced AS (
+  SELECT o_orderkey AS rid, o_totalprice AS a, o_custkey::DOUBLE AS b, CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS y FROM orders
+)"""
+
+
+def knn_blocks(spark, sf):
+    """Neighbours of the minority among all orders, through blocks of points."""
+    base = _priced_orders(spark, sf)
+    points = base.df.select("rid", "y", vector_of(base.df, base.features).alias("vec"))
+    found = knn.nearest(points.where("y = 1").drop("y"), points.drop("y"), 5)
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+KNN_BLOCKS = f"""
+WITH {_PRICED},
+d AS (
+  SELECT x.rid, unnest(min_by({{'dist': sqrt((x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b)), 'neighbour': z.rid}},
+    {{'dist': sqrt((x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b)), 'neighbour': z.rid}}, 5)) AS n
+  FROM priced x, priced z WHERE x.y = 1 AND x.rid <> z.rid GROUP BY x.rid
+)
+SELECT rid, n.neighbour AS neighbour, round(n.dist, 6) AS dist, row_number() OVER (PARTITION BY rid ORDER BY n.dist, n.neighbour) AS rank FROM d
+"""
+
+
+def near_miss_blocks(spark, sf):
+    """Undersampling by nearness where the minority fills several blocks."""
+    return resample.near_miss(_priced_orders(spark, sf), {"even": 1.0, "near": 1.2}, seed=X.SEED).select("variant", "rid", "y")
+
+
+NEAR_MISS_BLOCKS = f"""
+WITH {_PRICED}, ratios(variant, r) AS (VALUES ('even', 1.0::DOUBLE), ('near', 1.2::DOUBLE)), {_counts_sql('priced')},
+m AS (
+  SELECT rid, list_avg(d) AS dist FROM (
+    SELECT x.rid, min(sqrt((x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b)), 3) AS d
+    FROM priced x, priced z WHERE x.y = 0 AND z.y = 1 GROUP BY x.rid)
+),
+o AS (SELECT rid, row_number() OVER (ORDER BY round(dist, 12), {sql_draw('near', 'rid')}, rid) AS rn FROM m)
+SELECT variant, rid::VARCHAR AS rid, 0 AS y FROM o, ratios, counts WHERE rn <= floor(few / (1 / r))
+UNION ALL SELECT variant, rid::VARCHAR, 1 FROM priced, ratios WHERE y = 1
+"""
+
+
+def ladder_automatic(spark, sf):
+    """All six methods at two ratios of the customers' balances: rows and classes of every variant."""
+    base = _account_points(spark, sf)
+    made = ladder.rebalance_ladder(base, ladder.AUTOMATIC, n_per_method=2, seed=X.SEED).stored()
+    counted = made.rows.where(~F.col("variant").contains("Tomek") & ~F.col("variant").contains("Borderline")).groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_minority")
+    )
+    return counted.join(made.variants, "variant").select("method", F.round("ir", 6).alias("ir"), "n", "n_minority")
+
+
+LADDER_AUTOMATIC = """
+WITH c AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS few, count(*) FILTER (c_mktsegment <> 'BUILDING') AS many FROM customer),
+s AS (SELECT few, many, many::DOUBLE / few AS ratio, greatest(many::DOUBLE / few - i * ((many::DOUBLE / few - 1) / 2), 1.0::DOUBLE) AS r FROM c, range(1, 3) t(i))
+SELECT m AS method, round(r, 6) AS ir, floor(few / (1 / r))::BIGINT + few AS n, few AS n_minority
+FROM s, (VALUES ('UNDERSAMPLING__Random'), ('UNDERSAMPLING__Near_Miss')) t(m)
+UNION ALL SELECT m, round(r, 6), many + floor(1 / r * many)::BIGINT, floor(1 / r * many)::BIGINT
+FROM s, (VALUES ('OVERSAMPLING__Random'), ('OVERSAMPLING__SMOTE')) t(m)
+UNION ALL SELECT 'original', round(many::DOUBLE / few, 6), many + few, few FROM c
+"""
+
+
 def _summed(out):
     """Vectors as two checksums: sum and position-weighted sum."""
     wide = out.withColumn("_v", F.col("embedding").cast("array<double>"))
@@ -333,7 +404,7 @@ FROM grown g ANTI JOIN links l ON g.rid = l.rid
 
 def smote_nc(spark, sf):
     out = resample.smote(X.parts(spark, sf), RATIOS, seed=X.SEED)
-    return out.where(F.col("origin") == "synthetic").withColumn("p_retailprice", F.round("p_retailprice", 6))
+    return out.withColumn("p_retailprice", F.round("p_retailprice", 6))
 
 
 SMOTE_NC = f"""
@@ -358,11 +429,13 @@ SELECT variant, 'new|' || k AS rid, round(n.p_retailprice + (nn.other - n.p_reta
        brand.p_brand, kind.p_type, 1 AS y, 'synthetic' AS origin
 FROM placed JOIN numbered n USING (idx) JOIN nn ON nn.rid = n.rid AND nn.rank = placed.rank
 JOIN brand ON brand.rid = n.rid JOIN kind ON kind.rid = n.rid
+UNION ALL
+SELECT variant, rid::VARCHAR, round(p_retailprice, 6), p_brand, p_type, y, 'original' FROM small_parts, ratios
 """
 
 
 def smote_n(spark, sf):
-    return resample.smote(X.customers(spark, sf), RATIOS, seed=X.SEED).where(F.col("origin") == "synthetic")
+    return resample.smote(X.customers(spark, sf), RATIOS, seed=X.SEED)
 
 
 SMOTE_N = f"""
@@ -381,6 +454,8 @@ nat AS (SELECT rid, first(c_nationkey ORDER BY c DESC, c_nationkey) AS c_nationk
 numbered AS (SELECT rid, row_number() OVER (ORDER BY {sql_draw('index', 'rid')}, rid) - 1 AS idx FROM mino)
 SELECT variant, 'new|' || k AS rid, c_mktsegment, c_nationkey, 1 AS y, 'synthetic' AS origin
 FROM draws JOIN numbered ON idx = {sql_draw('base', 'k')} % (SELECT count(*) FROM numbered) JOIN seg USING (rid) JOIN nat USING (rid)
+UNION ALL
+SELECT variant, rid::VARCHAR, c_mktsegment, c_nationkey, y, 'original' FROM debtors, ratios
 """
 
 
@@ -433,6 +508,9 @@ QUERIES = {
     "under_random": (under_random, UNDER_RANDOM),
     "over_random": (over_random, OVER_RANDOM),
     "knn": (knn_join, KNN),
+    "knn_blocks": (knn_blocks, KNN_BLOCKS),
+    "near_miss_blocks": (near_miss_blocks, NEAR_MISS_BLOCKS),
+    "ladder_automatic": (ladder_automatic, LADDER_AUTOMATIC),
     "knn_items": (knn_items, KNN_ITEMS),
     "tomek": (tomek, TOMEK),
     "tomek_items": (tomek_items, TOMEK_ITEMS),

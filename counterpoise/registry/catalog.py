@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from counterpoise.registry import balancing, comparisons, explanations, models, preparation
+from counterpoise.registry import balancing, comparisons, explanations, identity, models, preparation
 
-GROUPS = (preparation, balancing, models, explanations, comparisons)
+GROUPS = (preparation, identity, balancing, models, explanations, comparisons)
 
 
 def queries():

@@ -133,7 +133,7 @@ FROM local, mean
 def perm_importance(spark, sf):
     return _rounded_loss(
         explain.permutation_importance(
-            X.line_items(spark, sf), _score(), ["l_quantity", "l_discount", "l_tax"], rounds=3, seed=X.SEED, model=MODEL
+            X.line_items(spark, sf), _score(), ["l_quantity", "l_discount", "l_tax"], rounds=10, seed=X.SEED, model=MODEL
         )
     )
 
@@ -146,10 +146,14 @@ def _permuted_sql(rounds):
     """Rows paired with their round's permutation, one column swapped at a time."""
     return f"""
 base AS (SELECT *, row_number() OVER (ORDER BY {sql_draw('base', 'rid')}, rid) AS place FROM items),
+moves AS MATERIALIZED (
+  SELECT b AS round, n, list_filter(range(10000000 + {sql_draw('multiplier', 'b')} % 10000000, 10000200 + {sql_draw('multiplier', 'b')} % 10000000),
+    lambda c: gcd(c, n) = 1)[1] AS m, {sql_draw('shift', 'b')} % n AS s
+  FROM range({rounds}) r(b), (SELECT count(*) AS n FROM items)
+),
+asked AS MATERIALIZED (SELECT round, place, 1 + ((place - 1) * m + s) % n AS partner FROM moves, base),
 perm AS (
-  SELECT b AS round, l_quantity AS q, l_discount AS d, l_tax AS t,
-         row_number() OVER (PARTITION BY b ORDER BY {sql_draw('permute', 'b', 'rid')}, rid) AS place
-  FROM items, range({rounds}) r(b)
+  SELECT round, p.l_quantity AS q, p.l_discount AS d, p.l_tax AS t, a.place FROM asked a JOIN base p ON p.place = a.partner
 ),
 swapped AS (
   SELECT round, v AS variable, y, CASE WHEN v = 'l_quantity' THEN q ELSE l_quantity END AS q2,
@@ -171,7 +175,7 @@ i_{name} AS (SELECT '{name}' AS model, variable, avg(1 - auc) AS dropout_loss FR
 
 
 PERM_IMPORTANCE = f"""
-WITH {X.LINE_ITEMS}, {_permuted_sql(3)}, {_importance_sql(MODEL, 3)}
+WITH {X.LINE_ITEMS}, {_permuted_sql(10)}, {_importance_sql(MODEL, 10)}
 SELECT model, variable, round(dropout_loss, 6) AS dropout_loss FROM i_{MODEL}
 """
 
@@ -179,13 +183,13 @@ SELECT model, variable, round(dropout_loss, 6) AS dropout_loss FROM i_{MODEL}
 def perm_importance_rmse(spark, sf):
     return _rounded_loss(
         explain.permutation_importance(
-            X.line_items(spark, sf), _score(), ["l_quantity", "l_discount", "l_tax"], rounds=2, loss="rmse", seed=X.SEED, model=MODEL
+            X.line_items(spark, sf), _score(), ["l_quantity", "l_discount", "l_tax"], rounds=10, loss="rmse", seed=X.SEED, model=MODEL
         )
     )
 
 
 PERM_IMPORTANCE_RMSE = f"""
-WITH {X.LINE_ITEMS}, {_permuted_sql(2)},
+WITH {X.LINE_ITEMS}, {_permuted_sql(10)},
 l AS (
   SELECT round, variable, sqrt(avg((y - {sql_score(MODEL, 'q2', 'd2', 't2')}) * (y - {sql_score(MODEL, 'q2', 'd2', 't2')}))) AS loss
   FROM swapped GROUP BY round, variable
@@ -223,8 +227,8 @@ def explain_forest(spark, sf):
     """Partial dependence and importance of a fitted forest with a text feature, on its test part."""
     orders = X.orders(spark, sf)
     fitted = model.fit_model(orders, model.random_forest(trees=10, depth=4), test_size=0.2, seed=X.SEED)
-    curves = explain.partial_dependence(fitted.task, fitted.score, steps=10, model=fitted.name)
-    parts = explain.permutation_importance(fitted.task, fitted.score, rounds=2, model=fitted.name)
+    curves = explain.partial_dependence(fitted.task, fitted.score, model=fitted.name)
+    parts = explain.permutation_importance(fitted.task, fitted.score, model=fitted.name, majority=fitted.majority)
     shaped = parts.select(
         "model", F.lit("VI").alias("type"), "variable", F.lit(0).alias("grid_idx"),
         F.lit(None).cast("double").alias("x_num"), F.lit(None).cast("string").alias("x_cat"),

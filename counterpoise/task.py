@@ -18,6 +18,29 @@ RID = "rid"
 SPLIT = "split"
 TRAIN, TEST = "train", "test"
 
+# Column names that operators add beside the features of a task. A feature or label of
+# such a name would be overwritten, so a task stores it under another name.
+RESERVED = frozenset(
+    "rid split y y_hat p1 variant origin code features label weight fold round place grid_idx idx draw rank "
+    "prediction probability rawprediction vec other cats dist other_vec other_cats dataset path model metric _h _u _new".split()
+)
+LABELS_ALLOWED = frozenset({"y", "label"})
+
+
+def stored_names(names: Sequence[str], taken: Iterable[str] = (), allowed: frozenset[str] = frozenset()) -> dict[str, str]:
+    """The name under which a task keeps each column: its own, or ``<name>_kept`` for a reserved one."""
+    used = {n.lower() for n in [*names, *taken]}
+    out = {}
+    for name in names:
+        stored = name
+        if name.lower() in RESERVED - allowed:
+            stored = f"{name}_kept"
+            while stored.lower() in used:
+                stored += "_"
+            used.add(stored.lower())
+        out[name] = stored
+    return out
+
 
 @dataclass(frozen=True)
 class Task:
@@ -49,13 +72,16 @@ class Task:
 
     @property
     def fitting_rows(self) -> DataFrame:
-        """Train part, or everything when there is no split."""
-        return self.train.df if self.was_split else self.df
+        """Train part, or everything when there is no split; rows without a label take no part."""
+        return self._labelled(self.train.df if self.was_split else self.df)
 
     @property
     def judging_rows(self) -> DataFrame:
-        """Test part, or everything when there is no split."""
-        return self.test.df if self.was_split else self.df
+        """Test part, or everything when there is no split; rows without a label take no part."""
+        return self._labelled(self.test.df if self.was_split else self.df)
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        return rows if self.label is None else rows.where(F.col(self.label).isNotNull())
 
     def with_df(self, df: DataFrame, **changes) -> "Task":
         return replace(self, df=df, **changes)
