@@ -125,7 +125,8 @@ def remove_repeats(
         .groupBy("key")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end", "hash", "drop"))).alias("marks"))
     )
-    joined = materialize(keyed.join(marked, "key", "left"), "marked")
+    marked = materialize(marked, "marked")
+    joined = keyed.join(marked, "key", "left")
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +145,8 @@ def remove_repeats(
             )
 
     schema = T.StructType().add("key", "string").add("no_id", "boolean").add("id", id_type).add("start", "integer").add("hash", "long").add("chunk", "binary")
-    texts = common.map_batches(joined.where("marks is not null").select("key", "no_id", "id", body, "marks"), texts_of, schema)
+    marked_texts = keyed.select("key", "no_id", "id", body).join(marked, "key")
+    texts = common.map_batches(marked_texts, texts_of, schema)
     clashes = materialize(texts.select("hash", "chunk").distinct().groupBy("hash").count().where("count > 1").select("hash"), "clashes")
     if not clashes.isEmpty():
         told_apart = materialize(texts.join(clashes, "hash", "left_semi"), "apart")
