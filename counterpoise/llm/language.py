@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.llm import common
+from counterpoise.workspace import materialize
 
 UNDETERMINED = "und"
 DICTIONARY_BYTES = 96 * 1024
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_byte
     )
     found = common.map_batches(labelled, smallest, "lang string, hash bigint, piece binary").dropDuplicates(["lang", "hash"])
     order = Window.partitionBy("lang").orderBy("hash")
-    chosen = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
+    chosen = materialize(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep), "pieces")
     n_languages = chosen.select("lang").distinct().count()
     if n_languages * dictionary_bytes > MAX_DICTIONARIES_BYTES:
         raise ValueError(f"{n_languages} dictionaries of {dictionary_bytes} bytes are too many to hand to every worker")
