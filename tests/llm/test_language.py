@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from counterpoise.llm import language
@@ -55,3 +57,38 @@ def test_tie_goes_to_the_first_name(spark):
 def test_pieces_hold_the_whole_text():
     for text in ("", "a", "word " * 1000, "x" * 5000, "é" * 3000):
         assert b"".join(language.pieces(text, 512)).decode() == language.normal(text)
+
+
+def invented(alphabet, n_texts, n_words, seed):
+    """Texts of words that are made of the syllables of an alphabet."""
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices(alphabet, k=rng.randint(1, 3))) for _ in range(n_words)) for _ in range(n_texts)]
+
+
+@pytest.mark.parametrize("learned", [("aa", "bb"), ("aa", "bb", "cc", "dd")])
+def test_unknown_languages_and_junk_are_rejected(spark, learned):
+    """A left-out language and junk with letters go, held-out texts of learned languages stay."""
+    alphabets = {
+        "aa": ["the", "ing", "and", "oun", "ly", "tion"],
+        "bb": ["sch", "ein", "ung", "keit", "ver", "zu"],
+        "cc": ["eau", "oux", "ment", "les", "que", "ait"],
+        "dd": ["ado", "cion", "mente", "los", "per", "ez"],
+        "zz": ["kiv", "jyy", "sto", "lla", "paa", "hun"],
+    }
+    labelled = [(t, lang) for k, lang in enumerate(learned) for t in invented(alphabets[lang], 320, 150, k)]
+    model = language.fit(spark.createDataFrame(labelled, "text string, lang string"))
+    rng = random.Random(9)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=900)) for _ in range(40)]
+    odd = [("junk", t) for t in junk] + [("zz", t) for t in invented(alphabets["zz"], 40, 150, 77)]
+    clean = [(lang, t) for k, lang in enumerate(learned) for t in invented(alphabets[lang], 60, 150, 100 + k)]
+    got = language.classify(spark.createDataFrame(odd + clean, "kind string, text string"), model).collect()
+    for kind in ("junk", "zz"):
+        assert sum(r["rejected"] for r in got if r["kind"] == kind) >= 38
+    stay = [r for r in got if r["kind"] in learned]
+    assert all(r["lang_pred"] == r["kind"] for r in stay)
+    assert sum(r["rejected"] for r in stay) <= 0.02 * len(stay)
+
+
+def test_a_tie_is_rejected(spark):
+    same = spark.createDataFrame([(k, "ein text ohne unterschied", lang) for k, lang in enumerate(("b", "a"))], "doc_id long, text string, lang string")
+    assert language.classify(same.limit(1), language.fit(same)).first()["rejected"]
