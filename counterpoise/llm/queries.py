@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import bloomlm, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, pii, quality
+import public_tokenizers
+
+from counterpoise.llm import bloomlm, bpe, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, pii, quality
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +272,28 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+BPE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+def little_endian_u32(ids: str) -> F.Column:
+    """Ids as the bytes of little-endian unsigned 32-bit integers."""
+    octets = lambda i: F.concat(*(F.lpad(F.hex(F.shiftright(i, 8 * k) % 256), 2, "0") for k in range(4)))
+    return F.unhex(F.array_join(F.transform(ids, octets), ""))
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document text by the byte-level rank file, and the bytes they decode to."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path(BPE_RANKS)
+    coded = bpe.decode(bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN), "ids", ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(little_endian_u32("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -281,6 +305,7 @@ QUERIES = {
     "op8_line_chunks": op8_line_chunks,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_bloom_lm": op10_bloom_lm,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLE_SQL = {
