@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from counterpoise.llm import bloomlm, bpe, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, pii, quality
+from counterpoise.llm import bloomlm, bpe, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, phrases, pii, quality
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +294,41 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two to four words of every lang of the whole documents table."""
+    return phrases.mine(common.table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP12_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, p FROM documents,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS t(p)),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM words, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, {phrases.MAX_WORDS + 1})) AS u(k) WHERE i + k - 1 <= len(w)),
+counted AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k >= 2),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS outer_a
+  FROM candidates, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(i) WHERE k >= 3 GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_ i USING (lang, phrase)
+  WHERE i.outer_a IS NULL OR {phrases.KEEP_DENOMINATOR} * i.outer_a < {phrases.KEEP_NUMERATOR} * c.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r,
+    CAST(c.a AS HUGEINT) * {phrases.SCALE} // (l.f + r.f) AS score
+  FROM kept c, unnest(range(1, c.k)) AS t(j)
+  JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE o = 1)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -306,6 +341,7 @@ QUERIES = {
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_bloom_lm": op10_bloom_lm,
     "op11_bpe": op11_bpe,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL = {
@@ -314,4 +350,5 @@ ORACLE_SQL = {
     "op7_licenses": _op7_sql(),
     "op8_line_chunks": OP8_SQL,
     "op9_chosen_path_join": OP9_SQL,
+    "op12_phrases": OP12_SQL,
 }
