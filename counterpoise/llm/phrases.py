@@ -19,7 +19,7 @@ Rules (fixed by the contract): A-Z lower-cased; pieces split at
 ``[.,;:!?\\x0A-\\x0D]``; words ``[^\\x20\\x09]+``; lang null is ``und``. ``n`` counts
 all words of a lang; candidates have 2 to 4 words and ``a >= MIN_COUNT``; the
 score of a cut after ``k`` words is ``floor(2000000 * a / (l + r))`` in exact
-decimals, the lowest cut counts and ties go to the smallest ``k``. A candidate
+decimals with integral division, the lowest cut counts and ties go to the smallest ``k``. A candidate
 whose words lie contiguously inside a longer candidate with
 ``100 * f(longer) >= 80 * a`` is dropped. Each lang keeps its first ``TOP`` by
 score descending, ``a`` descending, phrase ascending (UTF-8 bytes).
@@ -89,7 +89,7 @@ def _cuts(candidates: DataFrame, counted: DataFrame) -> DataFrame:
         cuts.join(parts.withColumnRenamed("part", "first").withColumnRenamed("f", "l"), ["lang", "first"])
         .join(parts.withColumnRenamed("part", "rest").withColumnRenamed("f", "r"), ["lang", "rest"])
     )
-    score = F.floor(F.col("a").cast(_EXACT) * F.lit(SCALE).cast(_EXACT) / (F.col("l") + F.col("r")).cast(_EXACT)).cast("long")
+    score = F.expr(f"(CAST(a AS {_EXACT}) * {SCALE}) div CAST(l + r AS {_EXACT})")
     best = looked.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "j", "l", "r")).alias("best"))
     return best.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from counterpoise.llm import bloomlm, bpe, chosenpath, common, decontaminate, hnsw, language, licenses, linechunks, mixing, phrases, pii, quality
+from counterpoise.llm import bloomlm, bpe, chosenpath, common, decontaminate, divergence, hnsw, language, licenses, linechunks, mixing, phrases, pii, quality
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +329,47 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}
 """
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the other sources of its lang and from the lang, over the whole documents table."""
+    return divergence.audit(common.table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+toks AS (
+  SELECT lang, source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM d),
+occ AS MATERIALIZED (SELECT lang, source, doc, unnest(w) AS term FROM toks),
+kept AS MATERIALIZED (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT doc) >= {divergence.MIN_DOCS}),
+v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k USING (lang) GROUP BY l.lang),
+gc AS MATERIALIZED (SELECT o.lang, o.source, o.term, count(*) AS c FROM occ o JOIN kept k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(gc.c), 0) AS n FROM groups g LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+lc AS (SELECT lang, term, sum(c) AS c FROM gc GROUP BY ALL),
+lt AS (SELECT lang, sum(c) AS n FROM lc GROUP BY lang),
+grid AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(gc.c, 0) AS c,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(gc.c, 0) + 1)) // (gn.n + v.v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN gn USING (lang, source) JOIN v USING (lang) LEFT JOIN gc USING (lang, source, term)),
+lp AS (SELECT lc.lang, lc.term, 1 + (CAST(1000000000 AS HUGEINT) * (lc.c + 1)) // (lt.n + v.v) AS q FROM lc JOIN lt USING (lang) JOIN v USING (lang)),
+terms AS (
+  SELECT g.lang, g.source, 'term' AS part, g.term AS item, ((p - q) * (p - q)) // q AS value
+  FROM grid g JOIN lp USING (lang, term) WHERE g.c > 0 AND p > q),
+pv AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT ga.lang, ga.source, 'pair' AS part, gb.source AS item, coalesce(pv.value, 0) AS value
+  FROM groups ga JOIN groups gb ON ga.lang = gb.lang AND ga.source <> gb.source
+  LEFT JOIN pv ON pv.lang = ga.lang AND pv.source = ga.source AND pv.item = gb.source),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -342,6 +383,7 @@ QUERIES = {
     "op10_bloom_lm": op10_bloom_lm,
     "op11_bpe": op11_bpe,
     "op12_phrases": op12_phrases,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL = {
@@ -351,4 +393,5 @@ ORACLE_SQL = {
     "op8_line_chunks": OP8_SQL,
     "op9_chosen_path_join": OP9_SQL,
     "op12_phrases": OP12_SQL,
+    "op13_divergence": OP13_SQL,
 }
