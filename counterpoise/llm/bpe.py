@@ -29,6 +29,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 from counterpoise.llm import common
 
 # Pieces already encoded in one worker; words repeat, so most pieces are found here.
-PIECE_CACHE = 200_000
+PIECE_CACHE = 500_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -81,7 +83,7 @@ class Encoder:
                 self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Byte pair encoding of the two tokens' bytes yields exactly these two tokens."""
@@ -93,29 +95,35 @@ class Encoder:
         return known
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one piece of the split: the longest compatible tokens, stepping back at dead ends."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        found = self.pieces.get(piece)
-        if found is not None:
-            return found
         n = len(piece)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
-            starting[end - length + 1].append((length, rank))
-        for options in starting:
-            options.sort(reverse=True)
+        # Matches come by end position, so those of one start arrive shortest first: options are read from the back.
+        starting: dict[int, list[tuple[int, int]]] = {}
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
+            starting.setdefault(end - found[1] + 1, []).append(found)
+        known = self.compatible_pairs
         path: list[tuple[int, int, int]] = []  # (position, option taken, token)
         dead: set[tuple[int, int]] = set()
         at, option, before = 0, 0, -1
         while at < n:
             options = starting[at]
-            while option < len(options):
-                length, rank = options[option]
-                if (before < 0 or self.compatible(before, rank)) and (at + length == n or (at + length, rank) not in dead):
+            last = len(options) - 1
+            while option <= last:
+                rank, length = options[last - option]
+                if before >= 0:
+                    fits = known.get((before, rank))
+                    if fits is None:
+                        fits = self.compatible(before, rank)
+                    if not fits:
+                        option += 1
+                        continue
+                if at + length == n or (at + length, rank) not in dead:
                     break
                 option += 1
-            if option < len(options):
+            if option <= last:
                 path.append((at, option, rank))
                 at, option, before = at + length, 0, rank
             else:
@@ -123,22 +131,29 @@ class Encoder:
                 at, taken, _ = path.pop()
                 option = taken + 1
                 before = path[-1][2] if path else -1
-        ids = tuple(rank for _, _, rank in path)
-        if len(self.pieces) >= PIECE_CACHE:
-            self.pieces.clear()
-        self.pieces[piece] = ids
-        return ids
+        return tuple(rank for _, _, rank in path)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_into(self, text: str | None, out: array) -> None:
+        """Append the ids of ``text`` to ``out``; null or empty text adds none."""
         if not text:
-            return []
-        out: list[int] = []
+            return
+        pieces = self.pieces
         for piece in self.split(text):
-            out.extend(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        return out
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                if len(pieces) >= PIECE_CACHE:
+                    pieces.clear()
+                pieces[piece] = ids
+            out.extend(ids)
+
+    def encode(self, text: str | None) -> list[int]:
+        out = array("I")
+        self.encode_into(text, out)
+        return out.tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(self.tokens[i] for i in ids)
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -168,42 +183,89 @@ def _shipped(df: DataFrame, rank_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text: str, rank_file: str, pattern: str, out: str = "ids") -> DataFrame:
-    """``df`` with ``out``: the token ids of column ``text`` (array<int>; null or empty text: no ids).
+def _packed(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids = array("I", ids)
+        ids.byteswap()
+    return ids.tobytes()
+
 
-    Other columns pass through unchanged; an existing column called ``out`` is replaced.
+def _unpacked(data: bytes) -> array:
+    ids = array("I")
+    ids.frombytes(data)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids
+
+
+def encode(df: DataFrame, text: str, rank_file: str, pattern: str, out: str = "ids", packed: bool = False) -> DataFrame:
+    """``df`` with ``out``: the token ids of column ``text``; null or empty text has no ids.
+
+    ``out`` is array<int>, or with ``packed`` the binary of little-endian unsigned
+    32-bit ids (the layout of token files for training). Other columns pass
+    through unchanged; an existing column called ``out`` is replaced.
     """
     shipped = _shipped(df, rank_file)
     kept = df.drop(out) if out in df.columns else df
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, kind, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value, pattern)
         for batch in batches:
-            ids = [encoder.encode(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
+            coded = []
+            for t in batch.column(text).to_pylist():
+                ids = array("I")
+                encoder.encode_into(t, ids)
+                coded.append(ids)
+            column = pa.array([_packed(i) for i in coded], pa.binary()) if packed else pa.array([i.tolist() for i in coded], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
     return common.map_batches(kept, run, schema)
 
 
 def decode(df: DataFrame, ids: str, rank_file: str, out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the bytes of the token ids in column ``ids`` (binary; null ids: empty bytes).
+    """``df`` with ``out``: the bytes of the token ids in column ``ids`` (array<int> or packed binary; null: empty bytes).
 
     An id outside the vocabulary fails the task with ``KeyError``.
     """
     shipped = _shipped(df, rank_file)
+    packed = isinstance(df.schema[ids].dataType, T.BinaryType)
     kept = df.drop(out) if out in df.columns and out != ids else df
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _decoder(shipped.value)
         for batch in batches:
-            decoded = [b"".join(tokens[i] for i in (row or ())) for row in batch.column(ids).to_pylist()]
+            rows = batch.column(ids).to_pylist()
+            decoded = [b"".join(map(tokens.__getitem__, _unpacked(r) if packed else r)) if r else b"" for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out])
 
     return common.map_batches(kept, run, schema)
 
 
+def round_trip(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with packed ids of ``text`` and the bytes decoded from those ids, in one pass over the rows."""
+    shipped = _shipped(df, rank_file)
+    kept = df.drop(*[c for c in (ids, decoded) if c in df.columns])
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType(), False), T.StructField(decoded, T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shipped.value, pattern)
+        tokens = encoder.tokens
+        for batch in batches:
+            packed, back = [], []
+            for t in batch.column(text).to_pylist():
+                coded = array("I")
+                encoder.encode_into(t, coded)
+                packed.append(_packed(coded))
+                back.append(b"".join(map(tokens.__getitem__, coded)))
+            columns = [pa.array(packed, pa.binary()), pa.array(back, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, ids, decoded])
+
+    return common.map_batches(kept, run, schema)
+
+
 def ids_bytes(ids) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)

@@ -275,21 +275,14 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
-def little_endian_u32(ids: str) -> F.Column:
-    """Ids as the bytes of little-endian unsigned 32-bit integers."""
-    octets = lambda i: F.concat(*(F.lpad(F.hex(F.shiftright(i, 8 * k) % 256), 2, "0") for k in range(4)))
-    return F.unhex(F.array_join(F.transform(ids, octets), ""))
-
-
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document text by the byte-level rank file, and the bytes they decode to."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks = public_tokenizers.path(BPE_RANKS)
-    coded = bpe.decode(bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN), "ids", ranks)
+    coded = bpe.round_trip(docs, "text", public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian_u32("ids"), 256).alias("ids_sha256"),
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

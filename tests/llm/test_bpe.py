@@ -65,3 +65,8 @@ def test_spark_operator_keeps_columns_and_nulls(spark):
     assert [r.decoded for r in out] == [b"", b"", b"Hello world", b"Hello world"]
     empty = bpe.encode(df.limit(0), "text", RANKS, public_tokenizers.PATTERN)
     assert empty.count() == 0
+    packed = bpe.decode(bpe.encode(df, "text", RANKS, public_tokenizers.PATTERN, packed=True), "ids", RANKS).orderBy("id").collect()
+    assert [bytes(r.decoded) for r in packed] == [b"", b"", b"Hello world", b"Hello world"]
+    assert [len(r.ids) for r in packed] == [0, 0, 8, 8]
+    both = bpe.round_trip(df, "text", RANKS, public_tokenizers.PATTERN).orderBy("id").collect()
+    assert [(bytes(r.ids), bytes(r.decoded)) for r in both] == [(bytes(r.ids), bytes(r.decoded)) for r in packed]
