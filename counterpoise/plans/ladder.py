@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    NumberFormatException,
+    PythonException,
+    SparkRuntimeException,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +24,7 @@ from counterpoise.operators import resample
 from counterpoise.operators.prepare import custom_split, with_majority
 from counterpoise.operators.resample import Classes, classes_of
 from counterpoise.task import RID, Task, TaskSet
-from counterpoise.workspace import materialize
+from counterpoise.workspace import materialize, shared_folder
 
 ORIGINAL_VARIANT = "original"
 
@@ -82,17 +92,71 @@ def variant_of(dataset: str, method: str, ratio: float, base: float, precision:
 @dataclass(frozen=True)
 class Ladder:
     """``rows``: long table of the rebalanced train rows of all variants;
-    ``variants`` and ``failures``: small tables."""
+    ``variants`` and ``failures``: small tables.
+
+    ``branches`` are the independent parts of ``rows`` (one method with all its
+    ratios, one parameter set, the original) with the variant names each makes;
+    ``ledger`` (after ``stored``) says for every variant whether its branch was
+    committed, with its stored row count, or why it failed.
+    """
 
     rows: DataFrame | None
     variants: DataFrame
     failures: DataFrame
     names: tuple[str, ...]
     majority: Any = None
+    branches: tuple[tuple[tuple[str, ...], DataFrame], ...] = ()
+    ledger: DataFrame | None = None
 
     def stored(self) -> "Ladder":
-        """Rows written once, one directory per variant, so that a fit reads only its own."""
-        return replace(self, rows=materialize(self.rows, "variants", ["variant"]))
+        """Every branch written and counted in its own job, in its own folder, one directory per variant.
+
+        A branch whose tasks raise (user code, a value refused while rows are
+        made) is written to the failure ledger with its reason and left out; the
+        rows are the union of the committed folders only, so a fit reads its own
+        variant and a lost branch spoils no other. Failures of the cluster (lost
+        executors after their retries, full disks) are raised.
+        """
+        if self.rows is None:
+            return self
+        if not self.branches:
+            return replace(self, rows=materialize(self.rows, "variants", ["variant"]))
+        spark = self.rows.sparkSession
+        context = spark.sparkContext
+        root = f"{shared_folder(spark)}/variants-{uuid.uuid4().hex}"
+        dataset = _dataset_of(self)
+        kept, failed, entries = [], [], []
+        for i, (names, part) in enumerate(self.branches):
+            path = f"{root}/branch-{i}"
+            context.setJobGroup(f"{root}/{i}", "variants " + ", ".join(names))
+            try:
+                part.write.partitionBy("variant").parquet(path)
+                back = spark.read.schema(part.schema).parquet(path)
+                counted = dict(back.groupBy("variant").count().collect())
+            except RAISED_IN_TASKS + UNSUITABLE as error:
+                if isinstance(error, SparkRuntimeException) and error.getCondition() != "USER_RAISED_EXCEPTION":
+                    raise
+                reason = _reason(error)
+                failed.extend((dataset, name, reason) for name in names)
+                entries.extend((name, False, None, reason) for name in names)
+                continue
+            finally:
+                context.setLocalProperty("spark.jobGroup.id", None)
+                context.setLocalProperty("spark.job.description", None)
+            kept.append((names, back))
+            entries.extend((name, True, int(counted.get(name, 0)), None) for name in names)
+        committed = [name for name, ok, _, _ in entries if ok]
+        rows = reduce(lambda a, b: a.unionByName(b), [back for _, back in kept]) if kept else None
+        lost = spark.createDataFrame(failed, "path string, variant string, reason string")
+        return replace(
+            self,
+            rows=rows,
+            variants=self.variants.where(F.col("variant").isin(committed)),
+            failures=self.failures.unionByName(lost),
+            names=tuple(n for n in self.names if n in committed),
+            branches=tuple(kept),
+            ledger=spark.createDataFrame(entries, "variant string, committed boolean, n_rows long, reason string"),
+        )
 
     def task(self, base: Task, variant: str) -> Task:
         """One variant as a task; the test part is the base task's, untouched."""
@@ -124,25 +188,51 @@ def rebalance_ladder(
     classes = classes_of(task)
     task = with_majority(task)
     ratios = ladder_ratios(classes, n_per_method, min_samples_to_modify)
-    rows, variants, failures = None, [], []
+    rows, variants, failures, branches = None, [], [], []
     for method, build in chosen.items():
         made = [variant_of(task.name, method, r, classes.ratio, precision) for r in ratios]
         wanted = _unique_names(made)
         for served, part in _served(lambda some, build=build: build(task, some, seed), wanted, task, failures):
             variants.extend((name, wanted[name]) for name in served)
+            branches.append((tuple(served), part))
             rows = part if rows is None else rows.unionByName(part)
     names = [name for name, _ in variants]
     if keep_original:
         base = _original_rows(task)
+        branches.append(((task.name,), base))
         rows = base if rows is None else rows.unionByName(base)
         names.append(task.name)
         variants.append((task.name, Variant(task.name, ORIGINAL_VARIANT, classes.ratio, 1.0, 1.0)))
-    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names), task.majority)
+    return Ladder(
+        rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names), task.majority, tuple(branches)
+    )
 
 
 # What an operator raises when a task, ratio or parameter does not suit it. Failures of
 # the cluster (lost executors, full disks) are none of these and are not hidden.
 UNSUITABLE = (ValueError, TypeError, KeyError, AnalysisException)
+# What the same refusal looks like when it happens inside tasks, while rows are made.
+RAISED_IN_TASKS = (
+    PythonException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
+
+
+def _reason(error: Exception) -> str:
+    """The first line that names the error, without the JVM's stack."""
+    text = str(error).strip()
+    lines = [line.strip() for line in text.splitlines() if line.strip()]
+    named = [line for line in lines if "Error:" in line or "Exception:" in line or "]" in line[:60]]
+    return (named[-1] if isinstance(error, PythonException) and named else (lines[0] if lines else type(error).__name__))[:500]
+
+
+def _dataset_of(ladder: Ladder) -> str:
+    first = ladder.variants.select("dataset").limit(1).collect()
+    return first[0][0] if first else ""
 
 
 def _served(build, wanted: Mapping[str, Variant], task: Task, failures: list) -> list[tuple[list[str], DataFrame]]:
@@ -203,7 +293,7 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
     """
     if suffixes is not None and len(suffixes) != len(params):
         raise ValueError("one suffix per parameter set is needed")
-    rows, variants, failures = None, [], []
+    rows, variants, failures, branches = None, [], [], []
     base = classes_of(task).ratio
     taken: set[str] = set()
     for i, given in enumerate(params):
@@ -223,9 +313,11 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
             continue
         of_range = (ratio - 1) / (base - 1) if base != 1 else 0.0
         variants.append((name, Variant(name, op.__name__, ratio, ratio / base, of_range)))
+        branches.append(((name,), part))
         rows = part if rows is None else rows.unionByName(part)
     names = tuple(n for n, _ in variants)
-    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names, with_majority(task).majority)
+    majority = with_majority(task).majority
+    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names, majority, tuple(branches))
 
 
 def sweep_all(tasks: TaskSet, op: Callable[..., DataFrame], params) -> dict[tuple[str, ...], Ladder]:

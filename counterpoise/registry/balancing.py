@@ -502,6 +502,55 @@ SELECT variant, y, count(*) AS n, sum(rid)::BIGINT AS rids FROM p GROUP BY ALL
 UNION ALL SELECT 'orders_transformed_3', -1, 0, 0
 """
 
+# Fixed value of the fixture: the ratio that the user's audit refuses while rows are made.
+REFUSED_RATIO = 1.5
+
+
+def _audited_under(task, ratios, seed=0):
+    """Random undersampling followed by a user audit that runs on every row inside the tasks.
+
+    The audit (a vectorised Python function) raises for the refused ratio, so the
+    plan is fine and only its execution fails, the way user code fails on a cluster.
+    """
+    import pandas as pd
+
+    def audit(ratio):
+        if (ratio == REFUSED_RATIO).any():
+            raise ValueError(f"audit refuses ratio {REFUSED_RATIO}")
+        return ratio > 0
+
+    audit.__annotations__ = {"ratio": pd.Series, "return": pd.Series}  # this module postpones annotations
+    (ratio,) = ratios.values()
+    rows = resample.random_under(task, ratios, seed)
+    return rows.where(F.pandas_udf(audit, "boolean")(F.lit(float(ratio))))
+
+
+def sweep_failures(spark, sf):
+    """Four parameter sets stored branch by branch; the one whose tasks raise is in the ledger, the others stay."""
+    params = [{"ratio": 1.0, "seed": X.SEED}, {"ratio": REFUSED_RATIO, "seed": X.SEED}, {"ratio": 2.0, "seed": X.SEED}, {"ratio": 3.0, "seed": 1}]
+    made = ladder.sweep(X.orders(spark, sf), _audited_under, params).stored()
+    counted = made.rows.groupBy("variant", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("rid").cast("bigint")).alias("rids")
+    )
+    failed = made.failures.select(
+        "variant", F.lit(-1).alias("y"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("rids")
+    )
+    return counted.unionByName(failed)
+
+
+SWEEP_FAILURES = f"""
+WITH {X.ORDERS}, {_counts_sql('urgent')},
+r1 AS (SELECT rid, y, row_number() OVER (PARTITION BY y ORDER BY {sql_draw('under', 'rid')}, rid) AS rn FROM urgent),
+r2 AS (SELECT rid, y, row_number() OVER (PARTITION BY y ORDER BY {sql_draw('under', 'rid', seed=1)}, rid) AS rn FROM urgent),
+p AS (
+  SELECT 'orders_transformed_0' AS variant, rid, y FROM r1, counts WHERE y = 1 OR rn <= floor(few / (1 / 1.0::DOUBLE))
+  UNION ALL SELECT 'orders_transformed_2', rid, y FROM r1, counts WHERE y = 1 OR rn <= floor(few / (1 / 2.0::DOUBLE))
+  UNION ALL SELECT 'orders_transformed_3', rid, y FROM r2, counts WHERE y = 1 OR rn <= floor(few / (1 / 3.0::DOUBLE))
+)
+SELECT variant, y, count(*) AS n, sum(rid)::BIGINT AS rids FROM p GROUP BY ALL
+UNION ALL SELECT 'orders_transformed_1', -1, 0, 0
+"""
+
 QUERIES = {
     "ir_ladder": (ir_ladder, IR_LADDER),
     "ladder_counts": (ladder_counts, LADDER_COUNTS),
@@ -523,4 +572,5 @@ QUERIES = {
     "smote_n": (smote_n, SMOTE_N),
     "custom_resampler": (custom_resampler, CUSTOM_RESAMPLER),
     "parameter_sweep": (parameter_sweep, PARAMETER_SWEEP),
+    "sweep_failures": (sweep_failures, SWEEP_FAILURES),
 }

@@ -177,3 +177,19 @@ def test_sweep_over_a_collection_keeps_paths(spark):
     assert [len(v.names) for v in out.values()] == [1, 2]
     with pytest.raises(ValueError):
         ladder.sweep_all(tasks, resample.random_over, [[{"ratio": 1.0}]])
+
+
+def test_stored_ladder_keeps_branches_whose_tasks_succeed(spark):
+    from counterpoise.plans import ladder
+    from counterpoise.registry import balancing, fixtures
+
+    params = [{"ratio": 1.0}, {"ratio": balancing.REFUSED_RATIO}, {"ratio": 2.0}]
+    made = ladder.sweep(fixtures.orders(spark, "/root/testdata/sf0.001"), balancing._audited_under, params).stored()
+    ledger = {r.variant: r for r in made.ledger.collect()}
+    assert [ledger[n].committed for n in ("orders_transformed_0", "orders_transformed_1", "orders_transformed_2")] == [True, False, True]
+    assert "audit refuses" in ledger["orders_transformed_1"].reason
+    counts = dict(made.rows.groupBy("variant").count().collect())
+    assert counts == {n: ledger[n].n_rows for n in ("orders_transformed_0", "orders_transformed_2")}
+    assert made.names == ("orders_transformed_0", "orders_transformed_2")
+    assert [r.variant for r in made.failures.collect()] == ["orders_transformed_1"]
+    assert {r.variant for r in made.variants.collect()} == {"orders_transformed_0", "orders_transformed_2"}
