@@ -17,7 +17,7 @@ from pyspark.errors import (
     PythonException,
     SparkRuntimeException,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.operators import resample
@@ -107,6 +107,7 @@ class Ladder:
     majority: Any = None
     branches: tuple[tuple[tuple[str, ...], DataFrame], ...] = ()
     ledger: DataFrame | None = None
+    base: DataFrame | None = None
 
     def stored(self) -> "Ladder":
         """Every branch written and counted in its own job, in its own folder, one directory per variant.
@@ -125,14 +126,29 @@ class Ladder:
         context = spark.sparkContext
         root = f"{shared_folder(spark)}/variants-{uuid.uuid4().hex}"
         dataset = _dataset_of(self)
+        base = None
+        if self.base is not None:
+            base = materialize(self.base, "variant-base")
+            n_base = base.count()
         kept, failed, entries = [], [], []
         for i, (names, part) in enumerate(self.branches):
             path = f"{root}/branch-{i}"
             context.setJobGroup(f"{root}/{i}", "variants " + ", ".join(names))
             try:
-                part.write.partitionBy("variant").parquet(path)
-                back = spark.read.schema(part.schema).parquet(path)
-                counted = dict(back.groupBy("variant").count().collect())
+                if base is None:
+                    part.write.partitionBy("variant").parquet(path)
+                    back = spark.read.schema(part.schema).parquet(path)
+                    counted = dict(back.groupBy("variant").count().collect())
+                else:
+                    added, removed = _difference(part, base, names)
+                    added.write.partitionBy("variant").parquet(f"{path}/added")
+                    removed.write.partitionBy("variant").parquet(f"{path}/removed")
+                    back_added = spark.read.schema(added.schema).parquet(f"{path}/added")
+                    back_removed = spark.read.schema(removed.schema).parquet(f"{path}/removed")
+                    back = _overlay(base, back_added, back_removed, names, part.columns)
+                    plus = dict(back_added.groupBy("variant").count().collect())
+                    minus = dict(back_removed.groupBy("variant").count().collect())
+                    counted = {n: n_base - minus.get(n, 0) + plus.get(n, 0) for n in names}
             except RAISED_IN_TASKS + UNSUITABLE as error:
                 if isinstance(error, SparkRuntimeException) and error.getCondition() != "USER_RAISED_EXCEPTION":
                     raise
@@ -204,7 +220,13 @@ def rebalance_ladder(
         names.append(task.name)
         variants.append((task.name, Variant(task.name, ORIGINAL_VARIANT, classes.ratio, 1.0, 1.0)))
     return Ladder(
-        rows, _variants_table(task, variants), _failures_table(task, failures), tuple(names), task.majority, tuple(branches)
+        rows,
+        _variants_table(task, variants),
+        _failures_table(task, failures),
+        tuple(names),
+        task.majority,
+        tuple(branches),
+        base=_original_rows(task).drop("variant"),
     )
 
 
@@ -222,6 +244,32 @@ RAISED_IN_TASKS = (
 )
 
 
+def _difference(part: DataFrame, base: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """A branch as differences from the base rows: rows to add, and ids of base rows to remove, per variant.
+
+    A row counts as the base row when its origin is original, it equals the base
+    row of its id in every column (nulls equal) and is the first of its id in the
+    variant; every other row (copies, synthetic rows, changed or repeated
+    originals) is added as it is.
+    """
+    columns = [c for c in part.columns if c not in ("variant", RID, "origin")]
+    b = base.select(F.col(RID).alias("_base_rid"), *[F.col(c).alias(f"_base_{c}") for c in columns], F.lit(True).alias("_in_base"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_base_{c}")), columns, F.col("origin") == resample.ORIGINAL)
+    marked = part.join(b, part[RID] == b["_base_rid"], "left").withColumn("_same", F.coalesce(F.col("_in_base") & same, F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("variant", RID, "_same").orderBy(F.lit(1))) == 1
+    marked = marked.withColumn("_kept", F.col("_same") & first)
+    added = marked.where(~F.col("_kept")).select(*part.columns)
+    kept = marked.where(F.col("_kept")).select("variant", RID)
+    every = base.select(RID, F.explode(F.array(*[F.lit(n) for n in names])).alias("variant"))
+    return added, every.join(kept, ["variant", RID], "left_anti").select("variant", RID)
+
+
+def _overlay(base: DataFrame, added: DataFrame, removed: DataFrame, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of the variants: base rows without the removed ids, with the added rows."""
+    every = base.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("variant"), *base.columns)
+    return every.join(removed, ["variant", RID], "left_anti").select(*columns).unionByName(added.select(*columns))
+
+
 def _reason(error: Exception) -> str:
     """The first line that names the error, without the JVM's stack."""
     text = str(error).strip()
@@ -317,7 +365,8 @@ def sweep(task: Task, op: Callable[..., DataFrame], params: Sequence[Mapping[str
         rows = part if rows is None else rows.unionByName(part)
     names = tuple(n for n, _ in variants)
     majority = with_majority(task).majority
-    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names, majority, tuple(branches))
+    base_rows = _original_rows(task).drop("variant")
+    return Ladder(rows, _variants_table(task, variants), _failures_table(task, failures), names, majority, tuple(branches), base=base_rows)
 
 
 def sweep_all(tasks: TaskSet, op: Callable[..., DataFrame], params) -> dict[tuple[str, ...], Ladder]:
