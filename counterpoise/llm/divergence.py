@@ -5,9 +5,9 @@ the number of rows each source holds (partial aggregation folds a group of
 thousands of copies inside each scan task), each distinct text is tokenized
 once, and its terms are added with those multiplicities as weighted document
 frequencies and counts. Pairs of sources are then evaluated sparsely: only
-terms that one of the two sources holds are visited; the kept terms that
-neither holds all have the same smoothed value in each, so their share is one
-product.
+terms that one of the two sources holds are visited, each sum is taken inside
+the task that makes its rows, and the kept terms that neither source holds all
+have the same smoothed value in each, so their share is one product.
 
 Rules (fixed by the contract): null text, lang and source read as ``''``;
 terms are matches of ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z
@@ -113,35 +113,55 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     by_value = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item"))
     terms = terms.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top_terms)
 
-    others = side(g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_other")))
-    mine = p.select("lang", "source", "term", F.col("p").alias("p_s"), F.lit(None).cast("long").alias("p_t")).join(others, "lang").where(F.col("other") != F.col("source"))
-    theirs = (
-        p.select("lang", F.col("source").alias("other"), "term", F.lit(None).cast("long").alias("p_s"), F.col("p").alias("p_t"))
-        .join(side(g.select("lang", "source")), "lang")
+    # value(s, t) = X1 + X2 + I + (V - |supp s| - |supp t| + |both|) f(p0_s, p0_t), where X1 sums f(p_s, p0_t) over
+    # the terms s holds, X2 sums f(p0_s, p_t) over those t holds, and I corrects the terms both hold. Each sum is
+    # taken inside the tasks that make its rows and only one row per (lang, s, t) and task reaches a shuffle.
+    exact = _EXACT.lower()
+    pairs_of = side(g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_t")))
+    x1 = (
+        p.join(pairs_of, "lang")
         .where(F.col("other") != F.col("source"))
+        .groupBy("lang", "source", "other")
+        .agg(F.sum(_gap("p", "p0_t").cast(exact)).alias("x1"), F.count(F.lit(1)).alias("held_s"))
+    )
+    x2 = (
+        p.withColumnRenamed("source", "other")
+        .join(side(g.select("lang", "source", F.col("p0").alias("p0_s"))), "lang")
+        .where(F.col("other") != F.col("source"))
+        .groupBy("lang", "source", "other")
+        .agg(F.sum(_gap("p0_s", "p").cast(exact)).alias("x2"), F.count(F.lit(1)).alias("held_t"))
     )
-    union = mine.drop("p0_other").unionByName(theirs).groupBy("lang", "source", "other", "term").agg(F.max("p_s").alias("p_s"), F.max("p_t").alias("p_t"))
-    mine_p0 = g.select("lang", "source", F.col("p0").alias("p0_s"))
-    theirs_p0 = g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_t"))
-    visited = (
-        union.join(side(mine_p0), ["lang", "source"])
-        .join(side(theirs_p0), ["lang", "other"])
-        .select("lang", "source", "other", F.coalesce("p_s", "p0_s").alias("a"), F.coalesce("p_t", "p0_t").alias("b"))
+    mine = p.select("lang", "source", "term", F.col("p").alias("p_s"))
+    theirs = p.select("lang", F.col("source").alias("other"), "term", F.col("p").alias("p_t"))
+    both = (
+        mine.join(theirs, ["lang", "term"])
+        .where(F.col("other") != F.col("source"))
+        .join(side(g.select("lang", "source", F.col("p0").alias("p0_s"))), ["lang", "source"])
+        .join(side(g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_t"))), ["lang", "other"])
         .groupBy("lang", "source", "other")
-        .agg(F.sum(_gap("a", "b").cast(_EXACT.lower())).alias("visited"), F.count(F.lit(1)).alias("n_visited"))
+        .agg(
+            F.sum((_gap("p_s", "p_t") - _gap("p_s", "p0_t") - _gap("p0_s", "p_t")).cast(exact)).alias("inner"),
+            F.count(F.lit(1)).alias("n_both"),
+        )
     )
+    zero = F.lit(0).cast(exact)
+    rest = F.col("v") - F.coalesce("held_s", F.lit(0)) - F.coalesce("held_t", F.lit(0)) + F.coalesce("n_both", F.lit(0))
     pairs = (
-        g.join(side(g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_t"))), "lang")
+        g.join(pairs_of, "lang")
         .where(F.col("other") != F.col("source"))
-        .join(visited, ["lang", "source", "other"], "left")
+        .join(x1, ["lang", "source", "other"], "left")
+        .join(x2, ["lang", "source", "other"], "left")
+        .join(both, ["lang", "source", "other"], "left")
         .select(
             "lang",
             "source",
             F.lit("pair").alias("part"),
             F.col("other").alias("item"),
             (
-                F.coalesce("visited", F.lit(0).cast(_EXACT.lower()))
-                + F.coalesce((F.col("v") - F.coalesce("n_visited", F.lit(0))).cast(_EXACT.lower()) * _gap("p0", "p0_t").cast(_EXACT.lower()), F.lit(0).cast(_EXACT.lower()))
+                F.coalesce("x1", zero)
+                + F.coalesce("x2", zero)
+                + F.coalesce("inner", zero)
+                + F.coalesce(rest.cast(exact) * _gap("p0", "p0_t").cast(exact), zero)
             ).cast("long").alias("value"),
         )
     )
