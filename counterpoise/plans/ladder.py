@@ -108,6 +108,7 @@ class Ladder:
     branches: tuple[tuple[tuple[str, ...], DataFrame], ...] = ()
     ledger: DataFrame | None = None
     base: DataFrame | None = None
+    overlays: tuple[tuple[tuple[str, ...], DataFrame, DataFrame], ...] = ()
 
     def stored(self) -> "Ladder":
         """Every branch written and counted in its own job, in its own folder, one directory per variant.
@@ -130,7 +131,7 @@ class Ladder:
         if self.base is not None:
             base = materialize(self.base, "variant-base")
             n_base = base.count()
-        kept, failed, entries = [], [], []
+        kept, failed, entries, overlays = [], [], [], []
         for i, (names, part) in enumerate(self.branches):
             path = f"{root}/branch-{i}"
             context.setJobGroup(f"{root}/{i}", "variants " + ", ".join(names))
@@ -160,6 +161,8 @@ class Ladder:
                 context.setLocalProperty("spark.jobGroup.id", None)
                 context.setLocalProperty("spark.job.description", None)
             kept.append((names, back))
+            if base is not None:
+                overlays.append((tuple(names), back_added, back_removed))
             entries.extend((name, True, int(counted.get(name, 0)), None) for name in names)
         committed = [name for name, ok, _, _ in entries if ok]
         rows = reduce(lambda a, b: a.unionByName(b), [back for _, back in kept]) if kept else None
@@ -171,12 +174,23 @@ class Ladder:
             failures=self.failures.unionByName(lost),
             names=tuple(n for n in self.names if n in committed),
             branches=tuple(kept),
+            base=base if base is not None else self.base,
+            overlays=tuple(overlays),
             ledger=spark.createDataFrame(entries, "variant string, committed boolean, n_rows long, reason string"),
         )
 
+    def variant_rows(self, variant: str) -> DataFrame:
+        """Rows of one variant; a stored one reads only the base and its own differences."""
+        for names, added, removed in self.overlays:
+            if variant in names:
+                gone = removed.where(F.col("variant") == variant).select(RID)
+                own = self.base.join(gone, RID, "left_anti").select(F.lit(variant).alias("variant"), *self.base.columns)
+                return own.select(*self.rows.columns).unionByName(added.where(F.col("variant") == variant).select(*self.rows.columns))
+        return self.rows.where(F.col("variant") == variant)
+
     def task(self, base: Task, variant: str) -> Task:
         """One variant as a task; the test part is the base task's, untouched."""
-        rows = self.rows.where(F.col("variant") == variant).drop("variant", "origin")
+        rows = self.variant_rows(variant).drop("variant", "origin")
         majority = self.majority if base.majority is None else base.majority
         whole = replace(base, name=variant, df=rows, majority=majority)
         if not base.was_split:

@@ -214,3 +214,6 @@ def test_stored_variants_are_differences_and_read_back_whole(spark):
     assert ledger == dict(Counter(v for v, *_ in [(r.variant,) for r in made.rows.select("variant").collect()]))
     plus = sum(b.where(F.col("origin") != "original").count() for _, b in stored.branches)
     assert plus > 0
+    for name in stored.names:
+        own = Counter(tuple(r) for r in stored.variant_rows(name).select(*sorted(made.rows.columns)).collect())
+        assert own == Counter(r for r in before.elements() if r[sorted(made.rows.columns).index("variant")] == name)
