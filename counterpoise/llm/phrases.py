@@ -7,9 +7,10 @@ automaton; the state of a phrase's first ``k`` words is the row of that prefix.
 
 * **Per shard.** Each scan task turns its texts into n-gram paths and sums their
   weights (Spark's partial aggregate): the count transducer of that shard. Paths
-  are built level by level; a path of k words is emitted only where both its
-  parts of k - 1 words pass a Bloom filter of the frequent shorter paths (a path
-  can only be frequent if its parts are), so rare paths never reach a shuffle.
+  are built level by level; a path of k words is kept only where both its parts
+  of k - 1 words are frequent paths of the level before (a path can only be
+  frequent if its parts are), tested by a semi-join in the scan task against the
+  broadcast level (its rows counted first), so rare paths never reach a shuffle.
 * **Union.** The shard automata are unioned and their weights summed per path by
   one exchange on the path; a hot path (a frequent word) is summed inside each
   shard first and reaches the exchange once a shard.
@@ -33,16 +34,9 @@ an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
-from array import array
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from counterpoise.llm import common
 from counterpoise.workspace import materialize
 
 MAX_WORDS = 4
@@ -55,14 +49,12 @@ PIECE_BREAKS = r"[.,;:!?\n\x0B\x0C\r]"
 WORD_BREAKS = r"[ \t]+"
 
 _EXACT = "decimal(38,0)"
-_PIECE = re.compile(PIECE_BREAKS)
-_WORD = re.compile(WORD_BREAKS)
 
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-# Bits of the filter of frequent shorter paths: BITS_PER_PATH a path, at least MIN_BITS, at most MAX_BITS
-# (a fixed bound on what is broadcast; beyond it more paths pass the filter and are counted exactly all the same).
-BITS_PER_PATH, MIN_BITS, MAX_BITS, PROBES = 16, 1 << 16, 1 << 28, 3
+
+# A level's frequent paths are broadcast to the next level's scan when they are at most this many rows (counted first);
+# beyond it the filter is a shuffled semi-join, with the same result.
+BROADCAST_PATHS = 2_000_000
 
 
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -71,69 +63,28 @@ def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.select("lang", F.filter(F.split("piece", WORD_BREAKS), lambda w: w != "").alias("w"))
 
 
-def _probes(lang: str, phrase: str, bits: int) -> list[int]:
-    key = f"{lang}\x00{phrase}".encode("utf-8", "surrogatepass")
-    first, step = xxhash.xxh64_intdigest(key, 0), xxhash.xxh64_intdigest(key, 1) | 1
-    return [(first + i * step) % bits for i in range(PROBES)]
-
-
-def _filter_of(frequent: DataFrame) -> tuple[int, object]:
-    """Bloom filter of (lang, phrase) rows, built in tasks and OR-ed by 64-bit word; broadcast, size bounded by MAX_BITS."""
-    n = frequent.count()
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << max(0, (BITS_PER_PATH * n - 1).bit_length())))
-    schema = T.StructType([T.StructField("position", T.LongType(), False)])
-
-    def positions(batches):
-        for batch in batches:
-            out = [p for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()) for p in _probes(lang, phrase, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["position"])
-
-    placed = common.map_batches(frequent.select("lang", "phrase"), positions, schema)
-    words = placed.groupBy(F.expr("position div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(position % 64 AS INT)))").alias("set"))
-    table = array("q", bytes(8 * (bits // 64)))
-    got = words.toArrow()
-    for word, value in zip(got.column("word").to_pylist(), got.column("set").to_pylist()):
-        table[word] = value
-    return bits, frequent.sparkSession.sparkContext.broadcast(table.tobytes())
-
-
-def _longer_paths(docs: DataFrame, text: str, lang: str, k: int, filter_: tuple[int, object]) -> DataFrame:
-    """(lang, phrase) of every k-word run whose two (k-1)-word parts pass the filter of frequent paths."""
-    bits, shipped = filter_
-    schema = T.StructType([T.StructField("lang", T.StringType(), False), T.StructField("phrase", T.StringType(), False)])
-
-    def runs(batches):
-        table = array("q")
-        table.frombytes(shipped.value)
-
-        def frequent(lg, phrase):
-            return all(table[p >> 6] >> (p & 63) & 1 for p in _probes(lg, phrase, bits))
+def _runs(words: F.Column, k: int) -> F.Column:
+    """Every run of k words with its two parts of k - 1 words: (first, last, phrase)."""
+    m = F.size(words)
+    joined = lambda at, width: F.array_join(F.slice(words, at, F.lit(width)), " ")
+    runs = F.transform(
+        F.sequence(F.lit(1), m - k + 1),
+        lambda i: F.struct(joined(i, k - 1).alias("first"), joined(i + 1, k - 1).alias("last"), joined(i, k).alias("phrase")),
+    )
+    return F.when(m >= k, runs).otherwise(F.array())
 
-        for batch in batches:
-            langs, phrases_ = [], []
-            for t, lg in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist()):
-                lg = "und" if lg is None else str(lg)
-                for piece in _PIECE.split((t or "").translate(LOWER)):
-                    w = [x for x in _WORD.split(piece) if x]
-                    if len(w) < k:
-                        continue
-                    parts = [" ".join(w[i : i + k - 1]) for i in range(len(w) - k + 2)]
-                    ok = [frequent(lg, part) for part in parts]
-                    for i in range(len(w) - k + 1):
-                        if ok[i] and ok[i + 1]:
-                            langs.append(lg)
-                            phrases_.append(" ".join(w[i : i + k]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases_, pa.string())], names=["lang", "phrase"])
 
-    return common.map_batches(docs.select(text, lang), runs, schema)
+def _frequent_side(level: DataFrame, name: str) -> DataFrame:
+    side = level.select("lang", F.col("phrase").alias(name))
+    return F.broadcast(side) if level.count() <= BROADCAST_PATHS else side
 
 
 def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Counted paths of weight ``>= MIN_COUNT`` (lang, k, phrase, f) and words per lang (lang, n).
 
     Level by level: a path of k words can only reach ``MIN_COUNT`` if both its
-    parts of k - 1 words do, so runs are emitted only where both parts pass the
-    filter of the frequent shorter paths; the counts themselves are exact.
+    parts of k - 1 words do, so a level counts only runs whose two parts are
+    frequent paths of the level before; the counts themselves are exact.
     """
     pieces = _pieces(docs, text, lang)
     totals = pieces.groupBy("lang").agg(F.sum(F.size("w")).cast("long").alias("n"))
@@ -141,8 +92,10 @@ def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang") -> tupl
     level = materialize(words.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT), "phrase-paths-1")
     levels = [level.select("lang", F.lit(1).alias("k"), "phrase", "f")]
     for k in range(2, MAX_WORDS + 1):
-        runs = _longer_paths(docs, text, lang, k, _filter_of(level))
-        level = materialize(runs.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT), f"phrase-paths-{k}")
+        runs = _pieces(docs, text, lang).select("lang", F.explode(_runs(F.col("w"), k)).alias("r")).select("lang", "r.first", "r.last", "r.phrase")
+        runs = runs.join(_frequent_side(level, "first"), ["lang", "first"], "left_semi").join(_frequent_side(level, "last"), ["lang", "last"], "left_semi")
+        counted = runs.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT)
+        level = materialize(counted, f"phrase-paths-{k}")
         levels.append(level.select("lang", F.lit(k).alias("k"), "phrase", "f"))
     counted = levels[0]
     for more in levels[1:]:
