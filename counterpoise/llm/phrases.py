@@ -34,6 +34,7 @@ an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +64,17 @@ def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.select("lang", F.filter(F.split("piece", WORD_BREAKS), lambda w: w != "").alias("w"))
 
 
-def _runs(words: F.Column, k: int) -> F.Column:
-    """Every run of k words with its two parts of k - 1 words: (first, last, phrase)."""
-    m = F.size(words)
-    joined = lambda at, width: F.array_join(F.slice(words, at, F.lit(width)), " ")
-    runs = F.transform(
-        F.sequence(F.lit(1), m - k + 1),
-        lambda i: F.struct(joined(i, k - 1).alias("first"), joined(i + 1, k - 1).alias("last"), joined(i, k).alias("phrase")),
-    )
-    return F.when(m >= k, runs).otherwise(F.array())
+def _runs(pieces: DataFrame, k: int) -> DataFrame:
+    """Every run of k words with its two parts of k - 1 words: lang, first, last, phrase.
+
+    Runs are made by Spark ML's n-gram transformer (space-joined sliding windows);
+    the run at position i has the parts at positions i and i + 1 of the shorter runs.
+    """
+    shorter = NGram(n=k - 1, inputCol="w", outputCol="parts").transform(pieces)
+    both = NGram(n=k, inputCol="w", outputCol="runs").transform(shorter).where(F.size("runs") > 0)
+    m = F.size("runs")
+    zipped = F.arrays_zip(F.slice("parts", 1, m).alias("first"), F.slice("parts", 2, m).alias("last"), F.col("runs").alias("phrase"))
+    return both.select("lang", F.explode(zipped).alias("r")).select("lang", "r.first", "r.last", "r.phrase")
 
 
 def _frequent_side(level: DataFrame, name: str) -> DataFrame:
@@ -92,7 +95,7 @@ def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang") -> tupl
     level = materialize(words.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT), "phrase-paths-1")
     levels = [level.select("lang", F.lit(1).alias("k"), "phrase", "f")]
     for k in range(2, MAX_WORDS + 1):
-        runs = _pieces(docs, text, lang).select("lang", F.explode(_runs(F.col("w"), k)).alias("r")).select("lang", "r.first", "r.last", "r.phrase")
+        runs = _runs(_pieces(docs, text, lang), k)
         runs = runs.join(_frequent_side(level, "first"), ["lang", "first"], "left_semi").join(_frequent_side(level, "last"), ["lang", "last"], "left_semi")
         counted = runs.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT)
         level = materialize(counted, f"phrase-paths-{k}")
