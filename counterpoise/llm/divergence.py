@@ -40,6 +40,10 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Terms are the maximal runs between separators; splitting at runs of separators finds the same terms.
+SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Sums of values up to 1e18 are taken exactly as two sums of 64-bit halves (no decimal per row).
+HALF = 1 << 31
 # Groups (lang, source) are counted before they are broadcast; beyond this they are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
 
@@ -53,9 +57,23 @@ def _smoothed(count: str, total: str, kept: str) -> F.Column:
     )
 
 
-def _gap(p: str, q: str) -> F.Column:
+def _gap_sql(p: str, q: str) -> str:
     """``floor((p - q)^2 / q)``; p and q are at most UNIT + 1, so the square fits 64 bits."""
-    return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
+    return f"(({p} - {q}) * ({p} - {q})) div {q}"
+
+
+def _gap(p: str, q: str) -> F.Column:
+    return F.expr(_gap_sql(p, q))
+
+
+def _exact_sum(value: str, name: str) -> list[F.Column]:
+    """Two long sums whose combination (``_combined``) is the exact sum of non-negative values (SQL) below 2**62."""
+    return [F.sum(F.expr(f"({value}) div {HALF}")).alias(f"{name}_hi"), F.sum(F.expr(f"({value}) % {HALF}")).alias(f"{name}_lo")]
+
+
+def _combined(name: str) -> F.Column:
+    exact = _EXACT.lower()
+    return F.coalesce(F.col(f"{name}_hi").cast(exact) * F.lit(HALF).cast(exact) + F.col(f"{name}_lo").cast(exact), F.lit(0).cast(exact))
 
 
 def collapse(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -76,7 +94,8 @@ def term_tables(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """
     texts = collapse(docs, text, lang, source)
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = materialize(texts.select("lang", "sources", "rows", F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("w")), "divergence-texts")
+    terms = F.filter(F.split(lowered, SEPARATORS), lambda t: t != "")
+    tokens = materialize(texts.select("lang", "sources", "rows", terms.alias("w")), "divergence-texts")
     frequencies = tokens.select("lang", "rows", F.explode(F.array_distinct("w")).alias("term")).groupBy("lang", "term").agg(F.sum("rows").alias("df"))
     kept = frequencies.where(F.col("df") >= MIN_DOCS).select("lang", "term")
     occurrences = tokens.select("lang", F.explode("w").alias("term"), "sources").select("lang", "term", F.inline("sources"))
@@ -122,14 +141,14 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         p.join(pairs_of, "lang")
         .where(F.col("other") != F.col("source"))
         .groupBy("lang", "source", "other")
-        .agg(F.sum(_gap("p", "p0_t").cast(exact)).alias("x1"), F.count(F.lit(1)).alias("held_s"))
+        .agg(*_exact_sum(_gap_sql("p", "p0_t"), "x1"), F.count(F.lit(1)).alias("held_s"))
     )
     x2 = (
         p.withColumnRenamed("source", "other")
         .join(side(g.select("lang", "source", F.col("p0").alias("p0_s"))), "lang")
         .where(F.col("other") != F.col("source"))
         .groupBy("lang", "source", "other")
-        .agg(F.sum(_gap("p0_s", "p").cast(exact)).alias("x2"), F.count(F.lit(1)).alias("held_t"))
+        .agg(*_exact_sum(_gap_sql("p0_s", "p"), "x2"), F.count(F.lit(1)).alias("held_t"))
     )
     mine = p.select("lang", "source", "term", F.col("p").alias("p_s"))
     theirs = p.select("lang", F.col("source").alias("other"), "term", F.col("p").alias("p_t"))
@@ -139,10 +158,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         .join(side(g.select("lang", "source", F.col("p0").alias("p0_s"))), ["lang", "source"])
         .join(side(g.select("lang", F.col("source").alias("other"), F.col("p0").alias("p0_t"))), ["lang", "other"])
         .groupBy("lang", "source", "other")
-        .agg(
-            F.sum((_gap("p_s", "p_t") - _gap("p_s", "p0_t") - _gap("p0_s", "p_t")).cast(exact)).alias("inner"),
-            F.count(F.lit(1)).alias("n_both"),
-        )
+        .agg(*_exact_sum(_gap_sql("p_s", "p_t"), "inner"), *_exact_sum(_gap_sql("p_s", "p0_t"), "minus_s"), *_exact_sum(_gap_sql("p0_s", "p_t"), "minus_t"), F.count(F.lit(1)).alias("n_both"))
     )
     zero = F.lit(0).cast(exact)
     rest = F.col("v") - F.coalesce("held_s", F.lit(0)) - F.coalesce("held_t", F.lit(0)) + F.coalesce("n_both", F.lit(0))
@@ -158,9 +174,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
             F.lit("pair").alias("part"),
             F.col("other").alias("item"),
             (
-                F.coalesce("x1", zero)
-                + F.coalesce("x2", zero)
-                + F.coalesce("inner", zero)
+                _combined("x1")
+                + _combined("x2")
+                + _combined("inner")
+                - _combined("minus_s")
+                - _combined("minus_t")
                 + F.coalesce(rest.cast(exact) * _gap("p0", "p0_t").cast(exact), zero)
             ).cast("long").alias("value"),
         )
