@@ -61,7 +61,7 @@ BROADCAST_PATHS = 2_000_000
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE_BREAKS)).alias("piece"))
-    return rows.select("lang", F.filter(F.split("piece", WORD_BREAKS), lambda w: w != "").alias("w"))
+    return rows.select("lang", F.array_remove(F.split("piece", WORD_BREAKS), "").alias("w"))
 
 
 def _runs(pieces: DataFrame, k: int) -> DataFrame:
