@@ -4,10 +4,14 @@ Reference rows with equal vectors are collapsed to one point that keeps its
 ``k+1`` smallest row ids, so hot groups of copies cost one distance. Points are
 laid out in blocks of bounded size along a k-d partition. Each query first
 visits its home block, which bounds its k-th distance; it is then sent only to
-blocks whose bounding box is closer than that bound. Distances inside one
-(block, query chunk) cell are numpy work on a matrix of bounded size, and only
-candidates within the bound leave the cell. Results are exact and ties are
-broken by row id.
+blocks whose bounding box is closer than that bound. Where boxes prune little
+(many dimensions), neighbouring blocks are joined to slabs and queries to longer
+chunks, so that neither side is sent once for every pair of blocks. Distances
+inside one (block or slab, query chunk) cell are numpy work on a matrix of
+bounded size, and only candidates within the bound leave the cell. From
+``PRODUCT_DIMS`` dimensions on, a matrix product in single precision with a
+bound on its error leaves out far pairs, and the others are computed as before.
+Results are exact and ties are broken by row id.
 
 Two metrics share the code: Euclidean on ``vec``, and Euclidean plus
 ``penalty`` per differing entry of ``cats`` (squared units). Without a penalty
@@ -19,6 +23,7 @@ the neighbour id would be skewed, since copies share their neighbours.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,12 @@ BLOCK_POINTS = 4096
 CHUNK_ROWS = 4096
 SAMPLE_POINTS = 100_000
 MATRIX_CELLS = 2_000_000
+SLAB_BLOCKS = 16
+SLAB_NUMBERS = 4_000_000
+SLAB_CHUNK_ROWS = 32_768
+EVERYWHERE = -1
+PRODUCT_DIMS = 8
+EXACT_PAIRS = 250_000
 
 
 def vector_of(df: DataFrame, names) -> Column:
@@ -49,7 +60,7 @@ def nearest(
     exclude_self: bool = True,
     penalty: float = 0.0,
     digits: int | None = None,
-    carry: bool = False,
+    carry: bool | Sequence[str] = False,
     n_queries: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest reference rows of every query row.
@@ -58,7 +69,8 @@ def nearest(
     (array<string>) when ``penalty`` is used. Returns
     ``(rid, neighbour, dist, rank)`` with rank 1..k by (dist, neighbour). With
     ``digits`` distances are rounded first, so equal gaps tie exactly. With
-    ``carry`` the neighbour's ``other_vec`` (and ``other_cats``) are added.
+    ``carry`` the neighbour's ``other_vec`` (and ``other_cats``) are added, or
+    only those named.
     ``n_queries``, if known, saves counting them before a short query side is
     spread over all cores.
     """
@@ -73,7 +85,8 @@ def nearest(
     rid_type = queries.schema["rid"].dataType.simpleString()
     ref_type = refs.schema["rid"].dataType.simpleString()
     flat = f"rid {rid_type}, neighbour {ref_type}, dist double"
-    added = [f"other_{c}" for c in coordinates] if carry else []
+    carried = coordinates if carry is True else [c for c in coordinates if carry and c in carry]
+    added = [f"other_{c}" for c in carried]
     for c in added:
         flat += f", {c} {refs.schema[c[len('other_'):]].dataType.simpleString()}"
     cell = _Cell(k, keep, exclude_self, penalty, has_cats, digits, added)
@@ -104,6 +117,43 @@ def _points(refs: DataFrame, coordinates: list[str], keep: int) -> DataFrame:
     )
 
 
+class _Product:
+    """Squared distances of queries and points by a matrix product, and how far they may be off.
+
+    Both sides are moved to the middle of the points and scaled to at most 1, so
+    single precision neither overflows nor loses more than ``error`` says.
+    """
+
+    def __init__(self, vec: np.ndarray, points: np.ndarray, middle: np.ndarray, scale: float):
+        self.scale = scale
+        queries, points = (vec - middle) / scale, (points - middle) / scale
+        own, others = (queries * queries).sum(axis=1), (points * points).sum(axis=1)
+        self.queries, self.turned = queries.astype(np.float32), (-2.0 * points.T).astype(np.float32)
+        self.own, self.others = own.astype(np.float32), others.astype(np.float32)
+        self.error = float(np.finfo(np.float32).eps) * (vec.shape[1] + 16) * (own + others.max()) + 1e-36
+
+    @staticmethod
+    def of(vec: np.ndarray, points: np.ndarray) -> _Product | None:
+        if not len(vec) or not len(points) or points.shape[1] < PRODUCT_DIMS:
+            return None
+        middle = points.mean(axis=0)
+        scale = max(np.abs(vec - middle).max(), np.abs(points - middle).max())
+        return _Product(vec, points, middle, scale) if 1e-100 < scale < 1e100 else None
+
+    def squares(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        out = self.queries[part] @ self.turned
+        out += self.others
+        out += self.own[part, None]
+        return out, self.error[part]
+
+    def length(self, squares: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(squares, 0.0)) * self.scale
+
+    def limit(self, length: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """What the square of a pair within ``length`` cannot exceed."""
+        return ((length / self.scale) ** 2 * (1 + 1e-6) + error).astype(np.float32)
+
+
 class _Cell:
     """Distances of one chunk of queries to one block of points."""
 
@@ -148,24 +198,66 @@ class _Cell:
     def run(self, queries: pd.DataFrame, block: dict, bound: np.ndarray | None) -> pd.DataFrame:
         """Flat (rid, neighbour, dist, rank): the local top list of every query."""
         pieces = []
-        step = max(1, MATRIX_CELLS // max(1, len(block["vec"])))
         vec = _matrix(queries["vec"])
         qid = queries["rid"].to_numpy()
         cats = queries["cats"].tolist() if self.compares_cats else None
-        for at in range(0, len(queries), step):
-            part = slice(at, at + step)
-            dist = self.distances(vec[part], cats[part] if cats else None, block)
-            limit = None if bound is None else bound[part]
-            pieces.append(self._top(qid[part], dist, block, limit))
+        product = None if self.compares_cats else _Product.of(vec, block["vec"])
+        step = max(1, MATRIX_CELLS // max(1, len(block["vec"])))
+        wide = step if product is None else 4 * step
+        for at in range(0, len(queries), wide):
+            part = slice(at, at + wide)
+            near = None if product is None else self._near(product, vec, block, bound, part)
+            if near is not None:
+                pieces.append(self._top(qid[part], *near, block))
+                continue
+            for start in range(at, min(at + wide, len(queries)), step):
+                part = slice(start, min(start + step, at + wide))
+                dist = self.distances(vec[part], cats[part] if cats else None, block)
+                near = self._within(dist, None if bound is None else bound[part])
+                pieces.append(self._top(qid[part], *near, block))
         return pd.concat(pieces, ignore_index=True)
 
-    def _top(self, qid: np.ndarray, dist: np.ndarray, block: dict, bound) -> pd.DataFrame:
+    def _within(self, dist: np.ndarray, bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (row, col, dist) that may be among the first of their row, from all distances."""
         keep = min(self.keep, dist.shape[1])
         threshold = np.partition(dist, keep - 1, axis=1)[:, keep - 1]
         if bound is not None:
             threshold = np.minimum(threshold, bound)
         row, col = np.nonzero(dist <= threshold[:, None])
-        d = dist[row, col]
+        return row, col, dist[row, col]
+
+    def _near(self, product: _Product, vec: np.ndarray, block: dict, bound, part: slice):
+        """The same pairs, with distances only of those that the product cannot exclude; None if these are many."""
+        vec, bound = vec[part], None if bound is None else bound[part]
+        squares, error = product.squares(part)
+        limit = None
+        if bound is not None and np.isfinite(bound).all():
+            limit = product.limit(bound + self.slack, error)
+            if np.count_nonzero(squares <= limit[:, None]) > 0.02 * squares.size:
+                limit = None
+        if limit is None:
+            keep = min(self.keep, squares.shape[1])
+            least = np.partition(squares, keep - 1, axis=1)[:, keep - 1].astype(np.float64)
+            limit = product.limit(product.length(least + error) + self.slack, error)
+        row, col = np.nonzero(squares <= limit[:, None])
+        if len(row) > 0.25 * squares.size:
+            return None
+        d = np.empty(len(row))
+        for at in range(0, len(row), EXACT_PAIRS):
+            some = slice(at, at + EXACT_PAIRS)
+            total = np.zeros(len(row[some]))
+            for j in range(vec.shape[1]):
+                gap = vec[row[some], j] - block["vec"][col[some], j]
+                total += gap * gap
+            d[some] = np.sqrt(total)
+        if self.digits is not None:
+            d = np.round(d, self.digits)
+        if bound is not None:
+            inside = d <= bound[row]
+            row, col, d = row[inside], col[inside], d[inside]
+        return row, col, d
+
+    def _top(self, qid: np.ndarray, row: np.ndarray, col: np.ndarray, d: np.ndarray, block: dict) -> pd.DataFrame:
         row, col, d = _first_per_row(row, col, d, col, self.keep)
         if block["rank"] is not None:
             times = block["length"][col]
@@ -182,9 +274,10 @@ class _Cell:
         found = {"rid": qid[row], "neighbour": block["rids"][at], "dist": d, "rank": rank}
         if self.added:
             point = np.searchsorted(block["start"], at, side="right") - 1
-            found["other_vec"] = list(block["vec"][point])
-            if self.has_cats:
-                found["other_cats"] = [block["cats"][i] for i in point]
+            if "other_vec" in self.added:
+                found["other_vec"] = pd.Series(list(block["vec"][point]), dtype=object)
+            if "other_cats" in self.added:
+                found["other_cats"] = pd.Series([block["cats"][i] for i in point], dtype=object)
         return pd.DataFrame(found)
 
 
@@ -277,16 +370,30 @@ def _against_blocks(queries: DataFrame, points: DataFrame, n_points: int, cell:
         "bounded-queries",
     )
 
-    # Second visit: every block whose box is within the bound.
-    sent = visited.withColumn("block", F.explode("targets")).drop("targets")
+    # Second visit: every block whose box is within the bound, or every slab where these are many.
+    sent = visited.where(~_everywhere()).withColumn("block", F.explode("targets")).drop("targets")
     sent_counts = {r["block"]: r["count"] for r in sent.groupBy("block").count().collect()}
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({c: [] for c in ["rid", "neighbour", "dist", *cell.added]})
+            return pd.DataFrame({c: [] for c in ["rid", "neighbour", "dist", *cell.added]}, dtype=object)
         return cell.run(q, cell.prepare(p), q["bound"].to_numpy()).drop(columns="rank")
 
-    return _cells(sent, blocked, sent_counts, chunk, spark)(compare, flat)
+    wide = visited.where(_everywhere()).drop("targets")
+    n_wide = wide.count()
+    if not n_wide:
+        return _cells(sent, blocked, sent_counts, chunk, spark)(compare, flat)
+    per_slab = max(1, min(SLAB_BLOCKS, SLAB_NUMBERS // (BLOCK_POINTS * max(1, search.value.low.shape[1]))))
+    n_slabs = math.ceil(n_blocks / per_slab)
+    slabs = blocked.withColumn("block", F.floor(F.col("block") / per_slab).cast("int"))
+    wide = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1))))
+    long_chunk = max(CHUNK_ROWS, min(SLAB_CHUNK_ROWS, n_wide // slots + 1))
+    found = _cells(wide, slabs, {i: n_wide for i in range(n_slabs)}, long_chunk, spark)(compare, flat)
+    return found.unionByName(_cells(sent, blocked, sent_counts, chunk, spark)(compare, flat)) if sent_counts else found
+
+
+def _everywhere() -> Column:
+    return F.coalesce(F.get("targets", F.lit(0)) == EVERYWHERE, F.lit(False))
 
 
 def _cells(queries: DataFrame, blocked: DataFrame, counts: dict, chunk: int, spark):
@@ -377,6 +484,7 @@ class _Search:
 
     def within(self, vec: np.ndarray, bound: np.ndarray) -> list:
         found: list[list[int]] = [[] for _ in range(len(vec))]
+        most = max(4, len(self.low) // (4 if vec.shape[1] < PRODUCT_DIMS else 32))
         todo = [(0 if self.splits else -1, np.arange(len(vec)))] if len(vec) else []
         while todo:
             node, rows = todo.pop()
@@ -388,7 +496,7 @@ class _Search:
             for block in self.leaf_blocks[-node - 1]:
                 for r in rows[self._near(vec[rows], bound[rows], self.low[block], self.high[block])]:
                     found[r].append(block)
-        return found
+        return [f if len(f) <= most else [EVERYWHERE] for f in found]
 
 
 def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
@@ -431,7 +539,7 @@ def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
 def tomek_links(rows: DataFrame, label: str) -> DataFrame:
     """Pairs of opposite classes that are each other's nearest neighbour: (rid, neighbour)."""
     marked = rows.select("rid", "vec", F.array(F.col(label).cast("string")).alias("cats"), F.col(label).alias("_own"))
-    first = nearest(marked, marked, 1, carry=True).select("rid", "neighbour", F.col("other_cats")[0].alias("_other"))
+    first = nearest(marked, marked, 1, carry=["cats"]).select("rid", "neighbour", F.col("other_cats")[0].alias("_other"))
     opposite = first.join(marked.select("rid", F.col("_own").cast("string").alias("_own")), "rid").where(
         F.col("_own") != F.col("_other")
     )

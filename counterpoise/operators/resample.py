@@ -443,7 +443,7 @@ def endangered(task: Task, classes: Classes, m: int = 10) -> DataFrame:
     m = min(m, classes.n_majority + classes.n_minority - 1)
     against = F.sum((F.col("other_cats")[0] == F.lit(classes.majority).cast("string")).cast("int"))
     return (
-        nearest(minority, points, m, carry=True, n_queries=classes.n_minority)
+        nearest(minority, points, m, carry=["cats"], n_queries=classes.n_minority)
         .groupBy(RID)
         .agg(against.alias("_against"))
         .where((F.col("_against") * 2 >= m) & (F.col("_against") < m))

@@ -78,3 +78,38 @@ def test_tomek_links(spark):
     rows = [(1, [0.0], 0), (2, [1.0], 1), (3, [10.0], 0), (4, [10.5], 0), (5, [3.0], 1)]
     df = spark.createDataFrame(rows, "rid bigint, vec array<double>, y int")
     assert {(r["rid"], r["neighbour"]) for r in knn.tomek_links(df, "y").collect()} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_far_blocks_are_met_as_slabs(spark, monkeypatch, carry):
+    """In many dimensions every block is near; queries go to slabs, and the product leaves no neighbour out."""
+    monkeypatch.setattr(knn, "BLOCK_POINTS", 32)
+    monkeypatch.setattr(knn, "MATRIX_CELLS", 2000)
+    seen = []
+    whole = knn._cells
+    monkeypatch.setattr(knn, "_cells", lambda queries, blocked, counts, *rest: (seen.append(len(counts)), whole(queries, blocked, counts, *rest))[1])
+    pick = random.Random(4)
+    rows = [(i, [1000.0 + pick.gauss(0, 1) for _ in range(12)]) for i in range(700)]
+    rows += [(700 + i, list(rows[i % 5][1])) for i in range(40)] + [(800, [1e4] * 12)]
+    df = spark.createDataFrame(rows, "rid bigint, vec array<double>").repartition(5)
+    found = knn.nearest(df, df, 3, carry=carry)
+    assert result(found) == brute(rows, rows, 3)
+    assert max(seen[1:]) <= math.ceil(seen[0] / 8)  # slabs, not blocks
+    if carry:
+        own = {r: v for r, v in rows}
+        assert all(list(r["other_vec"]) == own[r["neighbour"]] for r in found.collect())
+
+
+def test_product_never_excludes_a_neighbour():
+    """Vectors far from their middle, and one outlier that sets the scale."""
+    import numpy as np
+
+    pick = np.random.default_rng(2)
+    for vec in (1e6 + pick.normal(size=(300, 16)), np.vstack([pick.normal(size=(299, 16)), np.full((1, 16), 1e12)]), np.ones((50, 16)), pick.normal(size=(300, 16)) * 1e-40):
+        product = knn._Product.of(vec, vec)
+        if product is None:
+            continue
+        squares, error = product.squares(slice(0, len(vec)))
+        gap = vec[:, None] - vec[None]
+        exact = np.sqrt((gap * gap).sum(axis=2))
+        assert all((squares[i] <= product.limit(exact[i], np.full(len(vec), error[i]))).all() for i in range(len(vec)))
