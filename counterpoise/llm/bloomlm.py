@@ -14,6 +14,9 @@ prior, so that they need nothing but counts read from the filter.
   (``filter_bytes``), which is what may be handed to every worker.  The smallest cut-off
   of counts is taken for which everything that it leaves fits with ``BITS`` bits each; it
   follows from the exact distribution of counts.
+* What the cut-off leaves out stays in a table.  A text's tokens that read 0 from such
+  a filter are joined to it, so scores do not depend on the size of the filter (but
+  for its false hits).  Where everything fits there is nothing to join.
 * Exact counts of the commonest words (at most ``head_words``) are handed out as
   well; the counts of rarer words are joined to the texts that hold them, so the
   base score is exact for every word whatever the vocabulary.
@@ -25,9 +28,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,6 +52,7 @@ STRENGTH = 50.0
 ADDED = 0.1
 HELD_TOKENS = 2_000_000
 PAIR_BYTES = 6
+WORD, LEFT_WORD, LEFT_PAIR = 0, 1, 2
 
 # A blank is in no word, so these stand for no word.
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -175,17 +180,31 @@ class BloomModel:
     def base_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADDED) / (self.train_tokens + ADDED * (self.distinct + 1)))
 
-    def logs(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: exact count or 0, whether it is rare, and log10 of its probability after its predecessor."""
+    def left_out(self, keys: np.ndarray) -> np.ndarray:
+        """The name of a key among the n-grams that the filter leaves out: its segment and the 48 bits kept there."""
+        return segment_of(keys, self.segments) << np.uint64(48) | keys & np.uint64(2**48 - 1)
+
+    def read(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: exact count or 0, whether it is rare, and the counts read for it, its predecessor and their pair."""
         exact, rare = self.common(tokens)
         single = exact.astype(np.float64)
         single[rare] = self.stored(_mix(tokens[rare]))
-        alone = (single + ADDED) / (self.train_tokens + ADDED * (self.distinct + 1))
         context = np.empty(len(tokens))
         context[1:] = single[:-1]
         context[before == START] = self.texts
-        pairs = np.minimum(np.minimum(self.stored(pair_keys(tokens, before)), context), np.maximum(single, 1))
-        return exact, rare, np.log10((pairs + self.strength * alone) / (context + self.strength))
+        return exact, rare, single, context, self.stored(pair_keys(tokens, before))
+
+    def log(self, single: np.ndarray, context: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """log10 of the probability of tokens after their predecessors, from counts."""
+        alone = (single + ADDED) / (self.train_tokens + ADDED * (self.distinct + 1))
+        pairs = np.minimum(np.minimum(pairs, context), np.maximum(single, 1))
+        return np.log10((pairs + self.strength * alone) / (context + self.strength))
+
+    def missed(self, tokens: np.ndarray, before: np.ndarray, rare: np.ndarray, single: np.ndarray, context: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Which of token, predecessor and pair (a column each) read 0 and may have been left out."""
+        unsure = rare & (single == 0)
+        ahead = np.concatenate([[False], unsure[:-1]]) & (before != START)
+        return np.stack([unsure, ahead, pairs == 0], axis=1) if self.cutoff > 1 else np.zeros((len(tokens), 3), bool)
 
 
 def _sorted_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +295,11 @@ def _distribution(counted: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
 
 
 def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS, segments: int | None = None) -> tuple[BloomModel, DataFrame]:
-    """The model of the texts of ``docs`` and a table ``token``, ``count`` of the words that its head leaves out."""
+    """The model of the texts of ``docs`` and a table ``token``, ``count``, ``kind`` of what it leaves out.
+
+    ``kind`` is ``WORD`` for words outside the head, with their exact counts, and
+    ``LEFT_WORD`` or ``LEFT_PAIR`` for n-grams below the filter's cut-off.
+    """
     if segments is None:
         chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
         segments = max(LEAST_SEGMENTS, math.ceil(chars / SEGMENT_CHARS))
@@ -322,10 +345,19 @@ def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, h
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, word_counts in zip(*(c.to_pylist() for c in batch.columns)):
-                found = np.frombuffer(word_counts, np.int64)
-                rare = found < head_from
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.uint64)[rare].view(np.int64)), pa.array(found[rare])], names=["token", "count"])
+            for segment, words, word_counts, pairs, pair_counts in zip(*(c.to_pylist() for c in batch.columns)):
+                found, word = np.frombuffer(word_counts, np.int64), np.frombuffer(words, np.uint64)
+                rare, left = found < head_from, found < min(cutoff, head_from)
+                yield named(word[rare], found[rare], WORD)
+                high = np.uint64(segment) << np.uint64(48)
+                if left.any():
+                    yield named(high | _mix(word[left]) & np.uint64(2**48 - 1), found[left], LEFT_WORD)
+                n = np.frombuffer(pair_counts, np.uint32).astype(np.int64)
+                if (n < cutoff).any() and cutoff > 1:
+                    yield named(high | _unpack(pairs)[n < cutoff], n[n < cutoff], LEFT_PAIR)
+
+    def named(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array([kind] * len(keys), pa.int32())], names=["token", "count", "kind"])
 
     texts = docs.count()
     model = BloomModel(
@@ -340,7 +372,40 @@ def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, h
         texts,
         int(levels(np.array([max([c for c in word_sizes if c < head_from] + [*pair_sizes], default=1)]))[0]),
     )
-    return model, common.map_batches(counted.select("words", "word_counts"), tail, "token bigint, count bigint")
+    return model, common.map_batches(counted, tail, "token bigint, count bigint, kind int")
+
+
+_OPEN = ["at", "role", "key", "single", "context", "pair"]
+
+
+def _left_out_scores(measured: DataFrame, model: BloomModel, left: DataFrame) -> DataFrame:
+    """Per row the log10 probability of the tokens for which the filter read 0, from the counts it leaves out.
+
+    Counts get the value that their level stands for, as those read from the filter.
+    """
+
+    small = replace(model, bits=model.bits[:0], head_keys=model.head_keys[:0], head_counts=model.head_counts[:0])
+
+    @F.pandas_udf("double")
+    def log(single: pd.Series, context: pd.Series, pair: pd.Series) -> pd.Series:
+        return pd.Series(small.log(single.to_numpy(), context.to_numpy(), pair.to_numpy()))
+
+    @F.pandas_udf("double")
+    def value(counts: pd.Series) -> pd.Series:
+        return pd.Series(middle(levels(counts.to_numpy())))
+
+    kept = left.where(F.col("kind") != WORD).select(F.col("token").alias("key"), "kind", value("count").alias("value"))
+    asked = measured.select("row", F.explode(F.arrays_zip(*_OPEN)).alias("x")).select("row", "x.*")
+    asked = asked.withColumn("kind", F.when(F.col("role") == 2, LEFT_PAIR).otherwise(LEFT_WORD))
+    found = lambda role: F.max(F.when(F.col("role") == role, F.col("value")))
+    return (
+        asked.join(kept, ["key", "kind"], "left")
+        .groupBy("row", "at")
+        .agg(*[F.coalesce(found(role), F.first(c)).alias(c) for role, c in enumerate(("single", "context", "pair"))])
+        .withColumn("log10", log("single", "context", "pair"))
+        .groupBy("row")
+        .agg(F.sum("log10").alias("left_score"))
+    )
 
 
 def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str = "text") -> DataFrame:
@@ -362,11 +427,17 @@ def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str =
             at = 0
             for tokens, sizes in batches_of_tokens(batch.column(spot).to_pylist()):
                 first = np.cumsum(sizes) - sizes
-                exact, rare, logs = m.logs(tokens, predecessors(tokens, sizes))
+                before = predecessors(tokens, sizes)
+                exact, rare, single, context, pairs = m.read(tokens, before)
+                missed = m.missed(tokens, before, rare, single, context, pairs)
+                logs = np.where(missed.any(axis=1), 0.0, m.log(single, context, pairs))
+                spots, roles = np.nonzero(missed)
+                keys = np.where(roles == 2, m.left_out(pair_keys(tokens, before))[spots], m.left_out(_mix(np.where(roles == 0, tokens[spots], before[spots]))))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 known = np.add.reduceat((~rare).astype(np.int64), first)
                 base = np.add.reduceat(np.where(rare, 0.0, m.base_log(exact)), first)
                 lone, times = np.unique(np.stack([owner[rare].astype(np.uint64), tokens[rare]]), axis=1, return_counts=True) if rare.any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
+                open_at = pa.array(np.searchsorted(spots, np.append(first, len(tokens))), pa.int32())
                 offsets = pa.array(np.searchsorted(lone[0], np.arange(len(sizes) + 1).astype(np.uint64)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -377,33 +448,41 @@ def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str =
                         pa.array(np.add.reduceat(logs, first)),
                         pa.ListArray.from_arrays(offsets, pa.array(lone[1].view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                        *(
+                            pa.ListArray.from_arrays(open_at, pa.array(x))
+                            for x in (spots, roles.astype(np.int32), keys.view(np.int64), single[spots], context[spots], pairs[spots])
+                        ),
                     ],
-                    names=[*batch.schema.names[:spot], "n_tokens", "known", "base", "score", "rare", "times"],
+                    names=[*batch.schema.names[:spot], "n_tokens", "known", "base", "score", "rare", "times", *_OPEN],
                 )
                 at += len(sizes)
 
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    longs, ints, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
     schema = T.StructType(inner.schema.fields[:spot])
-    for name, kind in (("n_tokens", "long"), ("known", "long"), ("base", "double"), ("score", "double"), ("rare", longs), ("times", ints)):
+    for name, kind in (("n_tokens", "long"), ("known", "long"), ("base", "double"), ("score", "double"), ("rare", longs), ("times", ints), *zip(_OPEN, (longs, ints, longs, doubles, doubles, doubles))):
         schema = schema.add(name, kind)
     measured = materialize(common.map_batches(inner, measure, schema).withColumn("row", F.monotonically_increasing_id()), "measured")
     whole = math.log10(model.train_tokens + ADDED * (model.distinct + 1))
     found = (
         measured.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
         .select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-        .join(rare_words, "token", "left")
+        .join(rare_words.where(F.col("kind") == WORD), "token", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more"),
             F.sum(F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + F.lit(ADDED)) - F.lit(whole))).alias("rest"),
         )
     )
-    out = measured.drop("rare", "times").join(found, "row", "left")
+    out = measured.drop("rare", "times", *_OPEN).join(found, "row", "left")
+    more = F.lit(0.0)
+    if model.cutoff > 1:
+        out = out.join(_left_out_scores(measured, model, rare_words), "row", "left")
+        more = F.coalesce("left_score", F.lit(0.0))
     return out.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
         F.col("n_tokens").alias(names[0]),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias(names[1]),
         F.lit(model.train_tokens).cast("long").alias(names[2]),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias(names[3]),
-        F.col("score").alias(names[4]),
+        (F.col("score") + more).alias(names[4]),
     )

@@ -89,3 +89,40 @@ def test_no_training_text_and_clashing_names(spark):
     assert got.columns == ["doc_id", "score", "n_tokens", "n_known", "train_tokens", "base_score", "score_1"]
     assert [(r["n_tokens"], r["n_known"], r["base_score"], r["score_1"]) for r in got.orderBy("doc_id").collect()] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
     assert bloomlm.score(docs.limit(0), model, rare).count() == 0
+
+
+@pytest.mark.parametrize("filter_bytes", [0, 2000])
+def test_what_the_filter_leaves_out_is_joined(spark, filter_bytes):
+    """Scores do not depend on what fits the filter."""
+    rows = corpus(random.Random(7)) + [(900, None), (901, "w1 unseen w2 w1"), (901, "w1 unseen w2 w1")]
+    train = [body for i, body in rows if i % 3]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model, rare = bloomlm.fit(docs.where("doc_id % 3 <> 0"), head_words=5, filter_bytes=filter_bytes)
+    assert model.cutoff > 1
+    head = set(model.head_keys.tolist())
+    one, two = Counter(t for body in train for t in tokens(body)), Counter()
+    for body in train:
+        seq = tokens(body)
+        two.update(zip(["start", *seq], seq))
+    n, v = sum(one.values()), len(one)
+
+    def count(counter, key, exact=False):
+        c = counter[key]
+        return float(bloomlm.middle(bloomlm.levels(np.array([c])))[0]) if c and not exact else float(c)
+
+    def single(t):
+        h = bloomlm.END if t is None else bloomlm.token_hashes(t)[0]
+        return count(one, t, h in head)
+
+    off = []
+    got = sorted((r["doc_id"], r["score"]) for r in bloomlm.score(docs, model, rare).collect())
+    for (i, body), (j, score) in zip(sorted(rows, key=lambda r: r[0]), got):
+        assert i == j
+        total, last = 0.0, "start"
+        for t in tokens(body):
+            own, context = single(t), float(len(train)) if last == "start" else single(last)
+            alone = (own + 0.1) / (n + 0.1 * (v + 1))
+            pair = min(count(two, (last, t)), context, max(own, 1))
+            total, last = total + math.log10((pair + 50 * alone) / (context + 50)), t
+        off.append(abs(score - total))
+    assert max(off) < (1e-9 if filter_bytes == 0 else 5) and sorted(off)[len(off) // 2] < 0.2
