@@ -35,5 +35,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_queries_name_every_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
