@@ -5,12 +5,15 @@ words, and the weight of a path is the number of its contiguous occurrences.
 Its states are word paths, so a table keyed by (lang, phrase) holds the whole
 automaton; the state of a phrase's first ``k`` words is the row of that prefix.
 
-* **Per shard.** Each scan task turns its texts into n-gram paths and sums their
-  weights (Spark's partial aggregate): the count transducer of that shard. Paths
-  are built level by level; a path of k words is kept only where both its parts
-  of k - 1 words are frequent paths of the level before (a path can only be
-  frequent if its parts are), tested by a semi-join in the scan task against the
-  broadcast level (its rows counted first), so rare paths never reach a shuffle.
+* **Per shard.** Each scan task splits its texts, numbers their words and sums the weights
+  of the n-gram paths it sees: the count transducer of that shard. Frequent words
+  are numbered, so a path is one or two 64-bit numbers made of its word numbers
+  (exact, no hash). Paths are built level by level; a path of k words is counted only
+  where both its parts of k - 1 words may be frequent (a path can only be frequent
+  if its parts are), read from a bitmap of bounded size over the level before. The
+  bitmap never denies a frequent path; what it lets through wrongly is counted
+  exactly and dropped by its count. With more frequent words than are handed out,
+  the same levels are counted by semi-joins (``_levels_by_joins``).
 * **Union.** The shard automata are unioned and their weights summed per path by
   one exchange on the path; a hot path (a frequent word) is summed inside each
   shard first and reaches the exchange once a shard.
@@ -34,10 +37,18 @@ an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
+import functools
+from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from counterpoise.llm import common
 from counterpoise.workspace import materialize
 
 MAX_WORDS = 4
@@ -53,9 +64,183 @@ _EXACT = "decimal(38,0)"
 
 
 
-# A level's frequent paths are broadcast to the next level's scan when they are at most this many rows (counted first);
-# beyond it the filter is a shuffled semi-join, with the same result.
+# Frequent words are numbered and handed to the tasks when they are at most this many (counted first); beyond it paths are
+# counted as text, with semi-joins against the level before, broadcast up to this many rows. The result is the same.
 BROADCAST_PATHS = 2_000_000
+WORD_BITS = 21  # numbers from 1 to BROADCAST_PATHS; three fit one long
+HELD_TOKENS = 2_000_000
+HELD_WORDS = 400_000
+FILTER_BITS = 27
+ROWS_OUT = 100_000
+
+# One byte table: A-Z lower-cased, every piece break a full stop. No word holds a full stop, so it stands for the break.
+_FOLD = bytes(b"."[0] if b in b".,;:!?\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
+_A = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in order, with a full stop between pieces."""
+    return text.translate(_FOLD).replace(b".", b" . ").split() if text else []
+
+
+def _bodies(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("body"))
+
+
+def _word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """Words of weight ``>= MIN_COUNT`` (lang, word, f), and for each lang a row with a null word and all its words."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(name, Counter()).update(_tokens(body))
+            if sum(map(len, held.values())) >= HELD_WORDS:
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    def told(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for name, found in held.items():
+            found.pop(b".", None)
+            words, counts = [None, *found], [found.total(), *found.values()]
+            yield from _in_rows([pa.array([name]).take(pa.array(np.zeros(len(words), np.int32))), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "f"])
+
+    counted = common.map_batches(_bodies(docs, text, lang), tally, "lang string, word binary, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return materialize(counted.where(F.col("word").isNull() | (F.col("f") >= MIN_COUNT)), "phrase-words")
+
+
+def _in_rows(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    return (whole.slice(at, ROWS_OUT) for at in range(0, whole.num_rows, ROWS_OUT))
+
+
+class Vocabulary:
+    """Frequent words of all langs, numbered from 1. The dictionary is made once in a worker."""
+
+    def __init__(self, words: pa.Table):
+        self.langs, self.words = words["lang"].combine_chunks(), words["word"].combine_chunks()
+
+    def __getstate__(self):
+        return {"langs": self.langs, "words": self.words}
+
+    @functools.cached_property
+    def numbers(self) -> dict[str, dict[bytes, int]]:
+        out: dict[str, dict[bytes, int]] = {}
+        for number, (lang, word) in enumerate(zip(self.langs.to_pylist(), self.words.to_pylist()), 1):
+            out.setdefault(lang, {})[word] = number
+        return out
+
+
+def _path_keys(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Runs of k numbered words: first number, second number (four words only) and where they begin."""
+    m = max(len(a) - k + 1, 0)
+    whole = np.ones(m, bool)
+    for i in range(k):
+        whole &= a[i : i + m] > 0
+    at = np.flatnonzero(whole)
+    joined = lambda first, n: functools.reduce(lambda key, i: key << WORD_BITS | a[at + i], range(first + 1, first + n), a[at + first])
+    return (joined(0, k), None, at) if k < MAX_WORDS else (joined(0, 2), joined(2, 2), at)
+
+
+def _spots(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * _A
+    return (h ^ (h >> np.uint64(32))) * _A >> np.uint64(64 - bits)
+
+
+def _may_be_frequent(level: DataFrame) -> tuple[np.ndarray, int]:
+    """Bitmap with a bit for every path of the level, of at most ``2 ** FILTER_BITS`` bits."""
+    bits = min(FILTER_BITS, max(16, (16 * level.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = _spots(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((spots >> np.uint64(3)).astype(np.int64)), pa.array((1 << (spots & np.uint64(7)).astype(np.int32)).astype(np.int32))], names=["place", "marks"])
+
+    marked = common.map_batches(level.select("hi"), mark, "place bigint, marks int").groupBy("place").agg(F.bit_or("marks").alias("marks")).toArrow()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    bitmap[marked["place"].to_numpy()] = marked["marks"].to_numpy()
+    return bitmap, bits
+
+
+def _numbered(docs: DataFrame, text: str, lang: str, vocabulary) -> DataFrame:
+    """Every text as the numbers of its words (32 bits each; 0 for a rare word, between pieces and at the end), written."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = vocabulary.value.numbers
+        for batch in batches:
+            flat, ends = [], [0]
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                flat.extend(map(numbers.get(name, {}).get, _tokens(body), repeat(0)))
+                flat.append(0)
+                ends.append(4 * len(flat))
+            data = [None, pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(np.array(flat, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(ends) - 1, data)], names=["numbers"])
+
+    return materialize(common.map_batches(_bodies(docs, text, lang), number, "numbers binary"), "phrase-numbers")
+
+
+def _level(numbered: DataFrame, k: int, before) -> DataFrame:
+    """Paths of k words and of weight ``>= MIN_COUNT``: hi, lo (four words only), f."""
+    names = ["hi", "lo"] if k == MAX_WORDS else ["hi"]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32))
+            held += len(parts[-1])
+            if held >= HELD_TOKENS:
+                yield from told(np.concatenate(parts).astype(np.int64))
+                parts, held = [], 0
+        if held:
+            yield from told(np.concatenate(parts).astype(np.int64))
+
+    def told(a: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if k > 2:
+            bitmap, bits = before.value
+            part, _, at = _path_keys(a, k - 1)
+            spots = _spots(part, bits)
+            at = at[(bitmap[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)]
+            inside = np.zeros(len(a) + 1, bool)
+            inside[at] = True
+            # A word that begins no run of which both parts may be frequent, and is in none, cannot be in a path of this level.
+            begins = np.flatnonzero(inside[:-1] & inside[1:])
+            needed = np.zeros(len(a), bool)
+            for i in range(k):
+                needed[begins + i] = True
+            hi, lo, where = _path_keys(np.where(needed, a, 0), k)
+            both = inside[where] & inside[where + 1]
+            hi, lo = hi[both], lo if lo is None else lo[both]
+        else:
+            hi, lo, _ = _path_keys(a, k)
+        if lo is None:
+            hi, counts = np.unique(hi, return_counts=True)
+            columns = [hi]
+        else:
+            order = np.lexsort((lo, hi))
+            hi, lo = hi[order], lo[order]
+            first = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))) if len(hi) else np.empty(0, np.int64)
+            columns, counts = [hi[first], lo[first]], np.diff(np.append(first, len(hi)))
+        yield from _in_rows([*map(pa.array, columns), pa.array(counts.astype(np.int64))], [*names, "f"])
+
+    schema = ", ".join(f"{n} bigint" for n in [*names, "f"])
+    counted = common.map_batches(numbered, tally, schema).groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= MIN_COUNT)
+    return materialize(counted, f"phrase-paths-{k}")
+
+
+def _spelled(level: DataFrame, k: int, vocabulary) -> DataFrame:
+    """Paths of a level as text: lang, k, phrase, f."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, langs = vocabulary.value.words, vocabulary.value.langs
+        for batch in batches:
+            numbers = batch.columns[:-1]
+            each = [k] if k < MAX_WORDS else [2, 2]
+            at = [column.to_numpy() >> (WORD_BITS * (n - 1 - i)) & ((1 << WORD_BITS) - 1) for column, n in zip(numbers, each) for i in range(n)]
+            phrase = pc.binary_join_element_wise(*(words.take(pa.array(x - 1)) for x in at), b" ")
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(at[0] - 1)), pa.array(np.full(len(phrase), k, np.int32)), phrase.cast(pa.string()), batch.columns[-1]], names=["lang", "k", "phrase", "f"])
+
+    return common.map_batches(level, spell, "lang string, k int, phrase string, f bigint")
 
 
 def _pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -70,6 +255,8 @@ def _runs(pieces: DataFrame, k: int) -> DataFrame:
     Runs are made by Spark ML's n-gram transformer (space-joined sliding windows);
     the run at position i has the parts at positions i and i + 1 of the shorter runs.
     """
+    from pyspark.ml.feature import NGram  # not needed in the tasks, whose workers import this module
+
     shorter = NGram(n=k - 1, inputCol="w", outputCol="parts").transform(pieces)
     both = NGram(n=k, inputCol="w", outputCol="runs").transform(shorter).where(F.size("runs") > 0)
     m = F.size("runs")
@@ -82,28 +269,45 @@ def _frequent_side(level: DataFrame, name: str) -> DataFrame:
     return F.broadcast(side) if level.count() <= BROADCAST_PATHS else side
 
 
-def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = BROADCAST_PATHS) -> tuple[DataFrame, DataFrame]:
     """Counted paths of weight ``>= MIN_COUNT`` (lang, k, phrase, f) and words per lang (lang, n).
 
     Level by level: a path of k words can only reach ``MIN_COUNT`` if both its
     parts of k - 1 words do, so a level counts only runs whose two parts are
-    frequent paths of the level before; the counts themselves are exact.
+    frequent paths of the level before; the counts themselves are exact. More
+    than ``most_words`` frequent words are not handed out but joined.
     """
-    pieces = _pieces(docs, text, lang)
-    totals = pieces.groupBy("lang").agg(F.sum(F.size("w")).cast("long").alias("n"))
-    words = pieces.select("lang", F.explode("w").alias("phrase"))
-    level = materialize(words.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT), "phrase-paths-1")
-    levels = [level.select("lang", F.lit(1).alias("k"), "phrase", "f")]
+    words = _word_counts(docs, text, lang)
+    totals = words.where(F.col("word").isNull()).select("lang", F.col("f").alias("n"))
+    first = words.where(F.col("word").isNotNull())
+    single = first.select("lang", F.lit(1).alias("k"), F.col("word").cast("string").alias("phrase"), "f")
+    n_words = first.count()
+    if not n_words:
+        return single, totals
+    if n_words > most_words:
+        return _levels_by_joins(docs, text, lang, single), totals
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(Vocabulary(first.select("lang", "word").toArrow()))
+    numbered = _numbered(docs, text, lang, vocabulary)
+    before, levels = None, [single]
+    for k in range(2, MAX_WORDS + 1):
+        level = _level(numbered, k, before)
+        levels.append(_spelled(level, k, vocabulary))
+        if k < MAX_WORDS:
+            before = context.broadcast(_may_be_frequent(level))
+    return materialize(functools.reduce(DataFrame.unionByName, levels), "phrase-paths"), totals
+
+
+def _levels_by_joins(docs: DataFrame, text: str, lang: str, single: DataFrame) -> DataFrame:
+    """Counted paths as in ``count_paths``, where the frequent words are too many to be handed out."""
+    level, levels = single, [single]
     for k in range(2, MAX_WORDS + 1):
         runs = _runs(_pieces(docs, text, lang), k)
         runs = runs.join(_frequent_side(level, "first"), ["lang", "first"], "left_semi").join(_frequent_side(level, "last"), ["lang", "last"], "left_semi")
         counted = runs.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= MIN_COUNT)
         level = materialize(counted, f"phrase-paths-{k}")
         levels.append(level.select("lang", F.lit(k).alias("k"), "phrase", "f"))
-    counted = levels[0]
-    for more in levels[1:]:
-        counted = counted.unionByName(more)
-    return counted, totals
+    return functools.reduce(DataFrame.unionByName, levels)
 
 
 def _cuts(candidates: DataFrame, counted: DataFrame) -> DataFrame:

@@ -73,3 +73,26 @@ def test_top_limits_each_lang(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, lang string")
     assert phrases.mine(df).count() == 0
+
+
+def test_numbered_and_joined_words_count_the_same_paths(spark):
+    df = spark.createDataFrame(texts(), "text string, lang string")
+    numbered, joined = (phrases.count_paths(df, most_words=n) for n in (phrases.BROADCAST_PATHS, 0))
+    for one, other in zip(numbered, joined):
+        rows = [tuple(r) for r in one.collect()]
+        assert sorted(rows) == sorted(tuple(r) for r in other.collect())
+        assert rows
+
+
+def test_words_are_split_like_the_rules():
+    assert phrases._tokens("New\x0bYork,É a.\x1cb\tC".encode()) == [b"new", b".", b"york", b".", "É".encode(), b"a", b".", b"\x1cb", b"c"]
+    assert phrases._tokens(None) == []
+
+
+def test_a_path_is_made_of_its_word_numbers():
+    import numpy as np
+
+    hi, lo, at = phrases._path_keys(np.array([5, 1, 2, 3, 0, 7, 8, 9, 2**21 - 1]), 4)
+    assert list(at) == [0, 5]
+    assert [(x >> 21, x & (2**21 - 1)) for x in [*hi, *lo]] == [(5, 1), (7, 8), (2, 3), (9, 2**21 - 1)]
+    assert list(phrases._path_keys(np.array([2, 0, 3]), 2)[0]) == []
