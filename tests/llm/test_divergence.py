@@ -66,3 +66,40 @@ def test_term_ranks_are_cut(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, lang string, source string")
     assert divergence.audit(df).count() == 0
+
+
+def test_more_copies_and_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 0)
+    data = rows()
+    df = spark.createDataFrame(data, "text string, lang string, source string")
+    assert {tuple(r) for r in divergence.audit(df).collect()} == brute(data)
+
+
+def test_sums_and_meetings_do_not_depend_on_how_many_rows_are_held(monkeypatch):
+    import pyarrow as pa
+
+    one, two = {"source": "a", "m": 1}, {"source": "b", "m": 3}
+    texts = pa.RecordBatch.from_pydict({"lang": ["en", "en", "de"], "text": [b"x Y x", b"y", b"x"], "sources": [[one, two], [one], [two]]})
+    terms = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "sources": [["a", "b", "c"], ["b", "a"]], "counts": [[1, 1, 2], [4, 5]]})
+
+    def summed():
+        out, df, met = Counter(), Counter(), Counter()
+        for b in divergence._tally(iter([texts])):
+            for r in b.to_pylist():
+                df[r["lang"], r["term"]] += r["df"]
+                out.update({(r["lang"], r["term"], s): c for s, c in zip(r["sources"], r["counts"])})
+        for b in divergence._meetings(iter([terms])):
+            for *key, n in zip(*(c.to_pylist() for c in b.columns)):
+                met[tuple(key)] += n
+        return out, df, met
+
+    wanted = (
+        {("en", b"x", "a"): 2, ("en", b"x", "b"): 6, ("en", b"y", "a"): 2, ("en", b"y", "b"): 3, ("de", b"x", "b"): 3},
+        {("en", b"x"): 4, ("en", b"y"): 5, ("de", b"x"): 3},
+        {("en", "a", "b", 1, 1): 1, ("en", "a", "c", 1, 2): 1, ("en", "b", "c", 1, 2): 1, ("de", "b", "a", 4, 5): 1},
+    )
+    assert summed() == wanted
+    for name in ("HELD_TEXTS", "PAIRS_AT_ONCE"):
+        monkeypatch.setattr(divergence, name, 1)
+        assert summed() == wanted
