@@ -51,6 +51,7 @@ LEAST_SEGMENTS = 32
 STRENGTH = 50.0
 ADDED = 0.1
 HELD_TOKENS = 2_000_000
+SCORED_TOKENS = 100_000  # scoring keeps some thirty arrays of this length beside the model
 PAIR_BYTES = 6
 WORD, LEFT_WORD, LEFT_PAIR = 0, 1, 2
 
@@ -425,7 +426,7 @@ def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str =
         m = handed.value
         for batch in batches:
             at = 0
-            for tokens, sizes in batches_of_tokens(batch.column(spot).to_pylist()):
+            for tokens, sizes in batches_of_tokens(batch.column(spot).to_pylist(), SCORED_TOKENS):
                 first = np.cumsum(sizes) - sizes
                 before = predecessors(tokens, sizes)
                 exact, rare, single, context, pairs = m.read(tokens, before)

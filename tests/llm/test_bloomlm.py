@@ -126,3 +126,9 @@ def test_what_the_filter_leaves_out_is_joined(spark, filter_bytes):
             total, last = total + math.log10((pair + 50 * alone) / (context + 50)), t
         off.append(abs(score - total))
     assert max(off) < (1e-9 if filter_bytes == 0 else 5) and sorted(off)[len(off) // 2] < 0.2
+
+
+def test_scoring_holds_few_tokens_at_a_time():
+    texts = ["a b c"] * 100_000
+    held = [len(tokens) for tokens, _ in bloomlm.batches_of_tokens(texts, bloomlm.SCORED_TOKENS)]
+    assert sum(held) == 400_000 and max(held) <= 100_003
