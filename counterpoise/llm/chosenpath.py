@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 RECALL = 0.999
 LEVELS = 3
 SMALL = 256
+# A part that stays larger is compared in blocks of so many times SMALL: a member travels once for each block of its part.
+BLOCK_OF_SMALL = 4
 TOKEN_BYTES = 5
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -192,17 +194,21 @@ def compare(rows: list[tuple], similarity: float) -> Iterator[tuple[int, int, in
             k = root[k]
         return k
 
+    sizes = np.array([len(d) for d in dense])
+    flat, first = np.concatenate(dense), np.cumsum(sizes) - sizes
     for k, (_, count, partners, _) in enumerate(rows):
         if not partners:
             continue
         mark[dense[k]] = True
-        for other in partners:
-            j = place[other]
-            shared = int(np.count_nonzero(mark[dense[j]]))
-            if shared >= similarity * (len(dense[k]) + len(dense[j]) - shared) - 1e-9:
-                links[k] += rows[j][1]
-                links[j] += count
-                root[top(j)] = top(k)
+        others = np.array([place[other] for other in partners])
+        if 4 * len(others) >= len(rows):
+            shared = np.add.reduceat(mark[flat], first, dtype=np.int64)[others]  # no set that was sent is empty
+        else:
+            shared = np.array([np.count_nonzero(mark[dense[j]]) for j in others])
+        for j in others[shared >= similarity * (sizes[k] + sizes[others] - shared) - 1e-9].tolist():
+            links[k] += rows[j][1]
+            links[j] += count
+            root[top(j)] = top(k)
         mark[dense[k]] = False
     for k, (fp, _, _, _) in enumerate(rows):
         if links[k]:
@@ -258,7 +264,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity
     members = (
         parts.join(sizes, "part")
         .join(shared, "fp")
-        .withColumn("blocks", F.ceil(F.col("size") / small).cast("int"))
+        .withColumn("blocks", F.ceil(F.col("size") / (BLOCK_OF_SMALL * small)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("fp", "part"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "n", "block", "parts")

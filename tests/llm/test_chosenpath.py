@@ -92,3 +92,41 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {k: v for k, v in root.items() if k != v}
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_few_and_many_partners_are_compared_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = np.arange(40, dtype=np.uint64) * np.uint64(1001)
+    sets = [np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(0, 2**39, rng.integers(1, 6)).astype(np.uint64)])) for _ in range(24)]
+    like = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    for reach in (2, 23):
+        partners = [[j for j in range(k + 1, min(24, k + 1 + reach))] for k in range(24)]
+        rows = [(k, k + 1, partners[k], chosenpath.pack(x)) for k, x in enumerate(sets)]
+        wanted = dict.fromkeys(range(24), 0)
+        for k in range(24):
+            for j in partners[k]:
+                if like(sets[k], sets[j]):
+                    wanted[k] += j + 1
+                    wanted[j] += k + 1
+        assert {fp: links for fp, links, _ in chosenpath.compare(rows, 0.8)} == {k: n for k, n in wanted.items() if n}
+        assert any(wanted.values())
+
+
+def test_a_group_of_near_copies_is_sent_to_few_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words, f"x{rng.random()}"]) for _ in range(64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, write = {}, chosenpath.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out.groupBy("part").count().agg({"count": "max"}).first()[0] if name == "needed" else 0
+        return out
+
+    monkeypatch.setattr(chosenpath, "materialize", counted)
+    got = chosenpath.join(docs, small=8, recall=0.9).select("class_id", "n_links").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 63)]
+    assert 64 <= rows["needed"] <= 64 * 4
