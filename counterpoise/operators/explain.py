@@ -22,12 +22,13 @@ from counterpoise.operators import evaluate
 from counterpoise.operators.model import FittedModel
 from counterpoise.operators.selection import dense_index, sample_rows
 from counterpoise.task import RID, Task
-from counterpoise.workspace import materialize, run_jobs, spread
+from counterpoise.workspace import run_jobs, spread
 
 GRID_STEPS = 100
 KERNEL_SPAN = 0.25
 CATEGORY_LIMIT = 100_000
 VARIABLES_PER_PASS = 8
+JOINED_ROWS = 500_000
 
 Score = Callable[[DataFrame], "Column | DataFrame"]
 
@@ -263,16 +264,17 @@ def permutation_importance(
     """(model, variable, dropout_loss): loss after permuting a variable, averaged over rounds.
 
     Rows are numbered once in the order of a draw. A round's permutation maps the
-    numbers one to one (``shuffles``), so it is an equi-join without a sort; the join
-    serves all variables, which are then swapped in one at a time where the joined
-    row lies.
+    numbers one to one (``shuffles``), so it is an equi-join without a sort: both sides
+    are dealt into parts of at most about ``JOINED_ROWS`` rows of the numbered side, which
+    a task can hash. The join serves all variables, which are then swapped in one at a
+    time where the joined row lies.
     """
     task = task if majority is None else replace(task, majority=majority)
     numeric, categorical = _split_variables(task, variables)
     names = numeric + categorical
     rows = sample_rows(task.judging_rows, n, seed)
     rows = _labelled(task, rows).select(RID, "y", *task.features)
-    numbered = materialize(dense_index(rows, draw(seed, "base", F.col(RID)), out="place").drop(RID), "numbered")
+    numbered = dense_index(rows, draw(seed, "base", F.col(RID)), out="place").drop(RID)
     partner = F.lit(None).cast("bigint")
     n_rows = numbered.count()
     for number, (multiplier, shift) in enumerate(shuffles(n_rows, rounds, seed)):
@@ -280,14 +282,17 @@ def permutation_importance(
         partner = F.when(F.col("round") == number, moved).otherwise(partner)
     asked = numbered.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_partner", partner)
     others = numbered.select(F.col("place").alias("_partner"), *[F.col(v).alias(f"_p_{v}") for v in names])
-    work = asked.join(others, "_partner").drop("place", "_partner")
+    parts = max(numbered.sparkSession.sparkContext.defaultParallelism, -(-n_rows // JOINED_ROWS))
+    joined = asked.repartition(parts, "_partner").join(others.repartition(parts, "_partner").hint("shuffle_hash"), "_partner")
+    work = joined.drop("place", "_partner")
     for v in names:
         work = _swapped_score(work, score, v, F.col(f"_p_{v}"), f"_s_{v}")
-    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_s_{v}").alias("p1")) for v in names])
+    cells = F.array(*[F.struct(F.lit(i).alias("_number"), F.col(f"_s_{v}").alias("p1")) for i, v in enumerate(names)])
     swapped = work.select("round", "y", F.inline(cells))
-    losses = _loss(swapped, ["variable", "round"], loss)
-    return losses.groupBy("variable").agg(F.avg("loss").alias("dropout_loss")).select(
-        F.lit(model).alias("model"), "variable", "dropout_loss"
+    losses = _loss(swapped, ["_number", "round"], loss)
+    variable = F.element_at(F.array(*[F.lit(v) for v in names]), F.col("_number") + 1).alias("variable")
+    return losses.groupBy("_number").agg(F.avg("loss").alias("dropout_loss")).select(
+        F.lit(model).alias("model"), variable, "dropout_loss"
     )
 
 
