@@ -31,9 +31,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.workspace import materialize, ship_package, spread
+from counterpoise.workspace import materialize, ship_package, small_table, spread
 
 BLOCK_POINTS = 4096
+NARROW_POINTS = 1024  # of a block in fewer than PRODUCT_DIMS dimensions, where boxes prune well and every pair of a cell is compared
 CHUNK_ROWS = 4096
 SAMPLE_POINTS = 100_000
 MATRIX_CELLS = 2_000_000
@@ -319,7 +320,9 @@ def _against_one_block(queries: DataFrame, points: DataFrame, cell: _Cell, flat:
 
 def _against_blocks(queries: DataFrame, points: DataFrame, n_points: int, cell: _Cell, flat: str) -> DataFrame:
     spark = queries.sparkSession
-    tree = _kd_tree(points, n_points)
+    dims = points.select(F.size("vec")).first()[0]
+    block_points = min(BLOCK_POINTS, NARROW_POINTS) if dims < PRODUCT_DIMS else BLOCK_POINTS
+    tree = _kd_tree(points, n_points, block_points)
 
     @F.pandas_udf("int")
     def route(vec: pd.Series) -> pd.Series:
@@ -330,12 +333,11 @@ def _against_blocks(queries: DataFrame, points: DataFrame, n_points: int, cell:
     per_cell = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
     first_block, n_blocks, blocks_in = {}, 0, {}
     for c in range(tree.leaves):
-        blocks_in[c] = max(1, math.ceil(per_cell.get(c, 0) / BLOCK_POINTS))
+        blocks_in[c] = max(1, math.ceil(per_cell.get(c, 0) / block_points))
         first_block[c] = n_blocks
         n_blocks += blocks_in[c]
-    layout = spark.createDataFrame(
-        [(c, first_block[c], blocks_in[c]) for c in range(tree.leaves)], "cell int, first int, parts int"
-    )
+    cells = range(tree.leaves)
+    layout = small_table(spark, {"cell": cells, "first": [first_block[c] for c in cells], "parts": [blocks_in[c] for c in cells]})
     blocked = materialize(
         celled.join(F.broadcast(layout), "cell")
         .withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec"), F.col("parts"))).cast("int"))
@@ -383,7 +385,7 @@ def _against_blocks(queries: DataFrame, points: DataFrame, n_points: int, cell:
     n_wide = wide.count()
     if not n_wide:
         return _cells(sent, blocked, sent_counts, chunk, spark)(compare, flat)
-    per_slab = max(1, min(SLAB_BLOCKS, SLAB_NUMBERS // (BLOCK_POINTS * max(1, search.value.low.shape[1]))))
+    per_slab = max(1, min(SLAB_BLOCKS, SLAB_NUMBERS // (block_points * max(1, search.value.low.shape[1]))))
     n_slabs = math.ceil(n_blocks / per_slab)
     slabs = blocked.withColumn("block", F.floor(F.col("block") / per_slab).cast("int"))
     wide = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_slabs - 1))))
@@ -398,9 +400,7 @@ def _everywhere() -> Column:
 
 def _cells(queries: DataFrame, blocked: DataFrame, counts: dict, chunk: int, spark):
     """Co-group query chunks with their block; a busy block is copied to several chunks."""
-    chunks = spark.createDataFrame(
-        [(b, max(1, math.ceil(n / chunk))) for b, n in counts.items()], "block int, chunks int"
-    )
+    chunks = small_table(spark, {"block": list(counts), "chunks": [max(1, math.ceil(n / chunk)) for n in counts.values()]})
     left = (
         queries.join(F.broadcast(chunks), "block")
         .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
@@ -499,7 +499,7 @@ class _Search:
         return [f if len(f) <= most else [EVERYWHERE] for f in found]
 
 
-def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
+def _kd_tree(points: DataFrame, n_points: int, block_points: int) -> _Tree:
     """Split a bounded sample at medians of the widest dimension.
 
     The sample only steers the layout; results do not depend on it.
@@ -507,7 +507,7 @@ def _kd_tree(points: DataFrame, n_points: int) -> _Tree:
     share = min(1.0, SAMPLE_POINTS / n_points)
     rows = points.select("vec").sample(share, seed=7).limit(2 * SAMPLE_POINTS).toPandas()
     values = _matrix(rows["vec"])
-    target = max(16, int(BLOCK_POINTS * 0.75 * len(values) / n_points))
+    target = max(16, int(block_points * 0.75 * len(values) / n_points))
     splits: list = []
     leaves = 0
 
