@@ -14,26 +14,28 @@ prior, so that they need nothing but counts read from the filter.
   (``filter_bytes``), which is what may be handed to every worker.  The smallest cut-off
   of counts is taken for which everything that it leaves fits with ``BITS`` bits each; it
   follows from the exact distribution of counts.
-* What the cut-off leaves out stays in a table.  A text's tokens that read 0 from such
-  a filter are joined to it, so scores do not depend on the size of the filter (but
-  for its false hits).  Where everything fits there is nothing to join.
+* What the cut-off leaves out stays in the table of counts.  The pairs of texts that read
+  0 from such a filter are sent there as binary blocks by segment, and what they add
+  comes back as sums by text, so scores do not depend on the size of the filter (but for
+  its false hits).  Where everything fits nothing is sent.
 * Exact counts of the commonest words (at most ``head_words``) are handed out as
-  well; the counts of rarer words are joined to the texts that hold them, so the
-  base score is exact for every word whatever the vocabulary.
+  well; rarer words are looked up in the table in the same way, so the base score is
+  exact for every word whatever the vocabulary.
 
 Words are known by 64-bit hashes, pairs by 48-bit hashes within their segment.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +48,14 @@ BITS = 10
 PROBES = 5
 FILTER_BYTES = 32 * 1024 * 1024
 HEAD_WORDS = 1 << 20
-SEGMENT_CHARS = 1 << 25
+SEGMENT_CHARS = 1 << 22  # a segment is brought together in one task, as rows of some megabytes
 LEAST_SEGMENTS = 32
 STRENGTH = 50.0
 ADDED = 0.1
 HELD_TOKENS = 2_000_000
 SCORED_TOKENS = 100_000  # scoring keeps some thirty arrays of this length beside the model
+ASKED_TOKENS = 500_000  # so many tokens of a scan task are looked up together, in one block for each segment
 PAIR_BYTES = 6
-WORD, LEFT_WORD, LEFT_PAIR = 0, 1, 2
 
 # A blank is in no word, so these stand for no word.
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -181,9 +183,9 @@ class BloomModel:
     def base_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADDED) / (self.train_tokens + ADDED * (self.distinct + 1)))
 
-    def left_out(self, keys: np.ndarray) -> np.ndarray:
-        """The name of a key among the n-grams that the filter leaves out: its segment and the 48 bits kept there."""
-        return segment_of(keys, self.segments) << np.uint64(48) | keys & np.uint64(2**48 - 1)
+    @property
+    def head_is_all(self) -> bool:
+        return len(self.head_keys) == self.distinct
 
     def read(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: exact count or 0, whether it is rare, and the counts read for it, its predecessor and their pair."""
@@ -201,11 +203,15 @@ class BloomModel:
         pairs = np.minimum(np.minimum(pairs, context), np.maximum(single, 1))
         return np.log10((pairs + self.strength * alone) / (context + self.strength))
 
-    def missed(self, tokens: np.ndarray, before: np.ndarray, rare: np.ndarray, single: np.ndarray, context: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Which of token, predecessor and pair (a column each) read 0 and may have been left out."""
-        unsure = rare & (single == 0)
-        ahead = np.concatenate([[False], unsure[:-1]]) & (before != START)
-        return np.stack([unsure, ahead, pairs == 0], axis=1) if self.cutoff > 1 else np.zeros((len(tokens), 3), bool)
+    def most(self, single: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The most that a pair left out of the filter can count for."""
+        top = middle(levels(np.array([max(self.cutoff - 1, 1)])))[0]
+        return np.minimum(np.minimum(context, np.maximum(single, 1)), top)
+
+    def gain(self, single: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """What a pair adds to the ``log`` of its token with a pair of 0."""
+        alone = (single + ADDED) / (self.train_tokens + ADDED * (self.distinct + 1))
+        return np.log10(1 + pairs / (self.strength * alone))
 
 
 def _sorted_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -231,20 +237,27 @@ _BLOCKS = "segment int, words binary, word_counts binary, pairs binary, pair_cou
 _NAMES = ["segment", "words", "word_counts", "pairs", "pair_counts"]
 
 
-def _blocks(words: np.ndarray, pairs: np.ndarray, segments: int) -> pa.RecordBatch:
-    """Counted words and pairs by segment.  Pairs keep 48 bits; with the segment these tell them apart."""
+def _blocks(words: np.ndarray, pairs: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    """Counted words and pairs by segment, one row at a time.  Pairs keep 48 bits; with the segment these tell them apart."""
     word_keys, word_counts = _sorted_counts(words)
     pair_keys_, pair_counts = _sorted_counts(pairs)
-    columns: list[list] = [[], [], [], [], []]
     word_segment, pair_segment = segment_of(_mix(word_keys), segments), segment_of(pair_keys_, segments)
     word_order, pair_order = np.argsort(word_segment, kind="stable"), np.argsort(pair_segment, kind="stable")
     edges = np.arange(segments + 1)
     word_at, pair_at = np.searchsorted(word_segment[word_order], edges), np.searchsorted(pair_segment[pair_order], edges)
     for s in range(segments):
         w, p = word_order[word_at[s] : word_at[s + 1]], pair_order[pair_at[s] : pair_at[s + 1]]
-        for column, x in zip(columns, (s, word_keys[w].tobytes(), word_counts[w].astype(np.int64).tobytes(), _pack(pair_keys_[p]), pair_counts[p].astype(np.uint32).tobytes())):
-            column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_NAMES)
+        yield _block(s, word_keys[w], word_counts[w], _pack(pair_keys_[p]), pair_counts[p])
+
+
+def _block(segment: int, words: np.ndarray, word_counts: np.ndarray, pairs: bytes, pair_counts: np.ndarray) -> pa.RecordBatch:
+    whole = (words.tobytes(), common.pack_whole(word_counts), pairs, common.pack_whole(pair_counts))
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([x], pa.binary()) for x in whole)], names=_NAMES)
+
+
+def _unblocked(words: bytes, word_counts: bytes, pairs: bytes, pair_counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    keys, pair_keys_ = np.frombuffer(words, np.uint64), _unpack(pairs)
+    return keys, common.unpack_whole(word_counts, len(keys)), pair_keys_, common.unpack_whole(pair_counts, len(pair_keys_))
 
 
 def count(docs: DataFrame, text: str, segments: int) -> DataFrame:
@@ -258,24 +271,16 @@ def count(docs: DataFrame, text: str, segments: int) -> DataFrame:
                 pairs.append(pair_keys(tokens, predecessors(tokens, sizes)))
                 held += len(tokens)
                 if held >= HELD_TOKENS:
-                    yield _blocks(np.concatenate(words), np.concatenate(pairs), segments)
+                    yield from _blocks(np.concatenate(words), np.concatenate(pairs), segments)
                     words, pairs, held = [], [], 0
         if held:
-            yield _blocks(np.concatenate(words), np.concatenate(pairs), segments)
+            yield from _blocks(np.concatenate(words), np.concatenate(pairs), segments)
 
     def merge(part: pa.Table) -> pa.Table:
-        joined = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
-        word_keys, word_counts = _sorted_counts(joined("words", np.uint64), joined("word_counts", np.int64))
-        pairs, pair_counts = _sorted_counts(_unpack(b"".join(part.column("pairs").to_pylist())), joined("pair_counts", np.uint32).astype(np.int64))
-        return pa.table(
-            {
-                "segment": pa.array(part.column("segment").to_pylist()[:1], pa.int32()),
-                "words": pa.array([word_keys.tobytes()], pa.binary()),
-                "word_counts": pa.array([word_counts.astype(np.int64).tobytes()], pa.binary()),
-                "pairs": pa.array([_pack(pairs)], pa.binary()),
-                "pair_counts": pa.array([np.minimum(pair_counts, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()),
-            }
-        )
+        words, word_counts, pairs, pair_counts = (np.concatenate(x) for x in zip(*(_unblocked(*row) for row in zip(*(part.column(c).to_pylist() for c in _NAMES[1:])))))
+        words, word_counts = _sorted_counts(words, word_counts)
+        pairs, pair_counts = _sorted_counts(pairs, pair_counts)
+        return pa.Table.from_batches([_block(part.column("segment")[0].as_py(), words, word_counts, _pack(pairs), np.minimum(pair_counts, 2**32 - 1))])
 
     tallied = common.map_batches(docs.select(F.col(text).cast("string").alias("body")), tally, _BLOCKS)
     return materialize(tallied.groupBy("segment").applyInArrow(merge, _BLOCKS), "counts")
@@ -286,21 +291,18 @@ def _distribution(counted: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for order, kind in ((0, np.int64), (1, np.uint32)):
-                for data in batch.column(order).to_pylist():
-                    c, n = np.unique(np.frombuffer(data, kind), return_counts=True)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                _, word_counts, _, pair_counts = _unblocked(*row)
+                for order, found in enumerate((word_counts, pair_counts)):
+                    c, n = np.unique(found, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([order] * len(c), pa.int32()), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "c", "n"])
 
-    rows = common.map_batches(counted.select("word_counts", "pair_counts"), values, "kind int, c bigint, n bigint").groupBy("kind", "c").agg(F.sum("n").alias("n")).collect()
+    rows = common.map_batches(counted.select(*_NAMES[1:]), values, "kind int, c bigint, n bigint").groupBy("kind", "c").agg(F.sum("n").alias("n")).collect()
     return tuple({r["c"]: r["n"] for r in rows if r["kind"] == kind} for kind in (0, 1))
 
 
 def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, head_words: int = HEAD_WORDS, segments: int | None = None) -> tuple[BloomModel, DataFrame]:
-    """The model of the texts of ``docs`` and a table ``token``, ``count``, ``kind`` of what it leaves out.
-
-    ``kind`` is ``WORD`` for words outside the head, with their exact counts, and
-    ``LEFT_WORD`` or ``LEFT_PAIR`` for n-grams below the filter's cut-off.
-    """
+    """The model of the texts of ``docs`` and the table of all counts, in which ``score`` looks up what the model leaves out."""
     if segments is None:
         chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
         segments = max(LEAST_SEGMENTS, math.ceil(chars / SEGMENT_CHARS))
@@ -322,15 +324,14 @@ def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, h
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, words, word_counts, pairs, pair_counts in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, counts = _mix(np.frombuffer(words, np.uint64)), np.frombuffer(word_counts, np.int64)
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                words, counts, pair, n = _unblocked(*row)
+                keys = _mix(words)
                 rare = (counts < head_from) & (counts >= cutoff)
-                pair, n = _unpack(pairs), np.frombuffer(pair_counts, np.uint32).astype(np.int64)
                 often = n >= cutoff
                 bits = fill(slice_bits, np.concatenate([keys[rare], pair[often]]), np.concatenate([counts[rare], n[often]]))
                 common_ = counts >= head_from
-                words_ = np.frombuffer(words, np.uint64)[common_]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (bits, words_, counts[common_]))], names=["segment", "bits", "head", "head_counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (bits, words[common_], counts[common_]))], names=["segment", "bits", "head", "head_counts"])
 
     bits = np.zeros(slice_bits // 8 * segments, np.uint8)
     head, head_counts = [], []
@@ -344,22 +345,6 @@ def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, h
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
 
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for segment, words, word_counts, pairs, pair_counts in zip(*(c.to_pylist() for c in batch.columns)):
-                found, word = np.frombuffer(word_counts, np.int64), np.frombuffer(words, np.uint64)
-                rare, left = found < head_from, found < min(cutoff, head_from)
-                yield named(word[rare], found[rare], WORD)
-                high = np.uint64(segment) << np.uint64(48)
-                if left.any():
-                    yield named(high | _mix(word[left]) & np.uint64(2**48 - 1), found[left], LEFT_WORD)
-                n = np.frombuffer(pair_counts, np.uint32).astype(np.int64)
-                if (n < cutoff).any() and cutoff > 1:
-                    yield named(high | _unpack(pairs)[n < cutoff], n[n < cutoff], LEFT_PAIR)
-
-    def named(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array([kind] * len(keys), pa.int32())], names=["token", "count", "kind"])
-
     texts = docs.count()
     model = BloomModel(
         bits,
@@ -373,43 +358,191 @@ def fit(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, h
         texts,
         int(levels(np.array([max([c for c in word_sizes if c < head_from] + [*pair_sizes], default=1)]))[0]),
     )
-    return model, common.map_batches(counted, tail, "token bigint, count bigint, kind int")
-
-
-_OPEN = ["at", "role", "key", "single", "context", "pair"]
-
-
-def _left_out_scores(measured: DataFrame, model: BloomModel, left: DataFrame) -> DataFrame:
-    """Per row the log10 probability of the tokens for which the filter read 0, from the counts it leaves out.
-
-    Counts get the value that their level stands for, as those read from the filter.
-    """
+    return model, counted
+
+
+# Tokens whose own word (``own``) or predecessor (``ahead``) read 0 from the filter and may have been left out: places among the
+# asked words, -1 where the count is known.
+_RARE = np.dtype([("owner", "<u4"), ("word", "<u4")])
+_UNSURE = np.dtype([("owner", "<u4"), ("own", "<i4"), ("ahead", "<i4"), ("single", "<f8"), ("context", "<f8"), ("pair", "<f8"), ("key", "<u8")])
+_ASKED = ["segment", "owners", "keys", "singles", "most", "words", "rare", "unsure"]
+_SUMS = ["owners", "known", "base", "gain"]
+_SUMMED = "part bigint, owners binary, known binary, base binary, gain binary"
+
+
+def _batch(columns: dict[str, list], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.binary())) for name, x in columns.items()], names=[*columns])
+
+
+def _pair_blocks(model: BloomModel, owner: np.ndarray, keys: np.ndarray, single: np.ndarray, context: np.ndarray) -> Iterator[dict]:
+    """Pairs to look up, a block for each segment. Counts are multiples of one half."""
+    segment = segment_of(keys, model.segments).astype(np.int32)
+    order = np.argsort(segment, kind="stable")
+    most = model.most(single, context)
+    edges = np.searchsorted(segment[order], np.arange(model.segments + 1))
+    for s in np.flatnonzero(np.diff(edges)):
+        at = order[edges[s] : edges[s + 1]]
+        whole = (common.pack_whole(x) for x in (owner[at], 2 * single[at], 2 * most[at]))
+        yield dict(zip(("segment", "keys", "owners", "singles", "most"), (int(s), _pack(keys[at]), *whole)))
+
+
+def _sums_of(owner: np.ndarray, known: np.ndarray, base: np.ndarray, gain: np.ndarray) -> dict:
+    """Sums by text, for the texts that have any."""
+    owners, at = np.unique(owner, return_inverse=True)
+    sums = [np.bincount(at, x, len(owners)).astype(kind) for x, kind in ((known, "<i8"), (base, "<f8"), (gain, "<f8"))]
+    return dict(zip(_SUMS, (owners.astype("<u4").tobytes(), *(x.tobytes() for x in sums))))
+
+
+def _found(table: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Counts of keys in a sorted table; 0 where there is none."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, counts[at], 0)
+
+
+def _value(counts: np.ndarray) -> np.ndarray:
+    """The value that the level of a count stands for, as those read from the filter; 0 for 0."""
+    return np.where(counts > 0, middle(levels(np.maximum(counts, 1))), 0.0)
+
+
+class _Asked:
+    """What the texts of a part have to look up: rare words, unsure tokens, pairs. A part is what one scan task holds at once."""
+
+    def __init__(self, model: BloomModel):
+        self.model, self.texts, self.held = model, 0, 0
+        self.words: list[np.ndarray] = []
+        self.rare: list[np.ndarray] = []
+        self.unsure: list[np.ndarray] = []
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, tokens: np.ndarray, before: np.ndarray, sizes: np.ndarray, rare: np.ndarray, single: np.ndarray, context: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Enters tokens; returns which of them get their whole score later."""
+        m, owner = self.model, self.texts + np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        own = np.full(len(tokens), -1)
+        if not m.head_is_all:
+            spots = np.flatnonzero(rare)
+            own[spots] = sum(map(len, self.words)) + np.arange(len(spots))
+            self.words.append(tokens[spots])
+            self.rare.append(owner[spots])
+        unsure = (own >= 0) & (single == 0) & (m.cutoff > 1)
+        ahead = np.concatenate([[-1], np.where(unsure, own, -1)[:-1]])
+        ahead[before == START] = -1
+        later = unsure | (ahead >= 0)
+        spots = np.flatnonzero(later)
+        entries = np.zeros(len(spots), _UNSURE)
+        keys = pair_keys(tokens, before)
+        for name, x in (("owner", owner), ("own", np.where(unsure, own, -1)), ("ahead", ahead), ("single", single), ("context", context), ("pair", pairs), ("key", keys)):
+            entries[name] = x[spots]
+        self.unsure.append(entries)
+        if m.cutoff > 1:
+            spots = np.flatnonzero((pairs == 0) & ~later)
+            self.pairs.append((owner[spots], keys[spots], single[spots], context[spots]))
+            self.held += len(spots)
+        self.held += len(entries) + (len(self.words[-1]) if self.words else 0)
+        self.texts += len(sizes)
+        return later
+
+    def rows(self) -> list[dict]:
+        out = list(_pair_blocks(self.model, *map(np.concatenate, zip(*self.pairs)))) if self.pairs else []
+        words = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
+        if len(words):
+            asked, at = np.unique(words, return_inverse=True)
+            segment = segment_of(_mix(asked), self.model.segments).astype(np.int32)
+            order = np.argsort(segment, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            edges = np.searchsorted(segment[order], np.arange(self.model.segments + 1))
+            out += [{"segment": int(s), "words": asked[order[edges[s] : edges[s + 1]]].tobytes()} for s in np.flatnonzero(np.diff(edges))]
+            rare = np.zeros(len(words), _RARE)
+            rare["owner"], rare["word"] = np.concatenate(self.rare), place[at]
+            unsure = np.concatenate(self.unsure)
+            for role in ("own", "ahead"):
+                unsure[role] = np.where(unsure[role] >= 0, rare["word"][unsure[role]], -1)
+            out.append({"rare": rare.tobytes(), "unsure": unsure.tobytes()})
+        return out
+
+
+def _words_resolved(asked: DataFrame, counted: DataFrame, model: BloomModel) -> DataFrame:
+    """Sums by text of what rare words add (without a segment), and blocks of the pairs that are then left to look up; written."""
+    small = replace(model, bits=model.bits[:0], head_keys=model.head_keys[:0], head_counts=model.head_counts[:0])
 
+    def answer(part: pa.Table, table: pa.Table) -> pa.Table:
+        words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
+        counts = common.unpack_whole(b"".join(table.column("word_counts").to_pylist()), len(words))
+        got = [_found(words, counts, np.frombuffer(data, np.uint64)).astype("<i8").tobytes() for data in part.column("words").to_pylist()]
+        return pa.table({"part": part.column("part"), "segment": part.column("segment"), "counts": pa.array(got, pa.binary())})
+
+    def resolve(state: pa.Table, answers: pa.Table) -> pa.Table:
+        columns = {c: [] for c in ("part", "segment", *_SUMS, "keys", "singles", "most")}
+        by_segment = sorted(zip(answers.column("segment").to_pylist(), answers.column("counts").to_pylist()))
+        counts = np.frombuffer(b"".join(data for _, data in by_segment), np.int64)
+        for part, rare, unsure in zip(*(state.column(c).to_pylist() for c in ("part", "rare", "unsure"))):
+            rare, unsure = np.frombuffer(rare, _RARE), np.frombuffer(unsure, _UNSURE)
+            single, context = (np.where(unsure[role] >= 0, _value(counts[unsure[role]]), unsure[now]) for role, now in (("own", "single"), ("ahead", "context")))
+            own = counts[rare["word"]]
+            none = np.zeros(len(unsure))
+            rows = [_sums_of(*map(np.concatenate, ((rare["owner"], unsure["owner"]), (own > 0, none), (small.base_log(own), none), (np.zeros(len(rare)), small.log(single, context, unsure["pair"])))))]
+            left = unsure["pair"] == 0
+            rows += _pair_blocks(small, unsure["owner"][left], unsure["key"][left], single[left], context[left])
+            for row in rows:
+                for c in columns:
+                    columns[c].append(part if c == "part" else row.get(c))
+        return pa.Table.from_batches([_batch(columns, part=pa.int64(), segment=pa.int32())])
+
+    words = asked.where(F.col("words").isNotNull()).select("part", "segment", "words")
+    answers = words.groupBy("segment").cogroup(counted.select("segment", "words", "word_counts").groupBy("segment")).applyInArrow(answer, "part bigint, segment int, counts binary")
+    states = asked.where(F.col("rare").isNotNull()).select("part", "rare", "unsure")
+    schema = "part bigint, segment int, " + ", ".join(f"{c} binary" for c in (*_SUMS, "keys", "singles", "most"))
+    return materialize(states.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(resolve, schema), "resolved")
+
+
+def _pairs_looked_up(blocks: DataFrame, counted: DataFrame, model: BloomModel) -> DataFrame:
+    """Sums by text of what pairs add that the filter leaves out."""
     small = replace(model, bits=model.bits[:0], head_keys=model.head_keys[:0], head_counts=model.head_counts[:0])
 
-    @F.pandas_udf("double")
-    def log(single: pd.Series, context: pd.Series, pair: pd.Series) -> pd.Series:
-        return pd.Series(small.log(single.to_numpy(), context.to_numpy(), pair.to_numpy()))
-
-    @F.pandas_udf("double")
-    def value(counts: pd.Series) -> pd.Series:
-        return pd.Series(middle(levels(counts.to_numpy())))
-
-    kept = left.where(F.col("kind") != WORD).select(F.col("token").alias("key"), "kind", value("count").alias("value"))
-    asked = measured.select("row", F.explode(F.arrays_zip(*_OPEN)).alias("x")).select("row", "x.*")
-    asked = asked.withColumn("kind", F.when(F.col("role") == 2, LEFT_PAIR).otherwise(LEFT_WORD))
-    found = lambda role: F.max(F.when(F.col("role") == role, F.col("value")))
-    return (
-        asked.join(kept, ["key", "kind"], "left")
-        .groupBy("row", "at")
-        .agg(*[F.coalesce(found(role), F.first(c)).alias(c) for role, c in enumerate(("single", "context", "pair"))])
-        .withColumn("log10", log("single", "context", "pair"))
-        .groupBy("row")
-        .agg(F.sum("log10").alias("left_score"))
-    )
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, pairs, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                keys = _unpack(pairs)
+                n = common.unpack_whole(counts, len(keys))
+                left = n < small.cutoff
+                yield _batch({"segment": [segment], "pairs": [_pack(keys[left])], "pair_counts": [common.pack_whole(n[left])]}, segment=pa.int32())
+
+    def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+        columns = {c: [] for c in ("part", *_SUMS)}
+        pairs = _unpack(b"".join(table.column("pairs").to_pylist()))
+        value = _value(common.unpack_whole(b"".join(table.column("pair_counts").to_pylist()), len(pairs)))
+        for part, keys, *others in zip(*(asked.column(c).to_pylist() for c in ("part", "keys", "owners", "singles", "most"))):
+            keys = _unpack(keys)
+            owner, single, most = (common.unpack_whole(x, len(keys)) for x in others)
+            got = np.minimum(_found(pairs, value, keys), most / 2)
+            hit = np.flatnonzero(got)
+            if len(hit):
+                none = np.zeros(len(hit))
+                row = {"part": part} | _sums_of(owner[hit], none, none, small.gain(single[hit] / 2, got[hit]))
+                for c in columns:
+                    columns[c].append(row[c])
+        return pa.Table.from_batches([_batch(columns, part=pa.int64())])
+
+    table = common.map_batches(counted.select("segment", "pairs", "pair_counts"), left_out, "segment int, pairs binary, pair_counts binary")
+    return blocks.groupBy("segment").cogroup(table.groupBy("segment")).applyInArrow(look_up, _SUMMED)
+
+
+def _by_text(sums: DataFrame) -> DataFrame:
+    """One row for each text that anything was looked up for: part, owner, more, rest, gain."""
+
+    def total(part: pa.Table) -> pa.Table:
+        joined = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
+        owners, at = np.unique(joined("owners", "<u4"), return_inverse=True)
+        known, base, gain = (np.bincount(at, joined(c, kind), len(owners)) for c, kind in (("known", "<i8"), ("base", "<f8"), ("gain", "<f8")))
+        name = pa.array(np.full(len(owners), part.column("part")[0].as_py(), np.int64))
+        return pa.table({"part": name, "owner": pa.array(owners.astype(np.int32)), "more": pa.array(known.astype(np.int64)), "rest": pa.array(base), "gain": pa.array(gain)})
 
+    return sums.groupBy("part").applyInArrow(total, "part bigint, owner int, more bigint, rest double, gain double")
 
-def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, model: BloomModel, counted: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Null texts count as empty: they have one token, their end.  Repeated rows are
@@ -421,69 +554,60 @@ def score(docs: DataFrame, model: BloomModel, rare_words: DataFrame, text: str =
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text).cast("string").alias("body"))
     spot = len(kept)
     handed = docs.sparkSession.sparkContext.broadcast(model)
+    facts = {"n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "part": pa.int64(), "owner": pa.int32()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and rows without an owner for what is to be looked up."""
         m = handed.value
+        part, asked, fields = TaskContext.get().partitionId() << 32, _Asked(m), []
         for batch in batches:
-            at = 0
+            fields, at = [*batch.schema][:spot], 0
             for tokens, sizes in batches_of_tokens(batch.column(spot).to_pylist(), SCORED_TOKENS):
                 first = np.cumsum(sizes) - sizes
                 before = predecessors(tokens, sizes)
                 exact, rare, single, context, pairs = m.read(tokens, before)
-                missed = m.missed(tokens, before, rare, single, context, pairs)
-                logs = np.where(missed.any(axis=1), 0.0, m.log(single, context, pairs))
-                spots, roles = np.nonzero(missed)
-                keys = np.where(roles == 2, m.left_out(pair_keys(tokens, before))[spots], m.left_out(_mix(np.where(roles == 0, tokens[spots], before[spots]))))
-                owner = np.repeat(np.arange(len(sizes)), sizes)
+                owners = asked.texts + np.arange(len(sizes), dtype=np.int32)
+                later = asked.add(tokens, before, sizes, rare, single, context, pairs)
+                logs = np.where(later, 0.0, m.log(single, context, pairs))
                 known = np.add.reduceat((~rare).astype(np.int64), first)
-                base = np.add.reduceat(np.where(rare, 0.0, m.base_log(exact)), first)
-                lone, times = np.unique(np.stack([owner[rare].astype(np.uint64), tokens[rare]]), axis=1, return_counts=True) if rare.any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
-                open_at = pa.array(np.searchsorted(spots, np.append(first, len(tokens))), pa.int32())
-                offsets = pa.array(np.searchsorted(lone[0], np.arange(len(sizes) + 1).astype(np.uint64)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.slice(at, len(sizes)) for c in batch.columns[:spot]),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(known),
-                        pa.array(base),
-                        pa.array(np.add.reduceat(logs, first)),
-                        pa.ListArray.from_arrays(offsets, pa.array(lone[1].view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                        *(
-                            pa.ListArray.from_arrays(open_at, pa.array(x))
-                            for x in (spots, roles.astype(np.int32), keys.view(np.int64), single[spots], context[spots], pairs[spots])
-                        ),
-                    ],
-                    names=[*batch.schema.names[:spot], "n_tokens", "known", "base", "score", "rare", "times", *_OPEN],
-                )
+                base = np.add.reduceat(np.where(rare & (not m.head_is_all), 0.0, m.base_log(exact)), first)
+                columns = [pa.array(x, kind) for x, kind in zip((sizes, known, base, np.add.reduceat(logs, first), np.full(len(sizes), part), owners), facts.values())]
+                nothing = [pa.nulls(len(sizes), pa.int32() if c == "segment" else pa.binary()) for c in _ASKED]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sizes)) for c in batch.columns[:spot]), *columns, *nothing], names=[*(f.name for f in fields), *facts, *_ASKED])
                 at += len(sizes)
-
-    longs, ints, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
-    schema = T.StructType(inner.schema.fields[:spot])
-    for name, kind in (("n_tokens", "long"), ("known", "long"), ("base", "double"), ("score", "double"), ("rare", longs), ("times", ints), *zip(_OPEN, (longs, ints, longs, doubles, doubles, doubles))):
+                if asked.held >= ASKED_TOKENS:
+                    yield from told(asked, part, fields)
+                    part, asked = part + 1, _Asked(m)
+        yield from told(asked, part, fields)
+
+    def told(asked: _Asked, part: int, fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+        for row in asked.rows():
+            lone = [pa.array([part if c == "part" else None], kind) for c, kind in facts.items()]
+            own = [pa.array([row.get(c)], pa.int32() if c == "segment" else pa.binary()) for c in _ASKED]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in fields), *lone, *own], names=[*(f.name for f in fields), *facts, *_ASKED])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in inner.schema.fields[:spot]])
+    for name, kind in [*zip(facts, ("long", "long", "double", "double", "long", "integer")), *((c, "integer" if c == "segment" else "binary") for c in _ASKED)]:
         schema = schema.add(name, kind)
-    measured = materialize(common.map_batches(inner, measure, schema).withColumn("row", F.monotonically_increasing_id()), "measured")
-    whole = math.log10(model.train_tokens + ADDED * (model.distinct + 1))
-    found = (
-        measured.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-        .select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-        .join(rare_words.where(F.col("kind") == WORD), "token", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more"),
-            F.sum(F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + F.lit(ADDED)) - F.lit(whole))).alias("rest"),
-        )
-    )
-    out = measured.drop("rare", "times", *_OPEN).join(found, "row", "left")
-    more = F.lit(0.0)
+    measured = materialize(common.map_batches(inner, measure, schema), "measured")
+    out, asked = measured.where(F.col("owner").isNotNull()).drop(*_ASKED), measured.where(F.col("owner").isNull())
+    pairs, sums = ["part", "segment", "owners", "keys", "singles", "most"], []
+    blocks = [asked.where(F.col("keys").isNotNull()).select(*pairs)]
+    if not model.head_is_all:
+        resolved = _words_resolved(asked, counted, model)
+        sums.append(resolved.where(F.col("segment").isNull()).select("part", *_SUMS))
+        blocks.append(resolved.where(F.col("segment").isNotNull()).select(*pairs))
     if model.cutoff > 1:
-        out = out.join(_left_out_scores(measured, model, rare_words), "row", "left")
-        more = F.coalesce("left_score", F.lit(0.0))
+        sums.append(_pairs_looked_up(functools.reduce(DataFrame.unionByName, blocks), counted, model))
+    more = {"more": F.lit(0).cast("long"), "rest": F.lit(0.0), "gain": F.lit(0.0)}
+    if sums:
+        out = out.join(_by_text(functools.reduce(DataFrame.unionByName, sums)), ["part", "owner"], "left")
+        more = {c: F.coalesce(c, nothing) for c, nothing in more.items()}
     return out.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
         F.col("n_tokens").alias(names[0]),
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias(names[1]),
+        (F.col("known") + more["more"]).alias(names[1]),
         F.lit(model.train_tokens).cast("long").alias(names[2]),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias(names[3]),
-        (F.col("score") + more).alias(names[4]),
+        (F.col("base") + more["rest"]).alias(names[3]),
+        (F.col("score") + more["gain"]).alias(names[4]),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,14 @@ def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema) -
 
 def sha256_of(values: Column) -> Column:
     return F.sha2(F.coalesce(values, F.lit("")), 256)
+
+
+def pack_whole(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest of them takes (1, 2, 4 or 8)."""
+    largest = int(values.max(initial=0))
+    return values.astype(next(f"<u{b}" for b in (1, 2, 4, 8) if largest < 1 << 8 * b)).tobytes()
+
+
+def unpack_whole(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``pack_whole`` packed."""
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)

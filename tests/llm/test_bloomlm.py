@@ -132,3 +132,13 @@ def test_scoring_holds_few_tokens_at_a_time():
     texts = ["a b c"] * 100_000
     held = [len(tokens) for tokens, _ in bloomlm.batches_of_tokens(texts, bloomlm.SCORED_TOKENS)]
     assert sum(held) == 400_000 and max(held) <= 100_003
+
+
+def test_tokens_are_looked_up_in_blocks(spark):
+    """What the filter and the head leave out is asked for by segment, not with a row for every token."""
+    docs = spark.createDataFrame(corpus(random.Random(11)), SCHEMA)
+    model, counted = bloomlm.fit(docs, head_words=5, filter_bytes=0)
+    scored = bloomlm.score(docs, model, counted)
+    assert "Generate" not in scored._jdf.queryExecution().toString()
+    assert counted.count() == model.segments
+    assert scored.count() == 120
