@@ -12,11 +12,13 @@ automaton; the state of a phrase's first ``k`` words is the row of that prefix.
   where both its parts of k - 1 words may be frequent (a path can only be frequent
   if its parts are), read from a bitmap of bounded size over the level before. The
   bitmap never denies a frequent path; what it lets through wrongly is counted
-  exactly and dropped by its count. With more frequent words than are handed out,
+  exactly and dropped by its count. A task sums the paths of some million words and
+  sends them as one binary block for each segment of the paths' hashes. With more frequent words than are handed out,
   the same levels are counted by semi-joins (``_levels_by_joins``).
 * **Union.** The shard automata are unioned and their weights summed per path by
-  one exchange on the path; a hot path (a frequent word) is summed inside each
-  shard first and reaches the exchange once a shard.
+  one exchange of the blocks; a hot path (a frequent word) is summed inside each
+  shard first and reaches the exchange once a shard. The number of segments follows
+  the length of the corpus, so that one task merges some megabytes at a time.
 * **Composition for parts.** A candidate's cut into first part and rest is looked
   up by composing the candidate transducer with the count transducer: an equi-join
   of part paths with counted paths. Parts are at least as frequent as the whole,
@@ -69,6 +71,8 @@ _EXACT = "decimal(38,0)"
 BROADCAST_PATHS = 2_000_000
 WORD_BITS = 21  # numbers from 1 to BROADCAST_PATHS; three fit one long
 HELD_TOKENS = 2_000_000
+LEAST_SEGMENTS = 32
+SEGMENT_TOKENS = 1 << 20
 HELD_WORDS = 400_000
 FILTER_BITS = 27
 ROWS_OUT = 100_000
@@ -180,7 +184,21 @@ def _numbered(docs: DataFrame, text: str, lang: str, vocabulary) -> DataFrame:
     return materialize(common.map_batches(_bodies(docs, text, lang), number, "numbers binary"), "phrase-numbers")
 
 
-def _level(numbered: DataFrame, k: int, before) -> DataFrame:
+def _summed(hi: np.ndarray, lo: np.ndarray | None, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct paths in order (hi, lo of four words only) and their weights."""
+    order = np.argsort(hi, kind="stable") if lo is None else np.lexsort((lo, hi))
+    hi, lo = hi[order], lo if lo is None else lo[order]
+    counts = np.ones(len(hi), np.int64) if counts is None else counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(hi), 1), bool), (hi[1:] != hi[:-1]) | (False if lo is None else lo[1:] != lo[:-1]))))
+    return hi[first], *(() if lo is None else (lo[first],)), np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _segments(numbered: DataFrame) -> int:
+    size = numbered.agg(F.sum(F.length("numbers"))).first()[0] or 0
+    return max(LEAST_SEGMENTS, -(-size // (4 * SEGMENT_TOKENS)))
+
+
+def _level(numbered: DataFrame, k: int, before, segments: int) -> DataFrame:
     """Paths of k words and of weight ``>= MIN_COUNT``: hi, lo (four words only), f."""
     names = ["hi", "lo"] if k == MAX_WORDS else ["hi"]
 
@@ -213,19 +231,25 @@ def _level(numbered: DataFrame, k: int, before) -> DataFrame:
             hi, lo = hi[both], lo if lo is None else lo[both]
         else:
             hi, lo, _ = _path_keys(a, k)
-        if lo is None:
-            hi, counts = np.unique(hi, return_counts=True)
-            columns = [hi]
-        else:
-            order = np.lexsort((lo, hi))
-            hi, lo = hi[order], lo[order]
-            first = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))) if len(hi) else np.empty(0, np.int64)
-            columns, counts = [hi[first], lo[first]], np.diff(np.append(first, len(hi)))
-        yield from _in_rows([*map(pa.array, columns), pa.array(counts.astype(np.int64))], [*names, "f"])
-
-    schema = ", ".join(f"{n} bigint" for n in [*names, "f"])
-    counted = common.map_batches(numbered, tally, schema).groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= MIN_COUNT)
-    return materialize(counted, f"phrase-paths-{k}")
+        *paths, counts = _summed(hi, lo)
+        segment = functools.reduce(lambda h, x: (h ^ x.astype(np.uint64)) * _A ^ (h >> np.uint64(29)), paths, _A)
+        segment = ((segment ^ (segment >> np.uint64(32))) * _A >> np.uint64(40)) % np.uint64(segments)
+        order = np.argsort(segment.astype(np.int32), kind="stable")
+        edges = np.searchsorted(segment[order], np.arange(segments + 1).astype(np.uint64))
+        for s in np.flatnonzero(np.diff(edges)):
+            at = order[edges[s] : edges[s + 1]]
+            row = [pa.array([x], pa.binary()) for x in (*(x[at].tobytes() for x in paths), common.pack_whole(counts[at]))]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *row], names=["segment", *names, "f"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        paths = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.int64) for c in names]
+        counts = [common.unpack_whole(f, len(hi) // 8) for hi, f in zip(part.column("hi").to_pylist(), part.column("f").to_pylist())]
+        *paths, counts = _summed(paths[0], paths[1] if k == MAX_WORDS else None, np.concatenate(counts))
+        often = counts >= MIN_COUNT
+        return pa.table({name: pa.array(x[often]) for name, x in zip([*names, "f"], [*paths, counts])})
+
+    blocks = common.map_batches(numbered, tally, ", ".join(["segment int", *(f"{n} binary" for n in [*names, "f"])]))
+    return materialize(blocks.groupBy("segment").applyInArrow(merge, ", ".join(f"{n} bigint" for n in [*names, "f"])), f"phrase-paths-{k}")
 
 
 def _spelled(level: DataFrame, k: int, vocabulary) -> DataFrame:
@@ -289,9 +313,9 @@ def count_paths(docs: DataFrame, text: str = "text", lang: str = "lang", most_wo
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(Vocabulary(first.select("lang", "word").toArrow()))
     numbered = _numbered(docs, text, lang, vocabulary)
-    before, levels = None, [single]
+    before, levels, segments = None, [single], _segments(numbered)
     for k in range(2, MAX_WORDS + 1):
-        level = _level(numbered, k, before)
+        level = _level(numbered, k, before, segments)
         levels.append(_spelled(level, k, vocabulary))
         if k < MAX_WORDS:
             before = context.broadcast(_may_be_frequent(level))

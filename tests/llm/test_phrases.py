@@ -96,3 +96,21 @@ def test_a_path_is_made_of_its_word_numbers():
     assert list(at) == [0, 5]
     assert [(x >> 21, x & (2**21 - 1)) for x in [*hi, *lo]] == [(5, 1), (7, 8), (2, 3), (9, 2**21 - 1)]
     assert list(phrases._path_keys(np.array([2, 0, 3]), 2)[0]) == []
+
+
+def test_paths_of_all_segments_are_whole(spark, monkeypatch):
+    """Blocks of several scan tasks and segments give each path once, with its whole weight; rare ones are left out."""
+    import numpy as np
+
+    monkeypatch.setattr(phrases, "MIN_COUNT", 3)
+    rng = np.random.default_rng(4)
+    bodies = [[*rng.integers(0, 6, rng.integers(0, 40)).tolist(), 0] for _ in range(60)] + [[1, 2, 3, 4] * 400 + [0]]
+    numbered = spark.createDataFrame([(bytearray(np.array(b, np.int32).tobytes()),) for b in bodies], "numbers binary").repartition(5)
+    for k in (2, 4):
+        want = Counter(tuple(b[i : i + k]) for b in bodies for i in range(len(b) - k + 1) if all(b[i : i + k]))
+        before = spark.sparkContext.broadcast((np.full(1 << 13, 255, np.uint8), 16))
+        for segments in (1, 7):
+            rows = phrases._level(numbered, k, before, segments).collect()
+            got = {tuple(x >> 21 * (n - 1 - i) & (1 << 21) - 1 for x, n in zip(r[:-1], [k] if k < 4 else [2, 2]) for i in range(n)): r["f"] for r in rows}
+            assert len(got) == len(rows)
+            assert got == {p: f for p, f in want.items() if f >= phrases.MIN_COUNT}
