@@ -138,7 +138,7 @@ def _leaves(own, one, where, deeper):
     return own[i1], one[i1].view(np.int64), c2, c3
 
 
-def in_parts(texts: list[str | None], tokens: int = 200_000) -> Iterator[list[np.ndarray]]:
+def in_parts(texts: list[str | None], tokens: int = 50_000) -> Iterator[list[np.ndarray]]:
     """Sets of the texts, in lists that hold about so many tokens."""
     part, held = [], 0
     for text in texts:

@@ -130,3 +130,9 @@ def test_a_group_of_near_copies_is_sent_to_few_blocks(spark, monkeypatch):
     got = chosenpath.join(docs, small=8, recall=0.9).select("class_id", "n_links").distinct().collect()
     assert [tuple(r) for r in got] == [(0, 63)]
     assert 64 <= rows["needed"] <= 64 * 4
+
+
+def test_a_part_of_sets_holds_few_tokens():
+    texts = [" ".join(f"w{i}x{j}" for j in range(1004)) for i in range(120)]
+    sizes = [sum(map(len, part)) for part in chosenpath.in_parts(texts)]
+    assert sum(sizes) == 120 * 1000 and max(sizes) < 52_000
