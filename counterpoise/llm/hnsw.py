@@ -3,9 +3,11 @@
 Vectors are dealt to shards by a hash of their content.  Each shard builds its own
 graph and stores it as flat arrays: the vectors, their neighbours on the ground
 level in rows of ``2 * m`` numbers, those of the upper levels behind each other, and
-the level of each node.  Queries, packed in blocks, are sent to every shard; the best
-of each shard are merged by a ranking that keeps only as many rows in each task as
-are asked for.  Scores are recomputed in double precision from the vectors as given.
+the level of each node.  Queries are dealt to blocks by a hash; every block is grouped
+with every shard, so that one graph and one block are held at a time and nothing is
+broadcast.  The best of each shard are merged by a ranking that keeps only as many
+rows in each task as are asked for.  Scores are recomputed in double precision from
+the vectors as given.
 
 Equal vectors are one node that carries its smallest ids (one more than are asked
 for, as the query itself may be among them); more of them can't be in a result, so
@@ -16,18 +18,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.llm import common
-from counterpoise.workspace import materialize
+from counterpoise.workspace import materialize, ship_package
 
 SHARD_ROWS = 4096
-QUERY_BLOCK = 256
+QUERY_ROWS = 8192
+MEETING_TASKS = 4096
 M = 16
 BREADTH_BUILD = 80
 BREADTH_SEARCH = 120
@@ -170,6 +171,19 @@ def usable(vector: str) -> F.Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _per_width(vectors: DataFrame, most: int) -> dict[int, int]:
+    """Parts of at most about ``most`` rows each, for every length of vectors."""
+    return {r["width"]: math.ceil(r["n"] / most) for r in vectors.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _of_width(parts: dict[int, int]) -> F.Column:
+    """The number of parts for a row's length of vectors."""
+    column = F.lit(1)
+    for width, n in parts.items():
+        column = F.when(F.col("width") == width, n).otherwise(column)
+    return column
+
+
 def neighbours(
     rows: DataFrame,
     queries: F.Column,
@@ -197,11 +211,10 @@ def neighbours(
         source.select("id", "v", content.alias("hash")).distinct().withColumn("place", F.row_number().over(few)).where(F.col("place") <= k + 1)
         .groupBy("hash", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     )
+    ship_package(rows.sparkSession)
     nodes = materialize(one_each.select("hash", "v", F.size("v").alias("width"), "ids"), "nodes")
-    widths = {r["width"]: r["n"] for r in nodes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = F.lit(1)
-    for width, n in widths.items():
-        shards = F.when(F.col("width") == width, math.ceil(n / shard_rows)).otherwise(shards)
+    n_shards = _per_width(nodes, shard_rows)
+    shards = _of_width(n_shards)
     nodes = nodes.withColumn("shard", F.pmod(F.shiftright("hash", 7), shards).cast("int"))
 
     def build(part: pa.Table) -> pa.Table:
@@ -220,49 +233,42 @@ def neighbours(
 
     binaries = ", ".join(f"{c} binary" for c in ("vectors", "level", "ground", "upper", "entry", "ids", "sizes"))
     # A task for each shard: building takes seconds, so small shards are not to be put together.
-    n_shards = sum(math.ceil(n / shard_rows) for n in widths.values())
-    spread = nodes.repartition(max(1, n_shards), "width", "shard")
+    spread = nodes.repartition(max(1, sum(n_shards.values())), "width", "shard")
     index = materialize(spread.groupBy("width", "shard").applyInArrow(build, f"width int, shard int, {binaries}"), "hnsw")
 
-    asked = source.where("_q").select("id", "v", F.size("v").alias("width")).distinct()
-
-    def pack(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        blocks = lambda width, some: pa.RecordBatch.from_arrays(
-            [pa.array([width], pa.int32()), pa.array([np.array([i for i, _ in some], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, v in some]).tobytes()], pa.binary())],
-            names=["width", "query_ids", "query_vectors"],
-        )
-        for batch in part:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = held.setdefault(len(v), [])
-                some.append((i, v))
-                if len(some) == QUERY_BLOCK:
-                    yield blocks(len(v), held.pop(len(v)))
-        for width, some in held.items():
-            yield blocks(width, some)
-
-    blocks = common.map_batches(asked.select("id", "v"), pack, "width int, query_ids binary, query_vectors binary")
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), shards.cast("int") - 1))).join(index, ["width", "shard"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                width = row["width"]
-                vectors = np.frombuffer(row["vectors"]).reshape(-1, width)
-                read = lambda c: np.frombuffer(row[c], np.int32)  # noqa: E731, B023
-                graph = Graph(unit(vectors), read("level"), read("ground").reshape(-1, 2 * m), read("upper").reshape(-1, m), int(read("entry")[0]), m)
-                ends = np.cumsum(read("sizes"))
-                ids = np.split(np.frombuffer(row["ids"], np.int64), ends[:-1])
-                out: list[tuple[int, int, float]] = []
-                queries_ = np.frombuffer(row["query_vectors"]).reshape(-1, width)
-                for query_id, query, direction in zip(np.frombuffer(row["query_ids"], np.int64).tolist(), queries_, unit(queries_)):
-                    near = graph.search(direction, max(breadth, k + 1))
-                    scores = cosine(query, vectors[near])
-                    own = [(-s, i) for s, node in zip(scores.tolist(), near) for i in ids[node].tolist() if i != query_id]
-                    out += [(query_id, i, -s) for s, i in heapq.nsmallest(k, own)]
-                q, i, s = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = common.map_batches(sent, find, "query_id bigint, vec_id bigint, score double")
+    asked = materialize(source.where("_q").select("id", "v", F.size("v").alias("width")).distinct(), "queries")
+    n_blocks = _per_width(asked, QUERY_ROWS)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), _of_width(n_blocks)).cast("int"))
+
+    def pack(part: pa.Table) -> pa.Table:
+        cells = {"query_ids": part.column("id"), "query_vectors": part.column("v").combine_chunks().flatten()}
+        return pa.table({**{c: part.column(c)[:1] for c in ("width", "block")}, **{c: pa.array([np.array(x).tobytes()], pa.binary()) for c, x in cells.items()}})
+
+    def find(block: pa.Table, shard: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if len(block) and len(shard):
+            width = block.column("width")[0].as_py()
+            read = lambda part, c, kind=np.int32: np.frombuffer(part.column(c)[0].as_buffer(), kind)
+            vectors = read(shard, "vectors", np.float64).reshape(-1, width)
+            graph = Graph(unit(vectors), read(shard, "level"), read(shard, "ground").reshape(-1, 2 * m), read(shard, "upper").reshape(-1, m), int(read(shard, "entry")[0]), m)
+            ends = np.cumsum(read(shard, "sizes"))
+            ids = np.split(read(shard, "ids", np.int64), ends[:-1])
+            queries_ = read(block, "query_vectors", np.float64).reshape(-1, width)
+            for query_id, query, direction in zip(read(block, "query_ids", np.int64).tolist(), queries_, unit(queries_)):
+                near = graph.search(direction, max(breadth, k + 1))
+                scores = cosine(query, vectors[near])
+                own = [(-s, i) for s, node in zip(scores.tolist(), near) for i in ids[node].tolist() if i != query_id]
+                out += [(query_id, i, -s) for s, i in heapq.nsmallest(k, own)]
+        q, i, s = zip(*out) if out else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    # Grouped, not joined: a join may broadcast the blocks, and that with their copies for all shards.
+    meeting = ["width", "shard", "block"]
+    n_meetings = sum(n * n_shards[width] for width, n in n_blocks.items())
+    dealt = lambda df: df.repartition(max(1, min(n_meetings, MEETING_TASKS)), *meeting).groupBy(*meeting)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    packed = asked.groupBy("width", "block").applyInArrow(pack, "width int, block int, query_ids binary, query_vectors binary")
+    index = index.where(F.col("width").isin(list(n_blocks))).withColumn("block", every(_of_width(n_blocks)))
+    found = dealt(packed.withColumn("shard", every(shards))).cogroup(dealt(index)).applyInArrow(find, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

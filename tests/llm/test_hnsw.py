@@ -66,3 +66,18 @@ def test_graph_finds_every_node():
     units = hnsw.unit(np.random.default_rng(5).normal(size=(500, 16)))
     graph = hnsw.Graph.build(units)
     assert sum(graph.search(units[i], 20)[0] == i for i in range(500)) >= 495
+
+
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Each block has a copy for every shard; together they outgrow a driver, however short the queries were before."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32))] + [(300, [1.0, 2.0]), (301, [2.0, 1.0]), (7, [1.0, 0.5])]
+    asked = F.col("vec_id") % 3 == 0
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = {tuple(r) for r in hnsw.neighbours(docs, asked, shard_rows=50).collect()}
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 16, raising=False)
+    monkeypatch.setattr(hnsw, "MEETING_TASKS", 3, raising=False)
+    found = hnsw.neighbours(docs, asked, shard_rows=50)
+    assert {tuple(r) for r in found.collect()} == whole and len({r[0] for r in whole}) == 101
+    assert {(q, r, i) for q, r, i, _ in whole if q == 300} == {(300, 1, 7), (300, 2, 301)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
